@@ -53,29 +53,28 @@ def ascii_lower(text: Column) -> Column:
 FILTER_BITS = 25
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap of ``2**bits`` bits with the low bits of each key's hash set.
+def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS, hashed: bool = False) -> np.ndarray:
+    """Bitmap of ``2**bits`` bits with the place of each key's hash set; with ``hashed`` the column is that place.
 
     Its size is fixed. It has no false negatives; a false positive only lets a
     row through to an exact join, so a full bitmap costs time, never results.
     """
-    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    slot = F.col(column) if hashed else F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
     parts = (
         keys.select(slot.alias("slot"))
-        .groupBy((F.bitmap_bucket_number("slot")).alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+        .groupBy((F.col("slot").bitwiseAND(F.lit(~32767)) / 32768).cast("long").alias("block"))
+        .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits"))
     )
-    out = np.zeros((2**bits // 8 + 2 * 4096), dtype=np.uint8)
-    for bucket, chunk in parts.collect():  # at most 2**bits / 32768 + 1 rows of 4 KB
-        at = int(bucket) * 4096
+    out = np.zeros(2**bits // 8, dtype=np.uint8)
+    for block, chunk in parts.collect():  # at most 2**bits / 32768 rows of 4 KB
+        at = int(block) * 4096
         out[at : at + len(chunk)] = np.frombuffer(bytes(chunk), dtype=np.uint8)
     return out
 
 
 def slot_column(column: str, bits: int = FILTER_BITS) -> Column:
     """The place in :func:`key_filter`'s bitmap of a row's key."""
-    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
-    return (F.bitmap_bucket_number(slot) * 32768 + F.bitmap_bit_position(slot)).alias("slot")
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - bits).alias("slot")
 
 
 def in_filter(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:

@@ -16,14 +16,15 @@ lanes, one token each, that a text reaches only when the first tier has too few
 lanes for it; a third tier of single tokens (then 2 D + 1 keys) makes the
 argument hold for every text.
 
-*Bits.* A second sketch keeps one parity bit a token in 4 * 2**b bits; its
-Hamming distance is a lower bound of the symmetric difference as well and drops
-candidates before the exact comparison of the whole sets.
+*Bits.* Two further sketches keep one parity bit a token, in 4 * 2**b bits and
+in 512; their Hamming distance is a lower bound of the symmetric difference as
+well and drops candidates before the exact comparison of the whole sets.
 
 *Large groups.* Texts with one set are one node. In each key's bucket all
-members are compared with the smallest member alone; buckets whose members are
-then still in different components compare the rest across these components.
-No link between components is lost and a group of copies stays linear.
+members are compared with one centre alone (a group that shares many keys has
+a few centres); buckets whose members are then still in different components
+compare the rest across these components. No link between components is lost
+and a group of copies stays linear.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, in_filter, key_filter, slot_column, written
@@ -45,6 +46,8 @@ SHINGLE = 5
 COUNT_AT_ONCE = 2_000_000
 #: Bands below this have as many lanes as this; their texts are small.
 FEW = 16
+#: Bits of the short sketch, of which all texts have as many.
+SHORT = 512
 #: Members of a bucket that are compared with its centre in one task's run.
 RUN = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,9 +61,8 @@ def _salt(tier: int) -> np.uint64:
     return np.uint64((tier + 1) * int(_ODD) % 2**64)
 
 
-def _bits(s: np.ndarray) -> np.ndarray:
-    """One parity bit a token in 4 * 2**band bits, 64 at least, as 64-bit numbers."""
-    m = max(64, 4 << _band(len(s)))
+def _bits(s: np.ndarray, m: int) -> np.ndarray:
+    """One parity bit a token in m bits (a multiple of 64), as 64-bit numbers."""
     count = np.bincount((mix(s + _ODD) & np.uint64(m - 1)).astype(np.int64), minlength=m)
     return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
 
@@ -116,16 +118,16 @@ def _survey(docs: DataFrame, n_docs: int, hot_at: int, shingle: int) -> DataFram
             least = max(2, -(-hot_at * n_texts // max(1, n_docs)))
             token, count = np.unique(np.concatenate(held), return_counts=True)
             token, count = token[count >= least], count[count >= least]
-            return pd.DataFrame({"kind": 1, "doc_id": None, "n": count, "node": token.view(np.int64), "bits": None})
+            return pd.DataFrame({"kind": 1, "doc_id": None, "n": count, "node": token.view(np.int64), "bits": None, "short": None})
 
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, s in zip(batch["doc_id"], shingle_sets(batch["text"].tolist(), shingle), strict=True):
                 if not len(s):
-                    rows.append((0, doc_id, 0, None, None))
+                    rows.append((0, doc_id, 0, None, None, None))
                     continue
                 node = _node(s)
-                rows.append((0, doc_id, len(s), node, _bits(s)))
+                rows.append((0, doc_id, len(s), node, _bits(s, max(64, 4 << _band(len(s)))), _bits(s, SHORT)))
                 if node not in seen:
                     seen.add(node)
                     held.append(s)
@@ -134,12 +136,12 @@ def _survey(docs: DataFrame, n_docs: int, hot_at: int, shingle: int) -> DataFram
                 if n_held >= COUNT_AT_ONCE:
                     yield counts()
                     held, seen, n_held, n_texts = [], set(), 0, 0
-            out = pd.DataFrame(rows, columns=["kind", "doc_id", "n", "node", "bits"])
+            out = pd.DataFrame(rows, columns=["kind", "doc_id", "n", "node", "bits", "short"])
             yield out.astype({"doc_id": "Int64", "node": "Int64"})
         if held:
             yield counts()
 
-    return docs.mapInPandas(run, "kind int, doc_id long, n long, node long, bits array<bigint>")
+    return docs.mapInPandas(run, "kind int, doc_id long, n long, node long, bits array<bigint>, short array<bigint>")
 
 
 def _emit(docs: DataFrame, hot: np.ndarray, shingle: int, p: int, q: int) -> DataFrame:
@@ -170,17 +172,17 @@ def _emit(docs: DataFrame, hot: np.ndarray, shingle: int, p: int, q: int) -> Dat
 
 
 def _may_link(a: str, b: str, p: int, q: int) -> Column:
-    """Sizes and parity bits allow the similarity."""
+    """Sizes and the short sketches allow the similarity."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (q * na >= p * nb) & (q * nb >= p * na) & (
-        # sketches of unequal length belong to neighbouring bands and aren't compared
-        (F.size(f"{a}.bits") != F.size(f"{b}.bits"))
-        | (_hamming(F.col(f"{a}.bits"), F.col(f"{b}.bits")) * (q + p) <= (q - p) * (na + nb))
-    )
+    apart = sum((F.bit_count(F.col(f"{a}.short")[i].bitwiseXOR(F.col(f"{b}.short")[i])) for i in range(SHORT // 64)), F.lit(0))
+    return (q * na >= p * nb) & (q * nb >= p * na) & (apart * (q + p) <= (q - p) * (na + nb))
 
 
-def _hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+def _long_too(a: str, b: str, p: int, q: int) -> Column:
+    """The long sketches allow it as well, where both texts are of one band."""
+    x, y = F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    apart = F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda total, n: total + n)
+    return (F.size(x) != F.size(y)) | (apart * (q + p) <= (q - p) * (F.col(f"{a}.n") + F.col(f"{b}.n")))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
@@ -260,36 +262,33 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
     survey = written(_survey(docs, n_docs, hot_at, shingle), "survey")
     hot = [r[0] for r in survey.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_at / 2).select("node").toLocalIterator()]
     texts = survey.where("kind = 0")
-    nodes = texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
-
-    from pyspark.sql import Window
+    nodes = texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short"))
 
     per_key = Window.partitionBy("key")
     emitted = _emit(docs.where("doc_id IS NOT NULL"), np.sort(np.array(hot, dtype=np.int64).view(np.uint64)), shingle, p, q)
-    met = emitted.select("key", "node", F.min("node").over(per_key).alias("low"), F.max("node").over(per_key).alias("high")).where("low <> high")
+    # the order of nodes, and with it a bucket's centre, depends on two bits of the key
+    turned = F.col("node").bitwiseXOR(F.xxhash64(F.col("key").bitwiseAND(F.lit(3))))
+    met = emitted.withColumn("turned", turned).select("key", "node", F.min("turned").over(per_key).alias("low"), F.max("turned").over(per_key).alias("high"))
+    met = met.where("low <> high").withColumn("low", F.col("low").bitwiseXOR(F.xxhash64(F.col("key").bitwiseAND(F.lit(3)))))
     met = written(met.select("key", "node", "low").distinct(), "met")
 
     def as_pairs(found: DataFrame) -> DataFrame:
         """(x, y: nodes) with ids, after sizes and bits."""
-        a, b = nodes.select(F.col("node").alias("x"), F.col("id"), "n", "bits").alias("a"), nodes.select(F.col("node").alias("y"), F.col("id"), "n", "bits").alias("b")
-        joined = found.join(a, "x").join(b, "y").where(_may_link("a", "b", p, q))
+        a, b = (nodes.select(F.col("node").alias(name), "id", "n", "bits", "short") for name in "xy")
+        joined = found.join(a.alias("a"), "x").join(b.alias("b"), "y").where(_may_link("a", "b", p, q) & _long_too("a", "b", p, q))
         return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("x").alias("node_a"), F.col("y").alias("node_b"))
 
     stars = written(as_pairs(met.where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct()), "stars")
     links = written(_verified(docs, stars, shingle, p, q), "links")
     labels = connected_components(links)
 
-    placed = met.select("key", "node").join(nodes, "node").join(labels, "id", "left").select("key", "node", "id", "n", "bits", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-    open_rows = written(placed.join(mixed, "key"), "open")
+    placed = met.select("key", "node").join(nodes.select("node", "id", "n", "short"), "node").join(labels, "id", "left").select("key", "node", "n", "short", F.coalesce("component", "id").alias("component"))
+    ends = placed.withColumn("c", F.min("component").over(per_key)).withColumn("d", F.max("component").over(per_key))
+    open_rows = written(ends.where("c <> d").drop("c", "d"), "open")
     a, b = open_rows.alias("a"), open_rows.alias("b")
-    rest = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", p, q))
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.node").alias("node_a"), F.col("b.node").alias("node_b"))
-        .distinct()
-    )
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", p, q)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
     done = stars.select("node_a", "node_b").union(stars.select("node_b", "node_a"))
-    rest = written(rest.join(done, ["node_a", "node_b"], "left_anti").select("a", "b", "node_a", "node_b"), "rest")
+    rest = written(as_pairs(written(rest, "apart")).join(done, ["node_a", "node_b"], "left_anti").select("a", "b", "node_a", "node_b"), "rest")
     if not rest.isEmpty():
         links = links.union(_verified(docs, rest, shingle, p, q))
         labels = connected_components(links)
