@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,8 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and a lost executor costs a re-read only."""
+    """``df`` as a Parquet table in the shared folder: lineage ends there and a lost executor costs a re-read only.
+
+    Spark deletes the shuffle files of earlier steps when the driver collects
+    their handles as garbage, which a short driver heap may not do for long; so
+    that disks hold one step's files, garbage is collected before each step.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -116,3 +124,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     low = state.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
     return low.union(state.select("b").distinct().join(low.select(F.col("id").alias("b")), "b", "left_anti").select("b", "b"))
+
+
+def shingle_array(w: str, size: int) -> Column:
+    """64-bit hashes of all runs of ``size`` words of the array column named ``w``, in order.
+
+    A shorter array that isn't empty is one run; an empty one has none. ``w``
+    has to be a column, not an expression: it is read at every position.
+    """
+    whole = F.transform(F.col(w), lambda x, i: F.xxhash64(x, *(F.get(F.col(w), i + k) for k in range(1, size))))
+    n = F.size(w)
+    return F.when(n >= size, F.slice(whole, 1, F.greatest(n - (size - 1), F.lit(1)))).when(n > 0, F.array(F.xxhash64(F.col(w), n))).otherwise(F.array().cast("array<bigint>"))
+
+
+#: Rows of a side that may be broadcast. Beyond, Spark shuffles both sides.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcasting if its counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

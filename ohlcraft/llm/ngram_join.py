@@ -46,6 +46,8 @@ SHINGLE = 5
 COUNT_AT_ONCE = 2_000_000
 #: Bands below this have as many lanes as this; their texts are small.
 FEW = 16
+#: Bits of a key that are shuffled. Keys that fall together by chance meet sketches and sets that differ.
+KEY_BITS = 44
 #: Bits of the short sketch, of which all texts have as many.
 SHORT = 512
 #: Members of a bucket that are compared with its centre in one task's run.
@@ -91,7 +93,7 @@ def _lanes(s: np.ndarray, hot: np.ndarray, band: int, limit: int) -> np.ndarray:
         if len(xor) + int(common.sum()) <= limit:
             have = len(xor) + int(common.sum())
             tiers.append(mix(s[: 2 * limit + 1 - have] + _salt(3 * band + 2)))
-    return np.concatenate(tiers)
+    return np.concatenate(tiers) >> np.uint64(64 - KEY_BITS)
 
 
 def _keys(s: np.ndarray, hot: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -145,7 +147,7 @@ def _survey(docs: DataFrame, n_docs: int, hot_at: int, shingle: int) -> DataFram
 
 
 def _emit(docs: DataFrame, hot: np.ndarray, shingle: int, p: int, q: int) -> DataFrame:
-    """(key, node) of every text; copies within a task's run count once."""
+    """(node, key) of every text; copies within a task's run count once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,19 +165,23 @@ def _emit(docs: DataFrame, hot: np.ndarray, shingle: int, p: int, q: int) -> Dat
                 sizes.append(len(keys[-1]))
                 held += sizes[-1]
                 if held >= 500_000:
-                    yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.repeat(nodes, sizes)})
+                    yield pd.DataFrame({"node": np.repeat(nodes, sizes), "key": np.concatenate(keys).view(np.int64)})
                     keys, nodes, sizes, held = [], [], [], 0
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.repeat(nodes, sizes)})
+                yield pd.DataFrame({"node": np.repeat(nodes, sizes), "key": np.concatenate(keys).view(np.int64)})
 
-    return docs.select("text").mapInPandas(run, "key long, node long")
+    return docs.select("text").mapInPandas(run, "node long, key long")
+
+
+def _apart(a: str, b: str) -> Column:
+    """Hamming distance of the short sketches."""
+    return sum((F.bit_count(F.col(f"{a}.short")[i].bitwiseXOR(F.col(f"{b}.short")[i])) for i in range(SHORT // 64)), F.lit(0))
 
 
 def _may_link(a: str, b: str, p: int, q: int) -> Column:
     """Sizes and the short sketches allow the similarity."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.short")[i].bitwiseXOR(F.col(f"{b}.short")[i])) for i in range(SHORT // 64)), F.lit(0))
-    return (q * na >= p * nb) & (q * nb >= p * na) & (apart * (q + p) <= (q - p) * (na + nb))
+    return (q * na >= p * nb) & (q * nb >= p * na) & (_apart(a, b) * (q + p) <= (q - p) * (na + nb))
 
 
 def _long_too(a: str, b: str, p: int, q: int) -> Column:
@@ -276,19 +282,43 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
         """(x, y: nodes) with ids, after sizes and bits."""
         a, b = (nodes.select(F.col("node").alias(name), "id", "n", "bits", "short") for name in "xy")
         joined = found.join(a.alias("a"), "x").join(b.alias("b"), "y").where(_may_link("a", "b", p, q) & _long_too("a", "b", p, q))
-        return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("x").alias("node_a"), F.col("y").alias("node_b"))
+        return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("x").alias("node_a"), F.col("y").alias("node_b"), _apart("a", "b").alias("apart"))
 
-    stars = written(as_pairs(met.where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct()), "stars")
+    centred = as_pairs(met.where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct())
+    # of its centres a member is compared with the one whose sketch is nearest; the rest of the pairs are left to the buckets
+    stars = written(centred.groupBy("b", "node_b").agg(F.min_by(F.struct("a", "node_a"), F.struct("apart", "a")).alias("to")).select("to.a", "b", "to.node_a", "node_b"), "stars")
     links = written(_verified(docs, stars, shingle, p, q), "links")
     labels = connected_components(links)
 
-    placed = met.select("key", "node").join(nodes.select("node", "id", "n", "short"), "node").join(labels, "id", "left").select("key", "node", "n", "short", F.coalesce("component", "id").alias("component"))
-    ends = placed.withColumn("c", F.min("component").over(per_key)).withColumn("d", F.max("component").over(per_key))
-    open_rows = written(ends.where("c <> d").drop("c", "d"), "open")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", p, q)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    done = stars.select("node_a", "node_b").union(stars.select("node_b", "node_a"))
-    rest = written(as_pairs(written(rest, "apart")).join(done, ["node_a", "node_b"], "left_anti").select("a", "b", "node_a", "node_b"), "rest")
+    def unsettled(labels: DataFrame) -> DataFrame:
+        """Rows of buckets whose members are in different components."""
+        placed = met.select("key", "node").join(nodes.select("node", "id", "n", "short"), "node").join(labels, "id", "left")
+        placed = placed.select("key", "node", "n", "short", F.coalesce("component", "id").alias("component"))
+        ends = placed.withColumn("c", F.min("component").over(per_key)).withColumn("d", F.max("component").over(per_key))
+        return ends.where("c <> d").drop("c", "d")
+
+    def across(a: DataFrame, b: DataFrame, both_ways: bool) -> DataFrame:
+        """Pairs of one bucket and two components."""
+        differ = F.col("a.component") != F.col("b.component") if both_ways else F.col("a.component") < F.col("b.component")
+        met_again = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & differ & _may_link("a", "b", p, q))
+        return met_again.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.least("a.component", "b.component").alias("c"), F.greatest("a.component", "b.component").alias("d"), _apart("a", "b").alias("apart"))
+
+    # once more with another centre; of two components the nearest pair is enough
+    again = written(unsettled(labels), "open")
+    order = F.col("node").bitwiseXOR(F.xxhash64(F.col("key").bitwiseAND(F.lit(3)) + 4))
+    fields = ["node", "n", "short", "component"]
+    centres = again.groupBy("key").agg(F.min_by(F.struct(*fields), order).alias("m")).select("key", "m.*")
+    nearest = across(again, centres, True).groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("m")).select("m.*").distinct()
+    more = written(as_pairs(nearest).select("a", "b", "node_a", "node_b"), "stars")
+    links = links.union(written(_verified(docs, more, shingle, p, q), "links"))
+    labels = connected_components(links)
+
+    # what is left, pair by pair
+    open_rows = written(unsettled(labels), "open")
+    rest = written(across(open_rows, open_rows, False).select("x", "y").distinct(), "apart")
+    done = stars.union(more).select("node_a", "node_b")
+    rest = as_pairs(rest).join(done.union(done.select("node_b", "node_a")), ["node_a", "node_b"], "left_anti")
+    rest = written(rest.select("a", "b", "node_a", "node_b"), "rest")
     if not rest.isEmpty():
         links = links.union(_verified(docs, rest, shingle, p, q))
         labels = connected_components(links)
