@@ -329,3 +329,21 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """One row of each component of docs, all columns: that of its smallest doc_id.
+
+    Rows without shingles or without a doc_id all stay. Of rows that repeat the
+    smallest doc_id and belong to its component, the one with the smallest hash stays.
+    """
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("row"))
+    found = ngram_components(docs.select("doc_id", "text"), shingle, similar)
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("id"))
+    stay = whole.join(gone.distinct(), "id", "left_anti")
+    again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "text")).alias("low")).where("n > 1")
+    if again.isEmpty():
+        return stay.select("doc.*")
+    repeated = stay.join(again.select("id", "low"), "id")
+    first = repeated.where("row = low").dropDuplicates(["id", "row"])
+    return stay.join(again.select("id"), "id", "left_anti").select("doc.*").unionByName(first.select("doc.*"))

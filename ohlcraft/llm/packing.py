@@ -13,60 +13,44 @@ powers of two, which aren't padded.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
 #: Bits of a sequence id that count a task's bins; the bits above name the task.
 BIN_BITS = 36
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-class WordIds:
-    """Ids of texts as little-endian 32-bit numbers, with the ids of known words kept.
+class TextIds:
+    """Ids of texts as little-endian 32-bit numbers.
 
-    The tokenizer never merges across the space before a word, so a text whose
-    only white space next to a space is that space has the ids of its words in
-    order. Any other text is given to the tokenizer whole.
+    Two libraries read the same vocabulary. The faster one takes every text
+    but those with the string of a special token, which only the tokenizer
+    file defines.
     """
 
-    def __init__(self, path: str):
-        import re
-
+    def __init__(self, tokenizer: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.uneven = re.compile(r"^\s|\s$|\s \s?|[^\S ] | \s").search
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def many(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if self.uneven(t) else t.split(" ") for t in texts]
-        # the first word has no space before it; the key of the others is the word after its space
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = {w for s in split if s for w in s[1:]}
-        new.difference_update(self.known)
-        unseen = list(new)
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at : at + 4096]
-            self.known.update(zip(part, self._encode([" " + w for w in part]), strict=True))
-        heads = iter(self._encode([t if s is None else s[0] for t, s in zip(texts, split, strict=True)]))
-        get = self.known.__getitem__
-        for s in split:
-            head = next(heads)
-            yield head if s is None else b"".join([head, *map(get, s[1:])])
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.full = Tokenizer.from_file(tokenizer)
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+
+    def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def cut(n: int, capacity: int, least: int) -> list[int]:
@@ -81,38 +65,37 @@ def cut(n: int, capacity: int, least: int) -> list[int]:
     return out + [rest] * (rest > 0)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, least: int = 32, batch: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: int = 2048, end_id: int = 1, least: int = 32) -> DataFrame:
     """A row for each piece of each row of docs (doc_id long, text string): COLUMNS.
 
     A null text is empty and has the end id alone. Rows that repeat a doc_id
     are packed as rows of their own, a null doc_id stays null; other columns
-    are ignored. ``tokenizer`` is the path of a tokenizer file on every
-    machine. ``capacity`` and ``least`` are powers of two. A task that is run
+    are ignored. ``tokenizer`` and ``ranks`` are paths, on every machine, of one
+    vocabulary as a tokenizer file and as ranks, and ``pattern`` is the
+    expression that splits texts before merging. ``capacity`` and ``least`` are powers of two. A task that is run
     again gives the same rows when its input rows come in the same order, as
     those of files do.
     """
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds(tokenizer)
+        ids = TextIds(tokenizer, ranks, pattern)
         base = TaskContext.get().partitionId() << BIN_BITS
         bins = 0
         unfilled: dict[int, list[tuple]] = defaultdict(list)  # class: pieces of its open bin
         for data in batches:
             rows = []
-            for at in range(0, len(data), batch):
-                part = data.iloc[at : at + batch]
-                for doc_id, text_ids in zip(part["doc_id"], ids.many(part["text"].fillna("").tolist()), strict=True):
-                    text_ids += tail
-                    total, start = len(text_ids) // 4, 0
-                    for length in cut(total, capacity, least):
-                        held = unfilled[length]
-                        held.append((doc_id, start, length, text_ids[4 * start : 4 * (start + length)], total))
-                        start += length
-                        if len(held) == capacity // length:
-                            rows += [(d, s, n, zlib.crc32(b), t, base + bins, i * length) for i, (d, s, n, b, t) in enumerate(held)]
-                            bins += 1
-                            unfilled[length] = []
+            for doc_id, text in zip(data["doc_id"], data["text"], strict=True):
+                text_ids = ids(text or "") + tail
+                total, start = len(text_ids) // 4, 0
+                for length in cut(total, capacity, least):
+                    held = unfilled[length]
+                    held.append((doc_id, start, length, text_ids[4 * start : 4 * (start + length)], total))
+                    start += length
+                    if len(held) == capacity // length:
+                        rows += [(d, s, n, zlib.crc32(b), t, base + bins, i * length) for i, (d, s, n, b, t) in enumerate(held)]
+                        bins += 1
+                        unfilled[length] = []
             yield pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64"})
         left = [p for length in sorted(unfilled, reverse=True) for p in unfilled[length]]
         tokens = sum(p[2] for p in left)
