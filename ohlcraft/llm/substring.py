@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_filter, key_filter, written
-from .words import chunks, window_hashes, word_hashes
+from .words import chunks, mix, window_hashes, word_hashes
 
 #: Anchors that a task holds at once to count them before the shuffle.
 COUNT_AT_ONCE = 2_000_000
+#: Places of windows that a task holds at once.
+PLACES_AT_ONCE = 500_000
 #: log2 of the bits of the filter of repeated hashes (8 MB).
 FILTER = 26
 
@@ -121,21 +123,35 @@ def repeated_windows(docs: DataFrame, window: int = 35, shortest: int = 16) -> D
         found.append(_repeated_level(docs, lengths, found))
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
+    def flush(held: list[tuple]) -> pd.DataFrame:
+        """Places found so far. Those of a hash that is here twice are sure already: they are dealt out evenly, and one place tells the others."""
+        row, start, h = map(np.concatenate, zip(*held, strict=True))
+        known, place, count = np.unique(h, return_inverse=True, return_counts=True)
+        sure = count[place] > 1
+        dealt = np.where(sure, mix(row.view(np.uint64) ^ mix(start.astype(np.uint64))), h)
+        twice = known[count > 1]
+        return pd.DataFrame({
+            "row": np.concatenate([row, np.zeros(len(twice), np.int64)]),
+            "start": np.concatenate([start, np.full(len(twice), -1)]),
+            "h": np.concatenate([dealt, twice]).view(np.int64),
+            "sure": np.concatenate([sure, np.zeros(len(twice), bool)]),
+        })
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for batch in batches:
             rows = batch["row"].to_numpy()
-            out, n = [], 0
             for i, starts, h in _windows(batch["text"].tolist(), lengths, shared.value):
-                out.append((np.full(len(h), rows[i]), starts, h.view(np.int64)))
+                held.append((np.full(len(h), rows[i]), starts, h))
                 n += len(h)
-                if n >= 500_000:
-                    yield pd.DataFrame(dict(zip(("row", "start", "h"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-                    out, n = [], 0
-            if out:
-                yield pd.DataFrame(dict(zip(("row", "start", "h"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    places = docs.select("row", "text").mapInPandas(run, "row long, start int, h long")
-    twice = places.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+                if n >= PLACES_AT_ONCE:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    places = docs.select("row", "text").mapInPandas(run, "row long, start int, h long, sure boolean")
+    twice = places.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("start >= 0 AND (sure OR n > 1)")
     return twice.groupBy("row").agg(F.collect_set("start").alias("positions"))
 
 
