@@ -44,7 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that no later step reads."""
+    for df in tables:
+        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def words(text: Column) -> Column:
@@ -115,7 +125,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     seen = digest(state)
     for _ in range(rounds):
-        state = written(star(star(state, True), False), "edges")
+        last, state = state, written(star(star(state, True), False), "edges")
+        discard(last)
         now = digest(state)
         if now == seen:
             break

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, in_filter, key_filter, slot_column, written
+from .common import connected_components, discard, in_filter, key_filter, slot_column, written
 from .words import mix, shingle_sets
 
 #: Similarity as a fraction, and words in a shingle.
@@ -248,7 +248,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     both = members.union(centres)
-    return both.repartition("a", "run").sortWithinPartitions("a", "run", "member").select("a", "member", "b", "tokens").mapInPandas(compare, "a long, b long")
+    ordered = both.repartition("a", "run").sortWithinPartitions("a", "run", "member").select("a", "member", "b", "tokens")
+    links = written(ordered.mapInPandas(compare, "a long, b long"), "links")
+    discard(known)
+    return links
 
 
 def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -264,19 +267,20 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_docs = docs.count()
     # Tokens in more texts than this are frequent; their number is at most that of all tokens over it.
-    hot_at = max(16, int(n_docs**0.5 / 2))
+    hot_at = max(16, int(n_docs**0.5 / 8))
     survey = written(_survey(docs, n_docs, hot_at, shingle), "survey")
     hot = [r[0] for r in survey.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_at / 2).select("node").toLocalIterator()]
     texts = survey.where("kind = 0")
-    nodes = texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short"))
+    first = texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "n", "bits", "short"), "doc_id").alias("t"))
+    nodes = written(first.select("node", "t.*"), "nodes")
 
     per_key = Window.partitionBy("key")
     emitted = _emit(docs.where("doc_id IS NOT NULL"), np.sort(np.array(hot, dtype=np.int64).view(np.uint64)), shingle, p, q)
     # the order of nodes, and with it a bucket's centre, depends on two bits of the key
     turned = F.col("node").bitwiseXOR(F.xxhash64(F.col("key").bitwiseAND(F.lit(3))))
-    met = emitted.withColumn("turned", turned).select("key", "node", F.min("turned").over(per_key).alias("low"), F.max("turned").over(per_key).alias("high"))
+    met = emitted.withColumn("turned", turned).select("key", "node", F.min("turned").over(per_key).alias("low"), F.max("turned").over(per_key).alias("high"), F.count("*").over(per_key).alias("size"))
     met = met.where("low <> high").withColumn("low", F.col("low").bitwiseXOR(F.xxhash64(F.col("key").bitwiseAND(F.lit(3)))))
-    met = written(met.select("key", "node", "low").distinct(), "met")
+    met = written(met.select("key", "node", "low", "size").distinct(), "met")
 
     def as_pairs(found: DataFrame) -> DataFrame:
         """(x, y: nodes) with ids, after sizes and bits."""
@@ -284,18 +288,17 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
         joined = found.join(a.alias("a"), "x").join(b.alias("b"), "y").where(_may_link("a", "b", p, q) & _long_too("a", "b", p, q))
         return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("x").alias("node_a"), F.col("y").alias("node_b"), _apart("a", "b").alias("apart"))
 
-    centred = as_pairs(met.where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct())
+    centred = written(as_pairs(met.where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct()), "centred")
     # of its centres a member is compared with the one whose sketch is nearest; the rest of the pairs are left to the buckets
     stars = written(centred.groupBy("b", "node_b").agg(F.min_by(F.struct("a", "node_a"), F.struct("apart", "a")).alias("to")).select("to.a", "b", "to.node_a", "node_b"), "stars")
-    links = written(_verified(docs, stars, shingle, p, q), "links")
+    links = _verified(docs, stars, shingle, p, q)
     labels = connected_components(links)
 
     def unsettled(labels: DataFrame) -> DataFrame:
-        """Rows of buckets whose members are in different components."""
-        placed = met.select("key", "node").join(nodes.select("node", "id", "n", "short"), "node").join(labels, "id", "left")
-        placed = placed.select("key", "node", "n", "short", F.coalesce("component", "id").alias("component"))
-        ends = placed.withColumn("c", F.min("component").over(per_key)).withColumn("d", F.max("component").over(per_key))
-        return ends.where("c <> d").drop("c", "d")
+        """Rows of buckets of three or more whose members are in different components; a bucket of two is its centred pair."""
+        named = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
+        ends = met.where("size > 2").select("key", "node").join(named, "node").withColumn("c", F.min("component").over(per_key)).withColumn("d", F.max("component").over(per_key))
+        return ends.where("c <> d").drop("c", "d").join(nodes.select("node", "n", "short"), "node")
 
     def across(a: DataFrame, b: DataFrame, both_ways: bool) -> DataFrame:
         """Pairs of one bucket and two components."""
@@ -310,12 +313,16 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
     centres = again.groupBy("key").agg(F.min_by(F.struct(*fields), order).alias("m")).select("key", "m.*")
     nearest = across(again, centres, True).groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("m")).select("m.*").distinct()
     more = written(as_pairs(nearest).select("a", "b", "node_a", "node_b"), "stars")
-    links = links.union(written(_verified(docs, more, shingle, p, q), "links"))
+    links = links.union(_verified(docs, more, shingle, p, q))
     labels = connected_components(links)
 
     # what is left, pair by pair
+    discard(again)
     open_rows = written(unsettled(labels), "open")
-    rest = written(across(open_rows, open_rows, False).select("x", "y").distinct(), "apart")
+    place = labels.select(F.col("id").alias("a"), F.col("component").alias("c")), labels.select(F.col("id").alias("b"), F.col("component").alias("d"))
+    pending = centred.join(place[0], "a", "left").join(place[1], "b", "left").where("coalesce(c, a) <> coalesce(d, b)")
+    rest = across(open_rows, open_rows, False).select("x", "y").union(pending.select("node_a", "node_b"))
+    rest = written(rest.distinct(), "apart")
     done = stars.union(more).select("node_a", "node_b")
     rest = as_pairs(rest).join(done.union(done.select("node_b", "node_a")), ["node_a", "node_b"], "left_anti")
     rest = written(rest.select("a", "b", "node_a", "node_b"), "rest")
