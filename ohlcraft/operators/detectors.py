@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.candles import BY_TIME, SERIES
+from ..sources.candles import by_time, SERIES
 from .windows import ends_window, swings
 
 WINDOW, EDGE, RECENT, K = 96, 24, 48, 3
@@ -28,42 +28,42 @@ def _stage(df: DataFrame, **exprs: str) -> DataFrame:
 def geometry(candles: DataFrame) -> DataFrame:
     """Candles that end a gap-free window, with its arrays and landmarks."""
     df = candles.withColumns(swings(K))
-    w = BY_TIME.rowsBetween(-(WINDOW - 1), 0)
+    w = by_time().rowsBetween(-(WINDOW - 1), 0)
     held = {"h": "high", "l": "low", "c": "close", "fh": "swing_high", "fl": "swing_low"}
     df = df.withColumns({name: F.collect_list(F.coalesce(F.col(col), F.lit(False)) if name[0] == "f" else F.col(col)).over(w) for name, col in held.items()})
     df = df.withColumn("ok", ends_window(WINDOW)).where("ok").drop("ok", "swing_high", "swing_low")
     t = WINDOW - 1
     df = _stage(
         df,
-        R="array_max(h) - array_min(l)", x=f"c[{t}]", zh=f"array_max(slice(h, {WINDOW - EDGE + 1}, {EDGE}))", zl=f"array_min(slice(l, {WINDOW - EDGE + 1}, {EDGE}))",
+        R="array_max(h) - array_min(l)", x=f"get(c, {t})", zh=f"array_max(slice(h, {WINDOW - EDGE + 1}, {EDGE}))", zl=f"array_min(slice(l, {WINDOW - EDGE + 1}, {EDGE}))",
         sh=f"filter(sequence({K}, {t - K}), i -> fh[i])", sl=f"filter(sequence({K}, {t - K}), i -> fl[i])",
-        steps=f"aggregate(sequence({WINDOW - EDGE + 1}, {t}), 0D, (s, i) -> s + abs(c[i] - c[i - 1]))",
+        steps=f"aggregate(sequence({WINDOW - EDGE + 1}, {t}), 0D, (s, i) -> s + abs(get(c, i) - get(c, i - 1)))",
         # for each swing low the first later close under it; the latest break, of equal ones the higher level
-        brk=f"array_max(filter(transform(sl_(fl), j -> named_struct('b', array_min(filter(sequence(j + 1, {t}), k -> c[k] < l[j])), 'v', l[j])), s -> s.b IS NOT NULL))".replace("sl_(fl)", f"filter(sequence({K}, {t - K}), i -> fl[i])"),
+        brk=f"array_max(filter(transform(sl_(fl), j -> named_struct('b', array_min(filter(sequence(j + 1, {t}), k -> get(c, k) < get(l, j))), 'v', get(l, j))), s -> s.b IS NOT NULL))".replace("sl_(fl)", f"filter(sequence({K}, {t - K}), i -> fl[i])"),
     )
     df = _stage(df, jH="try_element_at(sh, -1)", jHp="try_element_at(sh, -2)", jL="try_element_at(sl, -1)", jLp="try_element_at(sl, -2)")
     df = _stage(
         df,
-        hH="h[jH]", hHp="h[jHp]", lL="l[jL]", lLp="l[jLp]", lB="l[try_element_at(filter(sl, j -> j < jH), -1)]", hB="h[try_element_at(filter(sh, j -> j < jL), -1)]",
+        hH="get(h, jH)", hHp="get(h, jHp)", lL="get(l, jL)", lLp="get(l, jLp)", lB="get(l, try_element_at(filter(sl, j -> j < jH), -1))", hB="get(h, try_element_at(filter(sh, j -> j < jL), -1))",
         pbl=f"array_min(slice(l, jH + 1, {WINDOW} - jH))", rh=f"array_max(slice(h, jL + 1, {WINDOW} - jL))", low_before="if(jH >= 1, array_min(slice(l, 1, jH)), NULL)",
         pause=f"array_max(slice(h, greatest(jH + 2, {WINDOW - EDGE + 1}), {WINDOW} - greatest(jH + 1, {WINDOW - EDGE})))",
         sl_after="filter(sl, j -> j > brk.b)", sh_after="filter(sh, j -> j > brk.b)",
         top_since=f"array_max(slice(h, jH + 2, {t} - jH))", close_since=f"array_max(slice(c, jH + 2, {t} - jH))",
-        spike=f"array_min(filter(sequence(jHp + 1, jH), k -> c[k] > h[jHp]))",
+        spike=f"array_min(filter(sequence(jHp + 1, jH), k -> get(c, k) > get(h, jHp)))",
     )
-    return _stage(df, LL="l[try_element_at(sl_after, -1)]", hA="h[try_element_at(sh_after, -1)]", hAp="h[try_element_at(sh_after, -2)]", LLp="l[try_element_at(sl_after, -2)]", spike_low=f"array_min(slice(c, spike + 2, {t} - spike))")
+    return _stage(df, breakLow="get(l, try_element_at(sl_after, -1))", hA="get(h, try_element_at(sh_after, -1))", hAp="get(h, try_element_at(sh_after, -2))", breakLowP="get(l, try_element_at(sl_after, -2))", spike_low=f"array_min(slice(c, spike + 2, {t} - spike))")
 
 
 def measures(candles: DataFrame) -> DataFrame:
     """geometry with the quantities; null where one isn't defined."""
     g = _stage(
         geometry(candles),
-        ZR="if(R > 0, (zh - zl) / R, NULL)", EFF=f"if(R > 0, if(steps > 0, abs(x - c[{WINDOW - EDGE}]) / steps, 0D), NULL)",
+        ZR="if(R > 0, (zh - zl) / R, NULL)", EFF=f"if(R > 0, if(steps > 0, abs(x - get(c, {WINDOW - EDGE})) / steps, 0D), NULL)",
         DT_C7="if(R > 0, (zh - x) / R, NULL)", DF_C3="if(R > 0, (x - zl) / R, NULL)", DF_C6="if(R > 0, (x - pbl) / R, NULL)",
         res1=f"if(jH < {WINDOW - EDGE} OR hH < x, zh, least(zh, hH))",
         UP="if(R > 0 AND hH > lB, (hH - lB) / R, NULL)", RET="if(R > 0 AND hH > lB, (hH - pbl) / (hH - lB), NULL)",
         REB="if(R > 0, (rh - lL) / R, NULL)", DT_C2="if(R > 0, (rh - x) / R, NULL)", DF_C8="if(R > 0 AND x >= lL, (x - lL) / R, NULL)",
-        DN="if(R > 0 AND hB > lL, (hB - lL) / R, NULL)", DF_C4="if(R > 0 AND x >= LL, (x - LL) / R, NULL)",
+        DN="if(R > 0 AND hB > lL, (hB - lL) / R, NULL)", DF_C4="if(R > 0 AND x >= breakLow, (x - breakLow) / R, NULL)",
         DT_C5="if(R > 0 AND hH >= x, (hH - x) / R, NULL)", UPnet="if(R > 0 AND hH > low_before, (hH - low_before) / R, NULL)", DT_S1v2="if(R > 0, (pause - x) / R, NULL)",
     )
     return _stage(g, DT_C1="if(R > 0 AND jH IS NOT NULL, (res1 - x) / R, NULL)")
@@ -93,7 +93,7 @@ def conditions(th: dict[str, tuple[float, float]], v2: bool = False) -> dict[str
         return f"{th[k][1]!r}D" if th[k][1] is not None else "CAST(NULL AS DOUBLE)"
 
     recent_high, recent_low = ("recent swing high", f"jH >= {RECENT}"), ("recent swing low", f"jL >= {RECENT}")
-    tight, third = f"ZR <= {lo('ZR')}", f"c[{WINDOW - 1 - 3}]"
+    tight, third = f"ZR <= {lo('ZR')}", f"get(c, {WINDOW - 1 - 3})"
     s1 = [recent_high, ("rise", f"UP > {lo('UP')}"), ("tight", tight), ("near resistance", f"DT_C1 <= {lo('DT_C1')}")]
     if v2:
         s1 = [recent_high, ("net rise", f"UPnet > {lo('UPnet')}"), ("tight or shallow", f"coalesce({tight}, false) OR coalesce(RET <= {lo('RET')}, false)"), ("near the pause's high", f"DT_S1v2 <= {lo('DT_S1v2')}")]
@@ -102,7 +102,7 @@ def conditions(th: dict[str, tuple[float, float]], v2: bool = False) -> dict[str
         "S1": s1,
         "S2": [recent_low, ("deep fall", f"DN >= {hi('DN')}"), ("above the low", "x > lL"), ("rebound", f"REB > {lo('REB')}"), ("near the rebound's high", f"DT_C2 <= {lo('DT_C2')}")],
         "S3": [("zone", "zh > zl"), ("no direction", f"EFF <= {lo('EFF')}"), ("swing high at the edge", f"jH >= {WINDOW - EDGE}"), ("rejected high", "(hH - zl) / (zh - zl) >= 2D/3"), ("low in the zone", "(x - zl) / (zh - zl) <= 1D/3"), ("falling", f"x < {third}"), ("near the zone's low", f"DF_C3 <= {lo('DF_C3')}")],
-        "S4": [("broken low", "brk IS NOT NULL"), ("below it", "x < brk.v"), ("lower high or low", "coalesce(hA < hAp, false) OR coalesce(LL < LLp, false)"), ("later low", "LL IS NOT NULL"), ("near it", f"DF_C4 <= {lo('DF_C4')}")],
+        "S4": [("broken low", "brk IS NOT NULL"), ("below it", "x < brk.v"), ("lower high or low", "coalesce(hA < hAp, false) OR coalesce(breakLow < breakLowP, false)"), ("later low", "breakLow IS NOT NULL"), ("near it", f"DF_C4 <= {lo('DF_C4')}")],
         "S5": [("two highs", "jHp IS NOT NULL"), recent_high, ("higher high", "hH > hHp"), ("leg", "UP IS NOT NULL"), ("sharp rise", f"UP >= {hi('UP')}"), ("shallow or tight", f"coalesce(RET <= {lo('RET')}, false) OR coalesce({tight}, false)"), ("no higher high since", "top_since <= hH"), ("spike breaks the high", "spike IS NOT NULL"), ("holds it", "spike_low >= hHp"), ("near the high", f"(hH - x) / R <= {lo('DT_C5')}")],
         "S6": [("rise defined", "UP IS NOT NULL"), recent_high, ("high in the window", "(hH - array_min(l)) / R >= 2D/3"), ("below the high", "x < hH"), ("no close above since", "close_since <= hH"), ("rise", f"UP > {lo('UP')}"), ("deep pullback", f"RET > {lo('RET')} AND RET <= 1D"), ("near the pullback's low", f"DF_C6 <= {lo('DF_C6')}")],
         "S7": [("fall", f"DN > {lo('DN')}"), ("rebound or tight", f"{rebound} OR coalesce({tight}, false)"), ("near the zone's high", f"DT_C7 <= {lo('DT_C7')}")],
@@ -116,7 +116,7 @@ OUTPUTS = {
     "S1": [("up", "res1", [("lt", "pbl"), ("le", "res1")])],
     "S2": [("up", "rh", [("lt", "lL")])],
     "S3": [("down", "zl", [("gt", "hH")])],
-    "S4": [("down", "LL", [("gt", "least(brk.v, coalesce(hA, brk.v))")])],
+    "S4": [("down", "breakLow", [("gt", "least(brk.v, coalesce(hA, brk.v))")])],
     "S5": [("up", "hH", [("lt", "hHp")])],
     "S6": [("down", "pbl", [("gt", "hH")])],
     "S7": [("up", "zh", [("lt", "zl"), ("le", "zh")])],

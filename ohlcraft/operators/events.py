@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.candles import BY_TIME, SERIES, seconds
+from ..sources.candles import by_time, SERIES, seconds
 from .detectors import rule_hit
 
 KEY = [*SERIES, "setup", "direction"]
@@ -15,10 +15,10 @@ LOCKOUT = 24
 
 def presence(candles: DataFrame, present: DataFrame) -> DataFrame:
     """A row for each candle, setup and direction present, with idx, the run's length and its start."""
-    idx = F.row_number().over(BY_TIME) - 1
-    gap = F.coalesce(seconds(F.col("ts")) - seconds(F.lag("ts").over(BY_TIME)) != F.col("timeframe"), F.lit(False))
+    idx = F.row_number().over(by_time()) - 1
+    gap = F.coalesce(seconds(F.col("ts")) - seconds(F.lag("ts").over(by_time())) != F.col("timeframe"), F.lit(False))
     base = candles.select(*SERIES, "ts", "close", idx.alias("idx"), gap.cast("int").alias("gap"))
-    base = base.withColumn("part", F.sum("gap").over(BY_TIME))
+    base = base.withColumn("part", F.sum("gap").over(by_time()))
     one = present.select(*SERIES, "ts", F.explode("states").alias("s")).select(*SERIES, "ts", "s.*")
     rows = base.join(one, [*SERIES, "ts"])
     island = F.col("idx") - F.row_number().over(Window.partitionBy(*KEY, "part").orderBy("idx"))
@@ -30,8 +30,8 @@ def presence(candles: DataFrame, present: DataFrame) -> DataFrame:
 def fires(candles: DataFrame, present: DataFrame) -> DataFrame:
     """FIRE events: a setup present at a candle whose level the next candle, without a gap, closes beyond."""
     runs = presence(candles, present)
-    idx = F.row_number().over(BY_TIME) - 1
-    prev = F.lag("ts").over(BY_TIME)
+    idx = F.row_number().over(by_time()) - 1
+    prev = F.lag("ts").over(by_time())
     nxt = candles.select(*SERIES, F.col("ts").alias("fire_ts"), F.col("close").alias("fire_close"), idx.alias("fire_idx"), prev.alias("ts"), (seconds(F.col("ts")) - seconds(prev)).alias("d"))
     both = runs.join(nxt.where(F.col("d") == F.col("timeframe")), [*SERIES, "ts"])
     beyond = F.when(F.col("direction") == "up", F.col("fire_close") > F.col("level")).otherwise(F.col("fire_close") < F.col("level"))
@@ -49,7 +49,7 @@ def invalidations(fired: DataFrame, candles: DataFrame) -> DataFrame:
     first: those that a block settles don't go on to the next, so a fire is
     paired with few candles although it may stay open for long.
     """
-    idx = F.row_number().over(BY_TIME) - 1
+    idx = F.row_number().over(by_time()) - 1
     c = candles.select(*SERIES, idx.alias("at"), F.col("ts").alias("inv_ts"), F.col("close").alias("inv_close"))
     rules = fired.select(*SERIES, "fire_id", "idx", F.posexplode("rules").alias("k", "r"))
     # a rule is "above" or "below" a value: the first close beyond it is found in the running extremes of blocks

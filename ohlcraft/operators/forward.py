@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.candles import BY_TIME, SERIES, seconds
+from ..sources.candles import by_time, SERIES, seconds
 from .windows import with_volatility  # noqa: F401  (part of the observation columns)
 
 HORIZONS = (1, 3, 6, 12, 24)
@@ -17,13 +17,13 @@ def forward_outcomes(candles: DataFrame, longest: int = 24, horizons: tuple[int,
     MFE and MAE aren't clamped: a gap can leave both on one side.
     """
     t, c = seconds(F.col("ts")), F.col("close")
-    ahead = F.lead(t, longest).over(BY_TIME)
+    ahead = F.lead(t, longest).over(by_time())
     reason = F.when(ahead.isNull(), "insufficient").when(ahead - t != longest * F.col("timeframe"), "gap")
     out = candles.withColumn("excluded", reason)
     columns = {}
     for h in horizons:
-        w = BY_TIME.rowsBetween(1, h)
-        columns |= {f"ret_{h}": (F.lead("close", h).over(BY_TIME) / c - 1) * 100, f"fh_{h}": F.max("high").over(w), f"fl_{h}": F.min("low").over(w)}
+        w = by_time().rowsBetween(1, h)
+        columns |= {f"ret_{h}": (F.lead("close", h).over(by_time()) / c - 1) * 100, f"fh_{h}": F.max("high").over(w), f"fl_{h}": F.min("low").over(w)}
     out = out.withColumns(columns)
     out = out.withColumns({f"mfe_{h}": (F.col(f"fh_{h}") / c - 1) * 100 for h in horizons} | {f"mae_{h}": (F.col(f"fl_{h}") / c - 1) * 100 for h in horizons})
     values = [f"{n}_{h}" for h in horizons for n in ("ret", "mfe", "mae", "fh", "fl")]
@@ -43,7 +43,7 @@ def observe(fires: DataFrame, candles: DataFrame, longest: int = 24, horizons: t
     Up to ``longest`` contiguous candles are seen; a horizon beyond them is
     null. MFE and MAE are positive for favourable and adverse moves.
     """
-    w = BY_TIME.rowsBetween(1, longest)
+    w = by_time().rowsBetween(1, longest)
     t = seconds(F.col("ts"))
     seen = candles.withColumn("ahead", F.collect_list(F.struct(t.alias("t"), "open", "high", "low", "close")).over(w))
     both = fires.join(seen.select(*SERIES, "ts", "ahead"), [*SERIES, "ts"])

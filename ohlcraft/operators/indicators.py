@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.candles import BY_TIME, SERIES, seconds
+from ..sources.candles import by_time, SERIES, seconds
 from .joins import as_of
 
 
@@ -48,7 +48,7 @@ def with_indicators(candles: DataFrame, rsi: int = 14, span: int = 20) -> DataFr
 def htf_pack(candles: DataFrame, span: int, slope: int) -> DataFrame:
     """(symbol, close_t, close, ema, slope) of a higher timeframe, known at the close of each candle."""
     df = with_indicators(candles, span=span)
-    change = F.col("ema") - F.lag("ema", slope).over(BY_TIME)
+    change = F.col("ema") - F.lag("ema", slope).over(by_time())
     return df.select("symbol", (seconds(F.col("ts")) + F.col("timeframe")).alias("close_t"), F.col("close"), F.col("ema"), change.alias("slope"))
 
 
@@ -66,9 +66,9 @@ def htf_bias(candles: DataFrame, packs: dict[str, DataFrame]) -> DataFrame:
 
 def validity(candles: DataFrame, warmup: int = 2880, back: int = 200, ahead: int = 100) -> DataFrame:
     """valid: not in the first ``warmup`` candles, nor from ``back`` candles before a gap to ``ahead`` after it (rows, not time)."""
-    gap = (seconds(F.col("ts")) - seconds(F.lag("ts").over(BY_TIME)) != F.col("timeframe")).cast("int")
-    df = candles.withColumns({"_gap": F.coalesce(gap, F.lit(0)), "_i": F.row_number().over(BY_TIME)})
-    near = F.max("_gap").over(BY_TIME.rowsBetween(-(ahead - 1), back)) == 1
+    gap = (seconds(F.col("ts")) - seconds(F.lag("ts").over(by_time())) != F.col("timeframe")).cast("int")
+    df = candles.withColumns({"_gap": F.coalesce(gap, F.lit(0)), "_i": F.row_number().over(by_time())})
+    near = F.max("_gap").over(by_time().rowsBetween(-(ahead - 1), back)) == 1
     return df.withColumn("valid", (F.col("_i") > warmup) & ~near).drop("_gap", "_i")
 
 

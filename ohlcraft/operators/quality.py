@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.candles import BY_TIME, SERIES, seconds, valid_ohlc
+from ..sources.candles import by_time, SERIES, seconds, valid_ohlc
 
 
 def series_report(candles: DataFrame) -> DataFrame:
     """A row for each series: rows, ends, repeats, invalid candles; over distinct times: missing, gaps, the largest gap, times off the grid."""
     rows = candles.groupBy(*SERIES).agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(~valid_ohlc()).alias("invalid"))
     times = candles.select(*SERIES, "ts").distinct()
-    gap = (seconds(F.col("ts")) - seconds(F.lag("ts").over(BY_TIME))).alias("gap")
+    gap = (seconds(F.col("ts")) - seconds(F.lag("ts").over(by_time()))).alias("gap")
     steps = times.select(*SERIES, "ts", gap)
     per = steps.groupBy(*SERIES).agg(
         F.count("*").alias("n_times"),
@@ -26,7 +26,7 @@ def series_report(candles: DataFrame) -> DataFrame:
 
 def gap_list(candles: DataFrame) -> DataFrame:
     """Every gap: the candle after which it begins, the one that resumes, and how many are missing."""
-    prev = F.lag("ts").over(BY_TIME)
+    prev = F.lag("ts").over(by_time())
     gap = seconds(F.col("ts")) - seconds(prev)
     return candles.select(*SERIES, prev.alias("after"), F.col("ts").alias("resumes"), (F.floor(gap / F.col("timeframe")) - 1).alias("missing")).where("missing > 0")
 

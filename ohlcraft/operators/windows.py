@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.candles import BY_TIME, SERIES, seconds
+from ..sources.candles import by_time, SERIES, seconds
 
 
 def _t() -> Column:
@@ -14,15 +14,15 @@ def _t() -> Column:
 
 def ends_window(size: int) -> Column:
     """The row ends a run of ``size`` candles without a gap (times rise strictly, so the ends tell)."""
-    return F.coalesce(_t() - F.lag(_t(), size - 1).over(BY_TIME) == (size - 1) * F.col("timeframe"), F.lit(False))
+    return F.coalesce(_t() - F.lag(_t(), size - 1).over(by_time()) == (size - 1) * F.col("timeframe"), F.lit(False))
 
 
 def has_forward(size: int) -> Column:
-    return F.coalesce(F.lead(_t(), size).over(BY_TIME) - _t() == size * F.col("timeframe"), F.lit(False))
+    return F.coalesce(F.lead(_t(), size).over(by_time()) - _t() == size * F.col("timeframe"), F.lit(False))
 
 
 def range_pct(size: int) -> Column:
-    w = BY_TIME.rowsBetween(-(size - 1), 0)
+    w = by_time().rowsBetween(-(size - 1), 0)
     return (F.max("high").over(w) - F.min("low").over(w)) / F.col("close") * 100
 
 
@@ -64,13 +64,13 @@ def window_features(candles: DataFrame, size: int, move: int = 5, tail: int = 10
     The path for eff begins at the window's first open, its move at the first
     close. hi_pos and lo_pos are the first places of the extremes, from 0 to 1.
     """
-    w = BY_TIME.rowsBetween(-(size - 1), 0)
-    later = BY_TIME.rowsBetween(-(size - 1 - move), 0)
-    step = candles.withColumns({"d": F.abs(F.col("close") - F.lag("close").over(BY_TIME)), "m": F.col("close") - F.lag("close", move).over(BY_TIME), "i": F.row_number().over(BY_TIME)})
+    w = by_time().rowsBetween(-(size - 1), 0)
+    later = by_time().rowsBetween(-(size - 1 - move), 0)
+    step = candles.withColumns({"d": F.abs(F.col("close") - F.lag("close").over(by_time())), "m": F.col("close") - F.lag("close", move).over(by_time()), "i": F.row_number().over(by_time())})
     # the first of equal extremes: order by price, then by place
     hi, lo = F.max(F.struct("high", (-F.col("i")).alias("i"))).over(w), F.min(F.struct("low", "i")).over(w)
-    o0, c0 = F.lag("open", size - 1).over(BY_TIME), F.lag("close", size - 1).over(BY_TIME)
-    path = F.sum("d").over(BY_TIME.rowsBetween(-(size - 2), 0)) + F.abs(c0 - o0)
+    o0, c0 = F.lag("open", size - 1).over(by_time()), F.lag("close", size - 1).over(by_time())
+    path = F.sum("d").over(by_time().rowsBetween(-(size - 2), 0)) + F.abs(c0 - o0)
     first = F.col("i") - (size - 1)
     out = step.withColumns({
         "valid": ends_window(size),
@@ -81,14 +81,14 @@ def window_features(candles: DataFrame, size: int, move: int = 5, tail: int = 10
         "max_fall": F.min("m").over(later) / F.col("close") * 100,
         "hi_pos": (-hi["i"] - first) / (size - 1),
         "lo_pos": (lo["i"] - first) / (size - 1),
-        "tail_pct": (F.col("close") / F.lag("close", tail).over(BY_TIME) - 1) * 100,
+        "tail_pct": (F.col("close") / F.lag("close", tail).over(by_time()) - 1) * 100,
     })
     return out.where("valid").drop("valid", "d", "m", "i")
 
 
 def chart_features(candles: DataFrame, size: int = 96, edge: int = 24) -> DataFrame:
     """window_features with abs_net, re (range of the last ``edge`` candles over that of those before) and sharp."""
-    last, prior = BY_TIME.rowsBetween(-(edge - 1), 0), BY_TIME.rowsBetween(-(size - 1), -edge)
+    last, prior = by_time().rowsBetween(-(edge - 1), 0), by_time().rowsBetween(-(size - 1), -edge)
     a = F.max("high").over(last) - F.min("low").over(last)
     b = F.max("high").over(prior) - F.min("low").over(prior)
     df = window_features(candles.withColumn("re", F.when(b != 0, a / b)), size)
@@ -122,8 +122,8 @@ def funnel(candles: DataFrame, size: int, forward: int, days: int = 28, q: float
 
 def trailing_volatility(n: int = 95) -> Column:
     """Population deviation of n log returns; null where there aren't as many."""
-    w = BY_TIME.rowsBetween(-(n - 1), 0)
-    r = F.log(F.col("close") / F.lag("close").over(BY_TIME))
+    w = by_time().rowsBetween(-(n - 1), 0)
+    r = F.log(F.col("close") / F.lag("close").over(by_time()))
     return r, w
 
 
@@ -147,8 +147,8 @@ def volatility_cuts(df: DataFrame) -> DataFrame:
 
 def swings(k: int = 3) -> dict[str, Column]:
     """Swing flags: not under the k candles before and above the k after (mirrored for lows); false at the edges."""
-    back, ahead = BY_TIME.rowsBetween(-k, -1), BY_TIME.rowsBetween(1, k)
-    whole = F.lag("ts", k).over(BY_TIME).isNotNull() & F.lead("ts", k).over(BY_TIME).isNotNull()
+    back, ahead = by_time().rowsBetween(-k, -1), by_time().rowsBetween(1, k)
+    whole = F.lag("ts", k).over(by_time()).isNotNull() & F.lead("ts", k).over(by_time()).isNotNull()
     return {
         "swing_high": whole & (F.col("high") >= F.max("high").over(back)) & (F.col("high") > F.max("high").over(ahead)),
         "swing_low": whole & (F.col("low") <= F.min("low").over(back)) & (F.col("low") < F.min("low").over(ahead)),

@@ -12,6 +12,7 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OHLCV = "ts_ms bigint, open double, high double, low double, close double, volume double"
 
@@ -109,7 +110,7 @@ def png_chunks(content: bytes) -> list[tuple[str, int]]:
     return out
 
 
-@F.udf("array<struct<type:string,length:int>>")
+@F.udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("length", T.IntegerType())])))
 def png_chunk_list(content):
     return png_chunks(bytes(content)) if content is not None else None
 
