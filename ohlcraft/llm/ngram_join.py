@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, in_filter, key_filter, slot_column, written
+from .common import connected_components, discard, in_filter, key_filter, slot_column, small, written
 from .words import mix, shingle_sets
 
 #: Similarity as a fraction, and words in a shingle.
@@ -52,6 +52,8 @@ KEY_BITS = 44
 SHORT = 512
 #: Members of a bucket that are compared with its centre in one task's run.
 RUN = 256
+#: Centres that a bucket is compared with in the second round.
+CENTRES = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -210,22 +212,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -
                 rows = [(d, _node(s), s.tobytes()) for d, s in zip(part["doc_id"], shingle_sets(part["text"].tolist(), shingle), strict=True) if len(s)]
                 yield pd.DataFrame(rows, columns=["doc_id", "node", "tokens"])
 
-    known = (
-        docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot_column("doc_id"))
-        .mapInPandas(sets, "doc_id long, node long, tokens binary")
-        .join(asked, ["doc_id", "node"])
-        .dropDuplicates(["doc_id"])
-    )
-    known = written(known, "sets")
+    n_pairs = pairs.count()
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot_column("doc_id")).mapInPandas(sets, "doc_id long, node long, tokens binary")
+    known = written(known.join(small(asked, 2 * n_pairs), ["doc_id", "node"]), "sets")  # a row that repeats another only repeats links
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    placed = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), "b")
     members = (
-        pairs.join(runs, "a")
-        .select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), "b")
-        .join(known.select(F.col("doc_id").alias("b"), "tokens"), "b")
+        small(placed, n_pairs).join(known.select(F.col("doc_id").alias("b"), "tokens"), "b")
         .select("a", "run", F.lit(1).alias("member"), "b", "tokens")
     )
     centres = (
-        runs.join(known.select(F.col("doc_id").alias("a"), "tokens"), "a")
+        small(runs, n_pairs).join(known.select(F.col("doc_id").alias("a"), "tokens"), "a")
         .select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("member"), F.col("a").alias("b"), "tokens")
     )
 
@@ -283,9 +280,11 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
     met = written(met.select("key", "node", "low", "size").distinct(), "met")
 
     def as_pairs(found: DataFrame) -> DataFrame:
-        """(x, y: nodes) with ids, after sizes and bits."""
-        a, b = (nodes.select(F.col("node").alias(name), "id", "n", "bits", "short") for name in "xy")
-        joined = found.join(a.alias("a"), "x").join(b.alias("b"), "y").where(_may_link("a", "b", p, q) & _long_too("a", "b", p, q))
+        """(x, y: nodes) with ids, after sizes and bits. Few pairs are sent to the nodes, so that sketches stay where they are."""
+        found = written(found, "found")
+        rows = found.count()
+        a, b = (small(found, rows).join(nodes.select(F.col("node").alias(name), "id", "n", "bits", "short"), name) for name in "xy")
+        joined = a.alias("a").join(b.alias("b"), ["x", "y"]).where(_may_link("a", "b", p, q) & _long_too("a", "b", p, q))
         return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("x").alias("node_a"), F.col("y").alias("node_b"), _apart("a", "b").alias("apart"))
 
     centred = written(as_pairs(met.where("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct()), "centred")
@@ -306,11 +305,11 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
         met_again = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & differ & _may_link("a", "b", p, q))
         return met_again.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.least("a.component", "b.component").alias("c"), F.greatest("a.component", "b.component").alias("d"), _apart("a", "b").alias("apart"))
 
-    # once more with another centre; of two components the nearest pair is enough
+    # once more with other centres, drawn for each bucket; of two components the nearest pair is enough
     again = written(unsettled(labels), "open")
-    order = F.col("node").bitwiseXOR(F.xxhash64(F.col("key").bitwiseAND(F.lit(3)) + 4))
-    fields = ["node", "n", "short", "component"]
-    centres = again.groupBy("key").agg(F.min_by(F.struct(*fields), order).alias("m")).select("key", "m.*")
+    order = [F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(k))) for k in range(CENTRES)]
+    fields = F.struct("node", "n", "short", "component")
+    centres = again.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(fields, o) for o in order))).alias("m")).select("key", F.explode("m").alias("m")).select("key", "m.*")
     nearest = across(again, centres, True).groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("m")).select("m.*").distinct()
     more = written(as_pairs(nearest).select("a", "b", "node_a", "node_b"), "stars")
     links = links.union(_verified(docs, more, shingle, p, q))
@@ -322,7 +321,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
     place = labels.select(F.col("id").alias("a"), F.col("component").alias("c")), labels.select(F.col("id").alias("b"), F.col("component").alias("d"))
     pending = centred.join(place[0], "a", "left").join(place[1], "b", "left").where("coalesce(c, a) <> coalesce(d, b)")
     rest = across(open_rows, open_rows, False).select("x", "y").union(pending.select("node_a", "node_b"))
-    rest = written(rest.distinct(), "apart")
+    rest = rest.distinct()
     done = stars.union(more).select("node_a", "node_b")
     rest = as_pairs(rest).join(done.union(done.select("node_b", "node_a")), ["node_a", "node_b"], "left_anti")
     rest = written(rest.select("a", "b", "node_a", "node_b"), "rest")
