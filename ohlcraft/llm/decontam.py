@@ -29,6 +29,11 @@ def _hashed(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, words(F.lower("text")).alias("w")).select(key, F.size("w").alias("n"), shingle_array("w", SHINGLE).alias("h"))
 
 
+def _short_runs(n: int) -> Column:
+    """Runs of n words of w, a hash for each word's place, as the whole sequence of a short item is hashed."""
+    return F.transform("w", lambda x, i: F.xxhash64(F.slice(F.col("w"), i + 1, n), F.lit(n)))
+
+
 def fingerprint(h: Column) -> tuple[Column, Column]:
     """Two 64-bit halves: bit b is set if more of the shingles set it than don't."""
 
@@ -76,9 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR
     hashed = docs.select("row", "doc_id", words(F.lower("text")).alias("w"))
     runs = shingle_array("w", SHINGLE)
     for n in short:
-        # runs of n words as the whole sequence of a short item is hashed; their place in the array isn't used
-        whole = F.transform("w", lambda x, i, n=n: F.xxhash64(F.slice(F.col("w"), i + 1, n), F.lit(n)))
-        runs = F.concat(runs, F.when(F.size("w") > n, whole).otherwise(F.array().cast("array<bigint>")))
+        runs = F.concat(runs, F.when(F.size("w") > n, _short_runs(n)).otherwise(F.array().cast("array<bigint>")))
     places = hashed.select("row", "doc_id", F.size("w").alias("n"), F.posexplode(runs).alias("p", "shingle"))
     hits = places.join(small(grams, grams.count()), "shingle")
     # where a short item's run was appended after the shingles

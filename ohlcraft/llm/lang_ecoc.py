@@ -132,7 +132,7 @@ def predict(docs: DataFrame, coder: Coder) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             out = [coder.decode(x) if coder.languages and _has_letter(t) else ("und", 0.0, True) for t, x in zip(texts, profiles(texts), strict=True)]
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"]).assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"]).assign(doc_id=batch["doc_id"].to_numpy())
 
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return held.mapInPandas(run, "lang_pred string, score double, ambiguous boolean, doc_id long").select("doc_id", "lang_pred", "score", "ambiguous")
+    held = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return held.mapInPandas(run, "lang_pred string, score double, ambiguous boolean, doc_id string").select(F.col("doc_id").cast("long").alias("doc_id"), "lang_pred", "score", "ambiguous")

@@ -140,12 +140,13 @@ def _survey(docs: DataFrame, n_docs: int, hot_at: int, shingle: int) -> DataFram
                 if n_held >= COUNT_AT_ONCE:
                     yield counts()
                     held, seen, n_held, n_texts = [], set(), 0, 0
-            out = pd.DataFrame(rows, columns=["kind", "doc_id", "n", "node", "bits", "short"])
-            yield out.astype({"doc_id": "Int64", "node": "Int64"})
+            # as objects first: a missing value would turn 64-bit numbers to floats
+            yield pd.DataFrame(rows, columns=["kind", "doc_id", "n", "node", "bits", "short"], dtype=object).astype({"node": "Int64"})
         if held:
             yield counts()
 
-    return docs.mapInPandas(run, "kind int, doc_id long, n long, node long, bits array<bigint>, short array<bigint>")
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "kind int, doc_id string, n long, node long, bits array<bigint>, short array<bigint>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _emit(docs: DataFrame, hot: np.ndarray, shingle: int, p: int, q: int) -> DataFrame:

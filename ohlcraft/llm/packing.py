@@ -96,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: in
                         rows += [(d, s, n, zlib.crc32(b), t, base + bins, i * length) for i, (d, s, n, b, t) in enumerate(held)]
                         bins += 1
                         unfilled[length] = []
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=COLUMNS)
         left = [p for length in sorted(unfilled, reverse=True) for p in unfilled[length]]
         tokens = sum(p[2] for p in left)
         room, offset, rows = capacity if tokens >= capacity else 1 << max(0, tokens.bit_length() - 1), 0, []
@@ -109,8 +109,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: in
                 if offset == room:
                     bins, offset = bins + 1, 0
                     room = capacity if tokens >= capacity else 1 << max(0, tokens.bit_length() - 1)
-        yield pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=COLUMNS)
 
-    schema = ", ".join(f"{c} long" for c in COLUMNS)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInPandas(run, schema)
+    # doc_id as a string: pandas would hold a column of numbers with nulls as floats
+    schema = ", ".join(f"{c} {'string' if c == 'doc_id' else 'long'}" for c in COLUMNS)
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -94,12 +94,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int
 
 
 def _held(docs: DataFrame, metadata: Sequence[str]) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).cast("double").alias(f"meta{i}") for i, c in enumerate(metadata)))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).cast("double").alias(f"meta{i}") for i, c in enumerate(metadata)))
 
 
 def train(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_chars",), sample: int = SAMPLE) -> Machine:
     """The machine fitted on docs that labels (doc_id, label) names, ``sample`` of them at most."""
-    chosen = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    chosen = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "label").limit(sample)
     n = len(metadata)
 
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_char
             got = list(features(batch["text"].tolist(), batch[[f"meta{i}" for i in range(n)]].to_numpy(float)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "at": [a for a, _ in got], "x": [x for _, x in got]})
 
-    rows = _held(docs, metadata).join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, label int, at array<int>, x array<double>")
+    rows = _held(docs, metadata).join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id string, label int, at array<int>, x array<double>")
     rows = sorted(rows.collect(), key=lambda r: (r[0], r[1], r[2], r[3]))[:sample]  # as many as the sample, with features only
     return fit([(np.array(r["at"]), np.array(r["x"])) for r in rows], np.array([r["label"] for r in rows]), WORDS + (N_STATS + n) * BINS)
 
@@ -124,6 +124,6 @@ def score(docs: DataFrame, machine: Machine, metadata: Sequence[str] = ("n_chars
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = features(batch["text"].tolist(), batch[[f"meta{i}" for i in range(n)]].to_numpy(float))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": [shared.value.score(a, x) for a, x in got]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [shared.value.score(a, x) for a, x in got]})
 
-    return _held(docs, metadata).mapInPandas(run, "doc_id long, score double")
+    return _held(docs, metadata).mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -164,12 +164,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, shortest: int = 16) -> Dat
     window keep all words, a row that repeats another counts as another place.
     doc_id may be null or repeated; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))  # a string, as pandas holds numbers with nulls as floats
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     spans = written(repeated_windows(docs, window, shortest), "repeats")
     touched = key_filter(spans.select(F.shiftrightunsigned("row", 64 - FILTER).alias("row")), "row", FILTER, hashed=True)
     shared = docs.sparkSession.sparkContext.broadcast(touched)
-    schema = "doc_id long, n_words long, n_removed long, text string"
+    schema = "doc_id string, n_words long, n_removed long, text string"
 
     def inside(batch: pd.DataFrame) -> np.ndarray:
         return in_filter(shared.value, _slots(batch["row"].to_numpy().view(np.uint64)))
@@ -195,8 +195,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, shortest: int = 16) -> Dat
                     np.add.at(step, np.asarray(positions) + window, -1)
                 gone = np.cumsum(step)[:-1] > 0
                 out.append((doc_id, len(w), int(gone.sum()), b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g]).decode()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "text"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "text"])
 
     whole = docs.mapInPandas(untouched, schema)
     part = docs.mapInPandas(candidates, docs.schema).join(spans, "row", "left").select("doc_id", "text", "positions").mapInPandas(cut, schema)
-    return whole.union(part)
+    return whole.union(part).withColumn("doc_id", F.col("doc_id").cast("long"))
