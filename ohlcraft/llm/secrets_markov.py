@@ -35,6 +35,8 @@ _IS_KEY = np.zeros(256, dtype=bool)
 _IS_KEY[list(_KEY)] = True
 _CODE = np.full(256, len(_KEY), dtype=np.int64)
 _CODE[list(_KEY)] = np.arange(len(_KEY))
+#: A whole run of key characters without digits: pieces of a run with digits may be pieces of a key.
+_ORDINARY = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]{3,}(?![A-Za-z0-9+/_=-])")
 #: A key holds a letter and a digit; numbers alone and words alone are none.
 _MIXED = re.compile(rb"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
 #: Shortest run of key characters that is looked at.
@@ -84,7 +86,7 @@ def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int =
             seen: set[str] = set()
             for text in batch["text"]:
                 cleared = _HEX.sub(lambda m: " " if len(m[0]) >= 32 else m[0], _ACCESS.sub(" ", _ASSIGN.sub(" ", text)))
-                found = [w for w in re.findall("[A-Za-z+/_=-]{3,}", cleared) if len(w) < 200]
+                found = [w for w in _ORDINARY.findall(cleared) if len(w) < 200]
                 seen.update(found[:200])
                 seen.update(a + sep + b + sep + c for a, b, c, sep in zip(found[:30], found[1:31], found[2:32], ["", "_", "-", "/"] * 8, strict=False))
             yield pd.DataFrame({"word": sorted(seen)})
