@@ -226,7 +226,7 @@ def test_languages(spark, edges, empty):
 
 
 def test_decontamination_against_all_windows(spark, edges, empty):
-    items = [(i, prose(20 + i, 900 + i)) for i in range(12)] + [(50, "only three words"), (51, None), (52, ""), (53, prose(20, 900))]
+    items = [(i, prose(20 + 6 * i, 900 + i)) for i in range(12)] + [(50, "only three words"), (51, None), (52, ""), (53, prose(20, 900))]
     r, docs = random.Random(3), []
     for i in range(60):
         w = prose(80, i).split()
