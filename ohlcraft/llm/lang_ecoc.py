@@ -85,10 +85,10 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 200, decay: float = 1e-5)
     code = codewords(len(languages))
     place = np.array([languages.index(t) for t in labels], dtype=int)
     share = np.bincount(place, minlength=len(languages)).astype(float)
-    row_weight = (1 / share[place])[:, None] / max(1, len(languages)) if len(labels) else np.zeros((0, 1))
-    target = code[place] if len(labels) else np.zeros((0, code.shape[1]))
+    row_weight = ((1 / share[place])[:, None] / max(1, len(languages)) if len(labels) else np.zeros((0, 1))).astype(np.float32)
+    target = (code[place] if len(labels) else np.zeros((0, code.shape[1]))).astype(np.float32)
     x1 = np.hstack([x * 8, np.ones((len(x), 1), np.float32)])
-    w = np.zeros((GRAMS + 1, code.shape[1]))
+    w = np.zeros((GRAMS + 1, code.shape[1]), np.float32)  # as the sample: a product with a double would copy it at every step
     m, s = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         z = x1 @ w

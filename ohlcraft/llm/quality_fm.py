@@ -69,23 +69,26 @@ class Machine:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, rank: int = RANK, steps: int = 150, decay: float = 1e-3) -> Machine:
-    """Logistic loss with weight decay, by Adam over the whole sample; both classes weigh the same."""
-    w, v, b = np.zeros(size), np.random.default_rng(7).normal(0, 0.02, (size, rank)), 0.0
+    """Logistic loss with weight decay, by Adam over the whole sample; both classes weigh the same.
+
+    All in single precision: a product with a double would copy the sample at every step.
+    """
+    w, v = np.zeros(size, np.float32), np.random.default_rng(7).normal(0, 0.02, (size, rank)).astype(np.float32)
     if not len(rows):
         return Machine(0.0, w, np.zeros_like(v))
     x = np.zeros((len(rows), size), np.float32)
     for i, (at, val) in enumerate(rows):
         x[i, at] = val
-    y = labels.astype(np.float64)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    y = labels.astype(np.float32)
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
     x2 = x * x
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v, np.zeros(1))]
-    bias = np.zeros(1)
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v, np.zeros(1, np.float32))]
+    bias = np.zeros(1, np.float32)
     for t in range(1, steps + 1):
         xv = x @ v
         z = bias[0] + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x2 @ (v**2)).sum(axis=1))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grads = [x.T @ g + decay * w, x.T @ (g[:, None] * xv) - (x2.T @ g)[:, None] * v + decay * v, np.array([g.sum()])]
+        grads = [x.T @ g + decay * w, x.T @ (g[:, None] * xv) - (x2.T @ g)[:, None] * v + decay * v, np.array([g.sum()], np.float32)]
         for p, grad, (m, s) in zip((w, v, bias), grads, state, strict=True):
             m += 0.1 * (grad - m)
             s += 0.001 * (grad * grad - s)
