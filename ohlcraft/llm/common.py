@@ -155,3 +155,17 @@ BROADCAST_ROWS = 500_000
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcasting if its counted rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def hashed_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``rows`` rows of df at most, those with the smallest hashes of the columns ``by``.
+
+    Rows are counted first, so that beyond 4 * rows each task keeps only the
+    hashes below a bound that about 2 * rows of all rows lie under: what meets
+    in the last task doesn't grow with the number of tasks. (Where many rows
+    are copies fewer distinct ones may lie under it.)
+    """
+    h, total = F.xxhash64(*by), df.count()
+    if total > 4 * rows:
+        df = df.where(h < F.lit(-(2**63) + 2**64 * 2 * rows // total).cast("long"))
+    return df.orderBy(h).limit(rows)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .words import chunks
 
 GRAMS = 4096
@@ -104,7 +105,7 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 200, decay: float = 1e-5)
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Coder:
     """The coder fitted on docs (text, lang) with a text and a lang, ``sample`` rows at most."""
-    chosen = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").orderBy(F.xxhash64("text", "lang")).limit(sample)
+    chosen = hashed_sample(docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang"), sample, "text", "lang")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

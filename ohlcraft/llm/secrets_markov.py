@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .words import chunks
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -79,7 +80,7 @@ def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int =
     rng = random.Random(20240501)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", _KEY[:62].decode(), _KEY[:64].decode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
     out = [("".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randint(16, 48))), 1) for i in range(n_random)]
-    chosen = docs.where("text IS NOT NULL").select("text").orderBy(F.xxhash64("text")).limit(n_docs)
+    chosen = hashed_sample(docs.where("text IS NOT NULL").select("text"), n_docs, "text")
 
     def ordinary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
