@@ -312,3 +312,13 @@ def test_query_equals_its_sql(spark, name):
     df = queries.queries()[name](spark, DATA)
     assert sorted(df.columns) == sorted(names)
     assert sorted(map(repr, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(repr, cursor.fetchall()))
+
+
+def test_hashed_sample(spark):
+    from ohlcraft.llm.common import hashed_sample
+
+    docs = spark.range(2000).withColumn("text", F.col("id").cast("string"))
+    want = [r["id"] for r in docs.orderBy(F.xxhash64("text")).limit(50).collect()]
+    assert [r["id"] for r in hashed_sample(docs, 50, "text").collect()] == want
+    assert hashed_sample(docs.limit(0), 50, "text").count() == 0 and hashed_sample(docs.limit(60), 50, "text").count() == 50
+    assert hashed_sample(docs.select(F.lit("same").alias("text")), 50, "text").count() <= 50
