@@ -211,7 +211,7 @@ def pseudo_fires(c: DataFrame) -> DataFrame:
     return f.select(*SERIES, "ts", F.concat(F.lit("X-"), F.col("i").cast("string")).alias("fire_id"), F.when(F.col("i") % 2 == 0, "up").otherwise("down").alias("direction"), F.concat(F.lit("X"), (F.col("i") % 3).cast("string")).alias("setup"))
 
 
-@query(with_candles(f"i AS (SELECT *, row_number() OVER (ORDER BY ts) AS i, lead(open) OVER (ORDER BY ts) AS ref, lead(close, 6) OVER (ORDER BY ts) AS c6, max(high) OVER w AS h, min(low) OVER w AS l, count(*) OVER w AS k, coalesce(lead({T}, 24) OVER (ORDER BY ts) - {T}, 0) AS span FROM candles WINDOW w AS (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)) SELECT 'X-' || i AS fire_id, k AS n_forward, round(CASE WHEN k >= 6 THEN (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * (c6 / ref - 1) * 100 END, 6) AS ret_6, round(CASE WHEN k > 0 THEN CASE WHEN i % 2 = 0 THEN (h / ref - 1) * 100 ELSE -(l / ref - 1) * 100 END END, 6) AS mfe, round(CASE WHEN k > 0 THEN CASE WHEN i % 2 = 0 THEN -(l / ref - 1) * 100 ELSE (h / ref - 1) * 100 END END, 6) AS mae FROM i WHERE i % 7 = 0"))
+@query(with_candles(f"n AS (SELECT *, {T} AS t, row_number() OVER (ORDER BY ts) AS i FROM candles), i AS (SELECT a.i, count(b.i) AS k, max(b.high) AS h, min(b.low) AS l, max(b.open) FILTER (b.i = a.i + 1) AS ref, max(b.close) FILTER (b.i = a.i + 6) AS c6 FROM n a LEFT JOIN n b ON b.i > a.i AND b.i <= a.i + 24 AND b.t - a.t = (b.i - a.i) * 3600 GROUP BY a.i) SELECT 'X-' || i AS fire_id, k AS n_forward, round(CASE WHEN k >= 6 THEN (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * (c6 / ref - 1) * 100 END, 6) AS ret_6, round(CASE WHEN k > 0 THEN CASE WHEN i % 2 = 0 THEN (h / ref - 1) * 100 ELSE (1 - l / ref) * 100 END END, 6) AS mfe, round(CASE WHEN k > 0 THEN CASE WHEN i % 2 = 0 THEN (1 - l / ref) * 100 ELSE (h / ref - 1) * 100 END END, 6) AS mae FROM i WHERE i % 7 = 0"))
 def observe_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = walk(spark, sf_dir)
     return forward.observe(pseudo_fires(c), c).select("fire_id", F.col("n_forward").cast("long").alias("n_forward"), *r6("ret_6", "mfe", "mae"))
