@@ -1,11 +1,11 @@
 """Quality rules with cross-document line frequency (operator 3), DataFrame functions only.
 
 Lines are normalised (lower case, white space runs as one space) and hashed.
-For each host the distinct documents that hold a line are counted. A document
-counts by its other lines, namely the smallest hash among them, so copies and
-near copies of one text count once and a copied text doesn't make its own
-lines look like boilerplate. Lines in more documents of a host than its limit
-are removed, and a document that loses most of its words is rejected.
+For each host the distinct documents that hold a line are counted. Documents
+are told apart by a hash of the whole text, so exact copies count once and a
+copied text doesn't make its own lines look like boilerplate; texts that differ
+anywhere count each. Lines in more documents of a host than its limit are
+removed, and a document that loses most of its words is rejected.
 """
 
 from __future__ import annotations
@@ -66,18 +66,15 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """(row, host, line, others, n): a row for each distinct line of a document; n is its words times its occurrences."""
-    held = docs.select("row", "host", F.transform(_lines(F.col("text")), lambda t: F.struct(line_hash(t).alias("line"), F.size(words(t)).alias("n"))).alias("l"))
-    each = held.select("row", "host", "l", F.array_sort(F.array_distinct(F.transform("l", lambda e: e["line"]))).alias("distinct"))
-    first, second = F.get("distinct", F.lit(0)), F.get("distinct", F.lit(1))
-    rows = each.select("row", "host", F.explode("l").alias("e"), first.alias("first"), F.coalesce(second, F.lit(-1)).alias("second"))
-    return rows.select("row", "host", F.col("e.line").alias("line"), F.when(F.col("e.line") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("others"), F.col("e.n").alias("n"))
+    """(row, host, line, whole, n): a row for each line of a document; whole is the hash of its text, n the line's words."""
+    held = docs.select("row", "host", F.xxhash64("text").alias("whole"), F.explode(F.transform(_lines(F.col("text")), lambda t: F.struct(line_hash(t).alias("line"), F.size(words(t)).alias("n")))).alias("e"))
+    return held.select("row", "host", F.col("e.line").alias("line"), "whole", F.col("e.n").alias("n"))
 
 
 def boilerplate(docs: DataFrame, limits: LineLimits) -> DataFrame:
     """(host, line) above the host's limit, from docs (row, host, text)."""
     per_host = docs.groupBy("host").agg((F.greatest(F.lit(limits.least).cast("double"), F.count("*") * limits.share)).alias("most"))
-    seen = _line_rows(docs).select("host", "line", "others").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    seen = _line_rows(docs).select("host", "line", "whole").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     return seen.where(F.col("n") > limits.least).join(per_host, "host").where("n > most").select("host", "line")
 
 
@@ -92,7 +89,7 @@ def judge(docs: DataFrame, limits: LineLimits | None = None) -> DataFrame:
     docs = with_row(docs).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
     once = docs.select("row", "host", "text")
     removed = (
-        _line_rows(once).select("row", "host", "line", "others", "n").join(boilerplate(once, limits), ["host", "line"])
+        _line_rows(once).select("row", "host", "line", "n").join(boilerplate(once, limits), ["host", "line"])
         .groupBy("row").agg(F.sum("n").alias("n_removed"), F.collect_set("line").alias("removed"), F.count("*").alias("_"))
     )
     copies = docs.groupBy("row").agg(F.count("*").alias("copies"))

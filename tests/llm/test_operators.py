@@ -169,6 +169,14 @@ def test_line_rules_equal_their_sql(spark, edges, empty):
     assert line_rules.judge(edges).count() == len(edge_rows()) and line_rules.judge(empty).count() == 0
 
 
+def test_lines_shared_together_are_counted_by_document(spark):
+    shared = [prose(6, 3000 + k) for k in range(8)]
+    rows = [(i, "\n".join(shared + [prose(12, 4000 + 10 * i + k) for k in range(4)]), "h") for i in range(20)]
+    rows += [(100 + i, "\n".join(shared[:1] + [prose(12, 5000)]), "k") for i in range(20)]  # copies are one document
+    kept = {r["doc_id"]: r["text"] for r in line_rules.kept_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert kept == {i: "\n".join(t.split("\n")[8:]) if h == "h" else t for i, t, h in rows}
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.ASCII) if len(m[1]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
