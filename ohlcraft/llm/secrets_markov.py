@@ -4,12 +4,14 @@ Three fixed patterns find assignments, access keys and hexadecimal runs. A
 fourth kind, ``markov``, is found by two first-order Markov models over
 characters, one of random strings and one of ordinary identifiers, both
 counted from labelled samples: an unbroken run of key characters is a secret if
-the log of its likelihood ratio exceeds a threshold set above what any ordinary
-sample reaches.
+the log of its likelihood ratio exceeds a fixed threshold, so no single sample
+moves it. Long strings of the corpus that look random under a first model are
+no ordinary samples.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -59,23 +61,39 @@ class Models:
         return float(self.ratio[np.concatenate([[len(_KEY) + 1], at[:-1]]), at].sum())
 
 
+def _counted(texts: list[str]) -> np.ndarray:
+    """How often each character follows each, or the start; smoothed by a half."""
+    shape = len(_KEY) + 2, len(_KEY) + 1
+    # a line feed stands before each text and is no key character: it is the start, and what leads to it isn't counted
+    buf = np.frombuffer(("\n" + "\n".join(texts)).encode(), np.uint8)
+    at = np.where(buf == 10, shape[0] - 1, _CODE[buf])
+    pairs = (at[:-1] * shape[1] + at[1:])[at[1:] < shape[1]]
+    return np.bincount(pairs, minlength=shape[0] * shape[1]).reshape(shape) + 0.5
+
+
 def train(samples: list[tuple[str, int]], margin: float = 5.0) -> Models:
-    """Models from (string, 1 for a random one or 0); counts are smoothed by a half."""
-    counts = np.full((2, len(_KEY) + 2, len(_KEY) + 1), 0.5)
-    for text, secret in samples:
-        at = _CODE[np.frombuffer(text.encode(), np.uint8)]
-        if len(at):
-            np.add.at(counts[secret], (np.concatenate([[len(_KEY) + 1], at[:-1]]), at), 1)
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
-    models = Models(logs[1] - logs[0], 0.0)
-    highest = max((models.score(t.encode()) for t, secret in samples if not secret and len(t) >= RUN), default=0.0)
-    return Models(models.ratio, max(0.0, highest) + margin)
+    """Models from (string, 1 for a random one or 0); margin is the threshold of the log-likelihood ratio.
+
+    Samples of RUN characters and more that are labelled 0 but likelier random
+    under a first model are left out of the second.
+    """
+
+    def fitted(ordinary: list[str]) -> Models:
+        logs = [np.log(c / c.sum(axis=1, keepdims=True)) for c in (_counted(ordinary), secret)]
+        return Models(logs[1] - logs[0], margin)
+
+    secret = _counted([t for t, label in samples if label])
+    ordinary = [t for t, label in samples if not label]
+    first = fitted(ordinary)
+    return fitted([t for t in ordinary if len(t) < RUN or first.score(t.encode()) <= 0])
 
 
 def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int = SAMPLE_RANDOM) -> list[tuple[str, int]]:
-    """Random strings from a seeded generator (1), and words and joined words of n_docs documents (0).
+    """Random strings from a seeded generator (1), and all words and joined words of n_docs documents (0).
 
-    The documents are those with the smallest hashes; words that the fixed patterns find are left out.
+    The documents are those with the smallest hashes; words that the fixed
+    patterns find are left out. Three words in a row, each under RUN characters,
+    are joined, with each of four separators in turn. A word counts in capitals as well.
     """
     rng = random.Random(20240501)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", _KEY[:62].decode(), _KEY[:64].decode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
@@ -87,9 +105,11 @@ def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int =
             seen: set[str] = set()
             for text in batch["text"]:
                 cleared = _HEX.sub(lambda m: " " if len(m[0]) >= 32 else m[0], _ACCESS.sub(" ", _ASSIGN.sub(" ", text)))
-                found = [w for w in _ORDINARY.findall(cleared) if len(w) < 200]
-                seen.update(found[:200])
-                seen.update(a + sep + b + sep + c for a, b, c, sep in zip(found[:30], found[1:31], found[2:32], ["", "_", "-", "/"] * 8, strict=False))
+                found = _ORDINARY.findall(cleared)
+                seen.update(found)
+                seen.update(w.upper() for w in found)
+                short = [w for w in found if len(w) < RUN]
+                seen.update(a + sep + b + sep + c for a, b, c, sep in zip(short, short[1:], short[2:], itertools.cycle(["", "_", "-", "/"]), strict=False))
             yield pd.DataFrame({"word": sorted(seen)})
 
     return out + [(r[0], 0) for r in chosen.mapInPandas(ordinary, "word string").distinct().toLocalIterator()]

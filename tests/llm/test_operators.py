@@ -183,6 +183,29 @@ def plain_spans(text):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
 
 
+def syllables(r):
+    return "".join(r.choice("bcdfghjklmnpqrstvwxz") + r.choice("aeiouy") for _ in range(r.randint(1, 4)))
+
+
+def secret_samples(*more):
+    r = random.Random(5)
+    words = [("_".join(w), 0) for w in [[syllables(r) for _ in range(r.randint(1, 4))] for _ in range(3000)]]
+    words += [(w.upper(), 0) for w, _ in words]
+    return [*words, *((t, 0) for t in more), *(("".join(r.choices(secrets_markov._KEY[:62].decode(), k=30)), 1) for _ in range(2000))]
+
+
+def keys(n, alphabet=secrets_markov._KEY[:62].decode()):
+    r = random.Random(n)
+    return ["1x" + "".join(r.choices(alphabet, k=n - 2)) for _ in range(200)]
+
+
+def test_one_random_sample_hides_no_secrets():
+    models = secrets_markov.train(secret_samples("qZvKxWmPtYrLsNoUzQwBkXyM"))
+    for n, share in ((16, 0.9), (20, 0.95), (24, 0.95), (32, 0.95)):
+        assert np.mean([bool(found[0]) for found in ([secrets_markov._found([k.encode()], [k], models)[0]] for k in keys(n))]) >= share
+    assert not any(secrets_markov._found([t.encode()], [t], models)[0] for t in ("1_" + "_".join(syllables(random.Random(i + 10 * k)) for k in range(7)) for i in range(200)))
+
+
 def test_secrets(spark, edges, empty):
     key = "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
     texts = [
