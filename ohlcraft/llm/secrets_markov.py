@@ -3,9 +3,11 @@
 Three fixed patterns find assignments, access keys and hexadecimal runs. A
 fourth kind, ``markov``, is found by two first-order Markov models over
 characters, one of random strings and one of ordinary identifiers, both
-counted from labelled samples: an unbroken run of key characters is a secret if
-the log of its likelihood ratio exceeds a fixed threshold, so no single sample
-moves it. Long strings of the corpus that look random under a first model are
+counted from labelled samples: a stretch of an unbroken run of key characters
+is a secret if the log of its likelihood ratio exceeds a fixed threshold, so no
+single sample moves it. The stretch of the highest ratio is taken first, widened
+to the separators around it, then those beside it; so a key is found behind a
+path or a name, and beside what the patterns find. Long strings of the corpus that look random under a first model are
 no ordinary samples.
 """
 
@@ -40,8 +42,9 @@ _CODE = np.full(256, len(_KEY), dtype=np.int64)
 _CODE[list(_KEY)] = np.arange(len(_KEY))
 #: A whole run of key characters without digits: pieces of a run with digits may be pieces of a key.
 _ORDINARY = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]{3,}(?![A-Za-z0-9+/_=-])")
-#: A key holds a letter and a digit; numbers alone and words alone are none.
-_MIXED = re.compile(rb"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
+#: A key holds a letter; numbers alone are none.
+_LETTER = re.compile(rb"[A-Za-z]")
+_SEPARATOR = b"/_=-"
 #: Shortest run of key characters that is looked at.
 RUN = 16
 #: Documents from whose words the model of ordinary identifiers is counted, and generated random strings.
@@ -57,8 +60,38 @@ class Models:
     threshold: float
 
     def score(self, run: bytes) -> float:
+        return float(self.scores(run).sum())
+
+    def scores(self, run: bytes) -> np.ndarray:
+        """Each character's share of the run's score."""
         at = _CODE[np.frombuffer(run, np.uint8)]
-        return float(self.ratio[np.concatenate([[len(_KEY) + 1], at[:-1]]), at].sum())
+        return self.ratio[np.concatenate([[len(_KEY) + 1], at[:-1]]), at]
+
+    def secrets(self, run: bytes) -> list[tuple[int, int]]:
+        """(start, end) of the run's secret stretches of RUN characters and more, by start."""
+        share, out, todo = self.scores(run), [], [(0, len(run))]
+        while todo:
+            low, high = todo.pop()
+            if high - low < RUN:
+                continue
+            upto = np.concatenate([[0.0], np.cumsum(share[low:high])])
+            gain = upto[1:] - np.minimum.accumulate(upto[:-1])
+            b = int(gain.argmax()) + 1
+            a = int(upto[:b].argmin())
+            if gain[b - 1] <= self.threshold:
+                continue
+            start, end = a + low, b + low
+            while start > low and run[start - 1] not in _SEPARATOR:
+                start -= 1
+            while end < high and run[end] not in _SEPARATOR:
+                end += 1
+            todo += [(low, start), (end, high)]
+            if upto[end - low] - upto[start - low] <= self.threshold:
+                start, end = a + low, b + low
+            if end - start >= RUN and _LETTER.search(run, start, end):
+                out.append((start, end))
+        # several short pieces may only be a secret together
+        return sorted(out) or ([(0, len(run))] if len(run) >= RUN and _LETTER.search(run) and share.sum() > self.threshold else [])
 
 
 def _counted(texts: list[str]) -> np.ndarray:
@@ -148,13 +181,16 @@ def _found(held: list[bytes], texts: list[str | None], models: Models) -> list[l
             piece, inner = run.decode(), []
             inner += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(piece) if len(m[0]) >= 16]
             inner += [(m.start(), 2, m.end()) for m in _HEX.finditer(piece) if len(m[0]) >= 32]
-            random_run = _MIXED.search(run) is not None and models.score(run) > models.threshold
-            if inner or random_run:
+            if inner or spans or models.secrets(run):
                 at = len(data[:a].decode("utf-8", "surrogatepass"))
-                inner = [(s + at, k, e + at) for s, k, e in inner]
-                if random_run and not any(s < at + len(run) and at < e for s, _, e in [*inner, *spans]):
-                    inner.append((at, 3, at + len(run)))
-                spans += inner
+                # what the patterns leave of the run is scored by itself
+                taken = sorted([(s, e) for s, _, e in inner] + [(max(0, s - at), e - at) for s, _, e in spans if s < at + len(run) and at < e])
+                free = 0
+                for s, e in [*taken, (len(run), len(run))]:
+                    if s > free:
+                        inner += [(x + free, 3, y + free) for x, y in models.secrets(run[free:s])]
+                    free = max(free, e)
+                spans += [(s + at, k, e + at) for s, k, e in inner]
         out.append(sorted(spans))
     return out
 
