@@ -341,16 +341,23 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
 def representatives(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row of each component of docs, all columns: that of its smallest doc_id.
 
-    Rows without shingles or without a doc_id all stay. Of rows that repeat the
-    smallest doc_id and belong to its component, the one with the smallest hash stays.
+    Rows without shingles or without a doc_id all stay. A row is told by its
+    doc_id and text, so rows that repeat a doc_id with another text are judged
+    by their own component. Of rows of one component that repeat its smallest
+    doc_id, the one with the smallest hash stays; of rows equal in both, any one.
     """
-    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("row"))
-    found = ngram_components(docs.select("doc_id", "text"), shingle, similar)
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("id"))
-    stay = whole.join(gone.distinct(), "id", "left_anti")
-    again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "text")).alias("low")).where("n > 1")
+    key = F.col("doc_id").cast("long")
+    named = docs.select(F.struct("*").alias("doc"), key.alias("id"), F.when(key.isNotNull(), F.xxhash64(key, F.col("text").cast("string"))).alias("row"), "text")
+    # components of rows: their names stand for the doc_ids
+    found = ngram_components(named.select(F.col("row").alias("doc_id"), "text"), shingle, similar)
+    members = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    ids = named.where("row IS NOT NULL").select("row", "id").distinct()
+    members = written(members.join(ids, "row"), "members")
+    first = members.groupBy("component").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+    gone = members.join(first, "row", "left_anti").select("row")
+    stay = named.join(gone, "row", "left_anti")
+    again = members.where("n > 1").select("row")
     if again.isEmpty():
         return stay.select("doc.*")
-    repeated = stay.join(again.select("id", "low"), "id")
-    first = repeated.where("row = low").dropDuplicates(["id", "row"])
-    return stay.join(again.select("id"), "id", "left_anti").select("doc.*").unionByName(first.select("doc.*"))
+    one = stay.join(again, "row").dropDuplicates(["row"])
+    return stay.join(again, "row", "left_anti").select("doc.*").unionByName(one.select("doc.*"))

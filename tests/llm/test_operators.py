@@ -104,6 +104,13 @@ def test_ngram_join_edges(edges, empty):
     assert [r["doc_id"] for r in kept.collect()].count(9) == 1
 
 
+def test_representatives_of_repeated_ids(spark):
+    a, b, c = prose(120, 31), prose(120, 32), prose(120, 33)
+    rows = [(1, a), (3, a + " tail"), (3, b), (7, b + " tail"), (3, None), (3, None), (5, c), (5, c), (None, c)]
+    got = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(1, a), (3, b), (3, None), (3, None), (5, c), (None, c)])
+
+
 def test_ngram_join_chains(spark):
     rows = family(40, 1) + family(40, 2) + [(5000 + i, t) for i, (_, t) in enumerate(family(3, 1))]
     rows += [(7000 + i, prose(60, 3) + " " + prose(120, 100 + i)) for i in range(30)]  # a shared passage alone links nothing
