@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, words
+from .common import NOT_SPACE, SPACE, words, written
 
 
 @dataclass(frozen=True)
@@ -29,9 +29,14 @@ class LineLimits:
     max_removed_percent: int = 70
 
 
+def normal(line: Column) -> Column:
+    """Lower case, with one space between words."""
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
 def line_hash(line: Column) -> Column:
-    """60 bits of the MD5 of the normalised line, so that other engines can name the same number."""
-    return F.conv(F.substring(F.md5(F.trim(F.regexp_replace(F.lower(line), SPACE, " "))), 1, 15), 16, 10).cast("long")
+    """60 bits of the MD5 of a normalised line, so that other engines can name the same number."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
 def _lines(text: Column) -> Column:
@@ -39,13 +44,12 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(NOT_SPACE))
 
 
-def base_metrics(docs: DataFrame) -> DataFrame:
-    """docs (row, doc_id, text) with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; text goes."""
-    text = F.coalesce("text", F.lit(""))
-    step = docs.select("row", "doc_id", words(F.col("text")).alias("w"), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).alias("n_symbols"), _lines(F.col("text")).alias("lines"))
-    five = F.transform("w", lambda x, i: F.xxhash64(x, *(F.get(F.col("w"), i + k) for k in range(1, 5))))
+def _base(step: DataFrame, *keep: str) -> DataFrame:
+    """step (w: words, n_symbols, lines: lines with a word, and ``keep``) with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    shifted = (F.slice("w", k, F.lit(2**30)).alias(f"w{k}") for k in range(2, 6))
+    five = F.transform(F.arrays_zip(F.col("w"), *shifted), lambda run: F.xxhash64(run))
     step = step.select(
-        "row", "doc_id", "n_symbols",
+        *keep, "n_symbols",
         F.size("w").alias("n_words"),
         F.length(F.array_join("w", "")).alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
@@ -53,28 +57,48 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     )
     # only texts in which a window repeats are sorted
     repeats = F.size("h") > F.size(F.array_distinct("h"))
-    step = step.withColumn("by_hash", F.when(repeats, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    step = step.withColumn("by_hash", F.when(repeats, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
     s = F.col("by_hash")
     twice = F.filter(s, lambda e, j: (e["x"] == F.get(s, j + 1)["x"]) | ((j > 0) & (e["x"] == F.get(s, F.greatest(j - 1, F.lit(0)))["x"])))
-    step = step.withColumn("at", F.array_sort(F.transform(twice, lambda e: e["i"])))
+    step = step.withColumn("at", F.sort_array(F.transform(twice, lambda e: e["i"])))
     covered = F.transform("at", lambda v, j: F.least(F.lit(5), F.coalesce(F.get(F.col("at"), j + 1), v + 5) - v))
     return step.select(
-        "row", "doc_id",
+        *keep,
         *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")),
         F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
-    """(row, host, line, whole, n): a row for each line of a document; whole is the hash of its text, n the line's words."""
-    held = docs.select("row", "host", F.xxhash64("text").alias("whole"), F.explode(F.transform(_lines(F.col("text")), lambda t: F.struct(line_hash(t).alias("line"), F.size(words(t)).alias("n")))).alias("e"))
-    return held.select("row", "host", F.col("e.line").alias("line"), "whole", F.col("e.n").alias("n"))
+def figures(docs: DataFrame) -> DataFrame:
+    """A written table with a row for each row of docs (doc_id, text, source), texts left out.
+
+    row, doc_id, host, whole (hash of the text), the base figures, base_failed,
+    and ``lines``: hash and number of words of each line with a word. It is
+    written because its columns read whole arrays at each of their elements: a
+    condition pushed below them would compute the arrays anew for every element.
+    """
+    text = F.col("text")
+    step = docs.select(
+        F.xxhash64("doc_id", "source", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("whole"),
+        words(text).alias("w"), F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^#*$%&|<>]+", "")).alias("n_symbols"), _lines(text).alias("lines"),
+    )
+    step = step.withColumn("normal", F.transform("lines", normal))
+    spaces = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" ")))
+    step = step.withColumn("hashed", F.transform("normal", lambda t: F.struct(line_hash(t).alias("line"), (spaces(t) + 1).alias("n"))))
+    out = _base(step, "row", "doc_id", "host", "whole", "hashed")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return written(out.withColumnRenamed("hashed", "lines").withColumn("base_failed", failed), "figures")
 
 
-def boilerplate(docs: DataFrame, limits: LineLimits) -> DataFrame:
-    """(host, line) above the host's limit, from docs (row, host, text)."""
-    per_host = docs.groupBy("host").agg((F.greatest(F.lit(limits.least).cast("double"), F.count("*") * limits.share)).alias("most"))
-    seen = _line_rows(docs).select("host", "line", "whole").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+def _line_rows(held: DataFrame) -> DataFrame:
+    """(row, host, whole, line, n): a row for each line of :func:`figures`."""
+    return held.select("row", "host", "whole", F.explode("lines").alias("e")).select("row", "host", "whole", F.col("e.line").alias("line"), F.col("e.n").alias("n"))
+
+
+def boilerplate(held: DataFrame, limits: LineLimits) -> DataFrame:
+    """(host, line) above the host's limit, from :func:`figures`."""
+    per_host = held.groupBy("host").agg((F.greatest(F.lit(limits.least).cast("double"), F.count("*") * limits.share)).alias("most"))
+    seen = _line_rows(held).select("host", "line", "whole").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     return seen.where(F.col("n") > limits.least).join(per_host, "host").where("n > most").select("host", "line")
 
 
@@ -86,23 +110,17 @@ def judge(docs: DataFrame, limits: LineLimits | None = None) -> DataFrame:
     words and fails; a null source is a host of its own; other columns are ignored.
     """
     limits = limits or LineLimits()
-    docs = with_row(docs).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
-    once = docs.select("row", "host", "text")
+    held = figures(docs)
     removed = (
-        _line_rows(once).select("row", "host", "line", "n").join(boilerplate(once, limits), ["host", "line"])
-        .groupBy("row").agg(F.sum("n").alias("n_removed"), F.collect_set("line").alias("removed"), F.count("*").alias("_"))
+        _line_rows(held).select("row", "host", "line", "n").join(boilerplate(held, limits), ["host", "line"])
+        .groupBy("row").agg(F.sum("n").alias("n_removed"), F.collect_set("line").alias("removed"))
     )
-    copies = docs.groupBy("row").agg(F.count("*").alias("copies"))
-    removed = removed.join(copies.where("copies > 1"), "row", "left").withColumn("n_removed", (F.col("n_removed") / F.coalesce("copies", F.lit(1))).cast("long"))
-    out = base_metrics(docs).join(removed.select("row", "n_removed", "removed"), "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    copies = held.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
+    removed = removed.join(copies, "row", "left").withColumn("n_removed", (F.col("n_removed") / F.coalesce("copies", F.lit(1))).cast("long"))
+    out = held.drop("host", "whole", "lines").join(removed.select("row", "n_removed", "removed"), "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
     left = F.col("n_words") - F.col("n_removed")
     depleted = (left < limits.min_left) | (100 * F.col("n_removed") > limits.max_removed_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)
-
-
-def with_row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", F.xxhash64("doc_id", "source", "text"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def kept_documents(docs: DataFrame, limits: LineLimits | None = None) -> DataFrame:
@@ -111,7 +129,7 @@ def kept_documents(docs: DataFrame, limits: LineLimits | None = None) -> DataFra
     verdicts = judge(docs, limits).where("kept").select("row", "removed").dropDuplicates(["row"])
     joined = whole.join(verdicts, "row")
     bad = F.col("removed")
-    lines = F.filter(F.split("doc.text", "\n"), lambda t: ~F.array_contains(bad, line_hash(t)))
+    lines = F.filter(F.split("doc.text", "\n"), lambda t: ~F.array_contains(bad, line_hash(normal(t))))
     joined = joined.withColumn("text", F.when(bad.isNull(), F.col("doc.text")).otherwise(F.array_join(lines, "\n")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return joined.select(*(new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns))
@@ -130,10 +148,7 @@ l AS (SELECT r, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) A
         ('0x' || substr(md5(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), 1, 15))::BIGINT AS h
       FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
-lh AS (SELECT DISTINCT r, host, h FROM l),
-rk AS (SELECT r, host, h, row_number() OVER (PARTITION BY r ORDER BY h) AS k FROM lh),
-mm AS (SELECT r, min(CASE WHEN k = 1 THEN h END) AS h1, coalesce(min(CASE WHEN k = 2 THEN h END), -1) AS h2 FROM rk GROUP BY r),
-fr AS (SELECT lh.host, lh.h, count(DISTINCT CASE WHEN lh.h = mm.h1 THEN mm.h2 ELSE mm.h1 END) AS n FROM lh JOIN mm USING (r) GROUP BY 1, 2),
+fr AS (SELECT l.host, l.h, count(DISTINCT md5(d.text)) AS n FROM l JOIN d USING (r) GROUP BY 1, 2),
 hs AS (SELECT host, greatest(5.0, count(*) * 0.01) AS most FROM d GROUP BY host),
 bad AS (SELECT fr.host, fr.h FROM fr JOIN hs USING (host) WHERE fr.n > hs.most),
 rm AS (SELECT l.r, sum(l.n) AS n_removed FROM l JOIN bad ON l.host = bad.host AND l.h = bad.h GROUP BY l.r),

@@ -378,3 +378,12 @@ def test_hashed_sample(spark):
     assert [r["id"] for r in hashed_sample(docs, 50, "text").collect()] == want
     assert hashed_sample(docs.limit(0), 50, "text").count() == 0 and hashed_sample(docs.limit(60), 50, "text").count() == 50
     assert hashed_sample(docs.select(F.lit("same").alias("text")), 50, "text").count() <= 50
+
+
+def test_kept_documents_end_soon(spark):
+    import time
+
+    docs = spark.createDataFrame([(i, prose(60, i) + "\n" + prose(60, i + 1), "h") for i in range(1000)], "doc_id long, text string, source string")
+    start = time.time()
+    assert line_rules.kept_documents(docs).count() == 1000
+    assert time.time() - start < 60
