@@ -5,16 +5,17 @@ of at least p/q the symmetric difference has at most
 D = (q - p) * (|A| + |B|) / (q + p) tokens, and neither size is under p/q of
 the other, so texts meet in bands of sizes [2**b, 2**(b+1)).
 
-*Lanes.* In band b a sketch has 2**b lanes of 64 bits; a token goes to the lane
-its hash names and is XORed into it. A token of the symmetric difference
-changes one lane, so the number of lanes that differ is at most D: of the first
-D + 1 lanes that aren't empty, at least one agrees (the text that reaches its
-count first has an agreeing lane that both emit, since lanes are taken in one
-order). These lanes are the join's keys. Tokens of very many texts (shared
-passages) would make lanes agree for nothing. They are left to a second tier of
-lanes, one token each, that a text reaches only when the first tier has too few
-lanes for it; a third tier of single tokens (then 2 D + 1 keys) makes the
-argument hold for every text.
+*Lanes.* In band b a sketch has 3 * 2**b / 4 lanes of 64 bits; a token goes to
+the lane its hash names and is XORed into it. A token of the symmetric
+difference changes one lane, so at most D lanes that aren't empty differ. Such
+lanes are the join's keys; a text emits them in its own band and, if a larger
+partner may be there, in the next. A text with D or fewer lanes emits its single
+tokens as well, of which at most D differ too.
+
+*Rare keys.* The texts that hold each key are counted. Ordered by that count,
+the first key that two similar texts share is among the first D + 1 keys of
+each, so a text meets others in these alone. A passage that many texts share
+makes keys that come last: texts with enough keys of their own never meet in it.
 
 *Bits.* Two further sketches keep one parity bit a token, in 4 * 2**b bits and
 in 512; their Hamming distance is a lower bound of the symmetric difference as
@@ -23,7 +24,7 @@ well and drops candidates before the exact comparison of the whole sets.
 *Large groups.* Texts with one set are one node. In each key's bucket all
 members are compared with one centre alone (a group that shares many keys has
 a few centres); buckets whose members are then still in different components
-compare the rest across these components. No link between components is lost
+are compared with other centres, and at last the rest across these components. No link between components is lost
 and a group of copies stays linear.
 """
 
@@ -42,12 +43,12 @@ from .words import mix, shingle_sets
 #: Similarity as a fraction, and words in a shingle.
 SIMILAR = (3, 4)
 SHINGLE = 5
-#: Tokens that a task holds at once when it counts frequent ones.
-COUNT_AT_ONCE = 2_000_000
-#: Bands below this have as many lanes as this; their texts are small.
-FEW = 16
+#: Lanes of the smallest bands, whose texts are small.
+FEW = 48
 #: Bits of a key that are shuffled. Keys that fall together by chance meet sketches and sets that differ.
-KEY_BITS = 44
+KEY_BITS = 56
+#: log2 of the bits of the filter of shared keys (32 MB).
+SHARED_BITS = 28
 #: Bits of the short sketch, of which all texts have as many.
 SHORT = 512
 #: Members of a bucket that are compared with its centre in one task's run.
@@ -77,84 +78,31 @@ def _node(s: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _lanes(s: np.ndarray, hot: np.ndarray, band: int, limit: int) -> np.ndarray:
-    """The keys that a set of size n emits in a band, when D is limit."""
-    common = np.zeros(len(s), bool)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-        common = hot[at] == s
-    rare = s[~common]
-    lane = mix(rare) & np.uint64((1 << max(band, FEW if band < 6 else band)) - 1)
+def _lanes(s: np.ndarray, band: int) -> np.ndarray:
+    """Keys of a set's lanes in a band."""
+    lane = mix(s) % np.uint64(max(FEW, (3 << band) >> 2))
     order = np.argsort(lane)
-    lane, rare = lane[order], rare[order]
-    first = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]])) if len(lane) else np.zeros(0, np.int64)
-    xor = np.bitwise_xor.reduceat(rare, first) if len(lane) else rare
-    tiers = [mix(xor[: limit + 1] + _salt(3 * band))]
-    if len(xor) <= limit:
-        tiers.append(mix(s[common][: limit + 1 - len(xor)] + _salt(3 * band + 1)))
-        if len(xor) + int(common.sum()) <= limit:
-            have = len(xor) + int(common.sum())
-            tiers.append(mix(s[: 2 * limit + 1 - have] + _salt(3 * band + 2)))
-    return np.concatenate(tiers) >> np.uint64(64 - KEY_BITS)
-
-
-def _keys(s: np.ndarray, hot: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Keys in the text's own band and, if a larger partner may be there, in the next."""
-    n, band = len(s), _band(len(s))
-    most = n * q // p  # the largest partner
-    out = [_lanes(s, hot, band, (q - p) * (n + min(most, (2 << band) - 1)) // (q + p))]
-    if most >= 2 << band:
-        out.append(_lanes(s, hot, band + 1, (q - p) * (n + most) // (q + p)))
-    return np.concatenate(out)
-
-
-def _survey(docs: DataFrame, n_docs: int, hot_at: int, shingle: int) -> DataFrame:
-    """A row for each text (kind 0) and counts of tokens that are frequent within some task's run (kind 1).
-
-    A token in hot_at of all texts is in at least that share of some run of
-    texts, so every such token is among the counted ones.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seen, n_held, n_texts = [], set(), 0, 0
+    lane = lane[order]
+    first = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+    return mix(np.bitwise_xor.reduceat(s[order], first) + _salt(band)) >> np.uint64(64 - KEY_BITS)
 
-        def counts() -> pd.DataFrame:
-            least = max(2, -(-hot_at * n_texts // max(1, n_docs)))
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            token, count = token[count >= least], count[count >= least]
-            return pd.DataFrame({"kind": 1, "doc_id": None, "n": count, "node": token.view(np.int64), "bits": None, "short": None})
-
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, s in zip(batch["doc_id"], shingle_sets(batch["text"].tolist(), shingle), strict=True):
-                if not len(s):
-                    rows.append((0, doc_id, 0, None, None, None))
-                    continue
-                node = _node(s)
-                rows.append((0, doc_id, len(s), node, _bits(s, max(64, 4 << _band(len(s)))), _bits(s, SHORT)))
-                if node not in seen:
-                    seen.add(node)
-                    held.append(s)
-                    n_held += len(s)
-                    n_texts += 1
-                if n_held >= COUNT_AT_ONCE:
-                    yield counts()
-                    held, seen, n_held, n_texts = [], set(), 0, 0
-            # as objects first: a missing value would turn 64-bit numbers to floats
-            yield pd.DataFrame(rows, columns=["kind", "doc_id", "n", "node", "bits", "short"], dtype=object).astype({"node": "Int64"})
-        if held:
-            yield counts()
 
-    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "kind int, doc_id string, n long, node long, bits array<bigint>, short array<bigint>")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+def _keys(s: np.ndarray, p: int, q: int) -> tuple[list[np.ndarray], list[int]]:
+    """Keys of own lanes, of lanes in the next band and of single tokens, and of each the largest number that may differ."""
+    n, band = len(s), _band(len(s))
+    most = n * q // p  # the largest partner
+    none = np.zeros(0, np.uint64)
+    differ = [(q - p) * (n + min(most, (2 << band) - 1)) // (q + p), (q - p) * (n + most) // (q + p)]
+    keys = [_lanes(s, band), _lanes(s, band + 1) if most >= 2 << band else none]
+    few = len(keys[0]) <= differ[0] or 0 < len(keys[1]) <= differ[1]
+    return [*keys, mix(s + _salt(64)) >> np.uint64(64 - KEY_BITS) if few else none], [*differ, differ[1]]
 
 
-def _emit(docs: DataFrame, hot: np.ndarray, shingle: int, p: int, q: int) -> DataFrame:
-    """(node, key) of every text; copies within a task's run count once."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _shared_keys(docs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """(key, size) of the keys that several sets have; copies within a task's run count once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot, seen = shared.value, set()
+        seen = set()
         for batch in batches:
             keys, nodes, sizes, held = [], [], [], 0
             for s in shingle_sets(batch["text"].tolist(), shingle):
@@ -163,7 +111,7 @@ def _emit(docs: DataFrame, hot: np.ndarray, shingle: int, p: int, q: int) -> Dat
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(node)
-                keys.append(_keys(s, hot, p, q))
+                keys.append(np.concatenate(_keys(s, p, q)[0]))
                 nodes.append(node)
                 sizes.append(len(keys[-1]))
                 held += sizes[-1]
@@ -173,7 +121,58 @@ def _emit(docs: DataFrame, hot: np.ndarray, shingle: int, p: int, q: int) -> Dat
             if keys:
                 yield pd.DataFrame({"node": np.repeat(nodes, sizes), "key": np.concatenate(keys).view(np.int64)})
 
-    return docs.select("text").mapInPandas(run, "node long, key long")
+    counted = docs.select("text").mapInPandas(run, "node long, key long").groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"))
+    return written(counted.where("low <> high").select("key", "size"), "shared")
+
+
+def _survey(docs: DataFrame, shared: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """A row for each text: its set's size, name and sketches, and the keys it may meet others in.
+
+    k0, k1 and k2 are the keys of each kind that are in the filter of shared
+    keys; with kept of them shared indeed, the first kept + slack are used.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(shared.select(F.shiftrightunsigned("key", KEY_BITS - SHARED_BITS).alias("key")), "key", SHARED_BITS, hashed=True))
+    names = ["doc_id", "n", "node", "bits", "short", "slack", "k0", "k1", "k2"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, s in zip(batch["doc_id"], shingle_sets(batch["text"].tolist(), shingle), strict=True):
+                if not len(s):
+                    rows.append((doc_id, 0, None, None, None, None, None, None, None))
+                    continue
+                held, slack = [], []
+                for keys, differ in zip(*_keys(s, p, q), strict=True):
+                    hit = keys[in_filter(bits.value, (keys >> np.uint64(KEY_BITS - SHARED_BITS)).astype(np.int64))]
+                    slack.append(differ + 1 - len(keys))
+                    held.append((hit if slack[-1] + len(hit) > 0 else hit[:0]).view(np.int64))
+                rows.append((doc_id, len(s), _node(s), _bits(s, max(64, 4 << _band(len(s)))), _bits(s, SHORT), slack, *held))
+            # as objects first: a missing value would turn 64-bit numbers to floats
+            yield pd.DataFrame(rows, columns=names, dtype=object).astype({"node": "Int64"})
+
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, "doc_id string, n long, node long, bits array<bigint>, short array<bigint>, slack array<int>, k0 array<bigint>, k1 array<bigint>, k2 array<bigint>"
+    )
+    return written(found.withColumn("doc_id", F.col("doc_id").cast("long")), "survey")
+
+
+def _meetings(survey: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, node, low) of the keys that nodes meet in: each node's rarest. low is the bucket's centre."""
+    keyed = survey.where("doc_id IS NOT NULL AND n > 0 AND size(k0) + size(k1) + size(k2) > 0").dropDuplicates(["node"])
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("slack")[i].alias("slack"), F.col(f"k{i}").alias("keys")) for i in range(3)))
+    each = keyed.select("node", F.explode(kinds).alias("e")).select("node", "e.kind", "e.slack", F.explode("e.keys").alias("key"))
+    own = Window.partitionBy("node", "kind")  # the keys of one text
+    ranked = each.join(shared, "key").select(
+        "node", "key", F.row_number().over(own.orderBy("size", "key")).alias("rank"), (F.col("slack") + F.count("*").over(own)).alias("most")
+    )
+    used = written(ranked.where("rank <= most").select("key", "node"), "used")
+    # the order of nodes, and with it a bucket's centre, depends on two bits of the key
+    turn = F.xxhash64(F.col("key").bitwiseAND(F.lit(3)))
+    ends = used.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("low"), F.max(F.col("node").bitwiseXOR(turn)).alias("high"), F.count("*").alias("size"))
+    ends = ends.where("low <> high").select("key", F.col("low").bitwiseXOR(turn).alias("low"), "size")
+    met = written(used.join(ends, "key"), "met")
+    discard(used)
+    return met
 
 
 def _apart(a: str, b: str) -> Column:
@@ -188,10 +187,15 @@ def _may_link(a: str, b: str, p: int, q: int) -> Column:
 
 
 def _long_too(a: str, b: str, p: int, q: int) -> Column:
-    """The long sketches allow it as well, where both texts are of one band."""
+    """The long sketches allow it as well; the larger one is folded to the size of the other."""
     x, y = F.col(f"{a}.bits"), F.col(f"{b}.bits")
-    apart = F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda total, n: total + n)
-    return (F.size(x) != F.size(y)) | (apart * (q + p) <= (q - p) * (F.col(f"{a}.n") + F.col(f"{b}.n")))
+
+    def folded(own: Column, other: Column) -> Column:
+        n = F.size(other)
+        return F.when(F.size(own) > n, F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, n + 1, n), lambda i, j: i.bitwiseXOR(j))).otherwise(own)
+
+    apart = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda total, n: total + n)
+    return apart * (q + p) <= (q - p) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
@@ -263,22 +267,13 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
     """
     p, q = similar
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_docs = docs.count()
-    # Tokens in more texts than this are frequent; their number is at most that of all tokens over it.
-    hot_at = max(16, int(n_docs**0.5 / 8))
-    survey = written(_survey(docs, n_docs, hot_at, shingle), "survey")
-    hot = [r[0] for r in survey.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_at / 2).select("node").toLocalIterator()]
-    texts = survey.where("kind = 0")
-    first = texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "n", "bits", "short"), "doc_id").alias("t"))
+    shared = _shared_keys(docs.where("doc_id IS NOT NULL"), shingle, p, q)
+    survey = _survey(docs, shared, shingle, p, q)
+    texts = survey.select("doc_id", "n", "node")
+    first = survey.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "n", "bits", "short"), "doc_id").alias("t"))
     nodes = written(first.select("node", "t.*"), "nodes")
-
-    per_key = Window.partitionBy("key")
-    emitted = _emit(docs.where("doc_id IS NOT NULL"), np.sort(np.array(hot, dtype=np.int64).view(np.uint64)), shingle, p, q)
-    # the order of nodes, and with it a bucket's centre, depends on two bits of the key
-    turned = F.col("node").bitwiseXOR(F.xxhash64(F.col("key").bitwiseAND(F.lit(3))))
-    met = emitted.withColumn("turned", turned).select("key", "node", F.min("turned").over(per_key).alias("low"), F.max("turned").over(per_key).alias("high"), F.count("*").over(per_key).alias("size"))
-    met = met.where("low <> high").withColumn("low", F.col("low").bitwiseXOR(F.xxhash64(F.col("key").bitwiseAND(F.lit(3)))))
-    met = written(met.select("key", "node", "low", "size").distinct(), "met")
+    met = _meetings(survey, shared)
+    discard(shared)
 
     def as_pairs(found: DataFrame) -> DataFrame:
         """(x, y: nodes) with ids, after sizes and bits. Few pairs are sent to the nodes, so that sketches stay where they are."""
@@ -297,19 +292,22 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
     def unsettled(labels: DataFrame) -> DataFrame:
         """Rows of buckets of three or more whose members are in different components; a bucket of two is its centred pair."""
         named = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
-        ends = met.where("size > 2").select("key", "node").join(named, "node").withColumn("c", F.min("component").over(per_key)).withColumn("d", F.max("component").over(per_key))
-        return ends.where("c <> d").drop("c", "d").join(nodes.select("node", "n", "short"), "node")
+        rows = written(met.where("size > 2").select("key", "node").join(named, "node"), "named")
+        mixed = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
+        out = written(rows.join(mixed, "key").join(nodes.select("node", "n", "short", "bits"), "node"), "open")
+        discard(rows)
+        return out
 
     def across(a: DataFrame, b: DataFrame, both_ways: bool) -> DataFrame:
         """Pairs of one bucket and two components."""
         differ = F.col("a.component") != F.col("b.component") if both_ways else F.col("a.component") < F.col("b.component")
-        met_again = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & differ & _may_link("a", "b", p, q))
+        met_again = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & differ & _may_link("a", "b", p, q) & _long_too("a", "b", p, q))
         return met_again.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.least("a.component", "b.component").alias("c"), F.greatest("a.component", "b.component").alias("d"), _apart("a", "b").alias("apart"))
 
     # once more with other centres, drawn for each bucket; of two components the nearest pair is enough
-    again = written(unsettled(labels), "open")
+    again = unsettled(labels)
     order = [F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(k))) for k in range(CENTRES)]
-    fields = F.struct("node", "n", "short", "component")
+    fields = F.struct("node", "n", "short", "bits", "component")
     centres = again.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(fields, o) for o in order))).alias("m")).select("key", F.explode("m").alias("m")).select("key", "m.*")
     nearest = across(again, centres, True).groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("m")).select("m.*").distinct()
     more = written(as_pairs(nearest).select("a", "b", "node_a", "node_b"), "stars")
@@ -318,7 +316,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
 
     # what is left, pair by pair
     discard(again)
-    open_rows = written(unsettled(labels), "open")
+    open_rows = unsettled(labels)
     place = labels.select(F.col("id").alias("a"), F.col("component").alias("c")), labels.select(F.col("id").alias("b"), F.col("component").alias("d"))
     pending = centred.join(place[0], "a", "left").join(place[1], "b", "left").where("coalesce(c, a) <> coalesce(d, b)")
     rest = across(open_rows, open_rows, False).select("x", "y").union(pending.select("node_a", "node_b"))
