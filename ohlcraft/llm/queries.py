@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, lang_ecoc, licenses, line_rules, ngram_join, packing, quality_fm, secrets_markov, substring, warc_fixity
-from .common import table
+from .common import table, written
 
 
 def _fold(n: int):
@@ -73,8 +73,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' records against a replica that a rule damages."""
-    records = warc_fixity.to_records(table(spark, sf_dir, "pages"))
-    return warc_fixity.audit(records, records, warc_fixity.damaged(records))
+    held = warc_fixity.damaged(warc_fixity.to_records(table(spark, sf_dir, "pages"))).drop("record")
+    index = written(warc_fixity.lay_out(held), "index")
+    replica = index.where("other IS NOT NULL").select("file", "offset", F.col("other").alias("sha256"))
+    return warc_fixity.audit(index, index.select("file", "offset", "sha256"), replica)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -118,17 +118,30 @@ def test_ngram_join_chains(spark):
     assert got == plain_components(rows)
 
 
-def test_lanes_find_every_similar_pair():
+def test_rarest_keys_find_every_similar_pair():
     r = np.random.default_rng(2)
+    pairs, crowd = [], []
     for n in [*range(1, 40), 70, 150, 400, 1500]:
         for _ in range(6):
             a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
             k = int(len(a) * r.uniform(0, 0.14))
             b = np.unique(np.concatenate([a[k:], r.integers(0, 2**63, k).astype(np.uint64)]))
-            hot = np.sort(r.choice(a, int(len(a) * r.uniform(0, 1)), replace=False))
-            common = len(np.intersect1d(a, b))
-            if 4 * common >= 3 * (len(a) + len(b) - common):
-                assert len(np.intersect1d(ngram_join._keys(a, hot, 3, 4), ngram_join._keys(b, hot, 3, 4)))
+            b = b[: max(1, int(len(b) * r.uniform(0.8, 1)))] if r.random() < 0.3 else b
+            pairs.append((a, b))
+            # others share a good part of it
+            crowd += [np.unique(np.concatenate([r.choice(a, int(len(a) * r.uniform(0, 0.6)), replace=False), r.integers(0, 2**63, len(a) // 2).astype(np.uint64)])) for _ in range(3)]
+    size = collections.Counter(k for s in [*crowd, *(x for ab in pairs for x in ab)] if len(s) for kind in ngram_join._keys(s, 3, 4)[0] for k in kind.tolist())
+
+    def used(s):
+        return {k for keys, differ in zip(*ngram_join._keys(s, 3, 4), strict=True) for k in sorted(keys.tolist(), key=lambda k: (size[k], k))[: differ + 1]}
+
+    found = 0
+    for a, b in pairs:
+        common = len(np.intersect1d(a, b))
+        if 4 * common >= 3 * (len(a) + len(b) - common):
+            assert used(a) & used(b)
+            found += 1
+    assert found > 150
 
 
 def test_quality(spark, edges, empty):
@@ -344,18 +357,38 @@ def test_substring_removal(spark, edges, empty):
 
 def test_fixity(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
-    rows = warc_fixity.to_records(pages).cache()
-    assert warc_fixity.audit(rows, rows, rows).count() == 0
+    held = warc_fixity.to_records(pages)
+    rows = warc_fixity.lay_out(held.drop("record")).join(held.select("page_id", "record"), "page_id").cache()
+    assert rows.count() == pages.count()
+    bodies = rows.select("file", "offset", "record")
+    assert warc_fixity.audit(rows, bodies, rows).count() == 0
     assert warc_fixity.audit(rows.limit(0), rows.limit(0), rows.limit(0)).count() == 0
     ids = sorted(r["page_id"] for r in rows.select("page_id").collect())
     lost, changed = set(ids[3:5]), set(ids[10:13])
-    other = rows.where(~F.col("page_id").isin(list(lost))).withColumn("record", F.when(F.col("page_id").isin(list(changed)), F.concat("record", F.lit("!"))).otherwise(F.col("record")))
-    got = {(r["page_id"], r["problem"]) for r in warc_fixity.audit(rows, rows, other).collect()}
+    other = rows.where(~F.col("page_id").isin(list(lost))).select("file", "offset", F.when(F.col("page_id").isin(list(changed)), F.concat("record", F.lit("!"))).otherwise(F.col("record")).alias("record"))
+    got = {(r["page_id"], r["problem"]) for r in warc_fixity.audit(rows, bodies, other).collect()}
     assert got == {(i, "missing_b") for i in lost} | {(i, "changed") for i in changed}
-    odd = spark.createDataFrame([(None, None, None), (None, "u", "h"), (1, "a", "x"), (1, "a", "x")], "page_id long, url string, html string")
-    assert warc_fixity.to_records(odd).count() == 4
-    last = rows.groupBy("file").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).first()
-    assert last["n"] == last["end"]
+    last = rows.groupBy("file").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r["n"] == r["end"] for r in last)
+
+
+def test_fixity_edges(spark):
+    odd = [(None, None, None, 1), (None, "u", "h", 2), *[(1, "a", "x", 3)] * 3, (1, "b", None, 4), (-5, "c", "long " * 5000, 5), (2**62, "d", "", 6)]
+    pages = spark.createDataFrame(odd, "page_id long, url string, html string, file int").withColumn("record", F.lit("clash")).withColumn("offset", F.lit(0))
+    index = warc_fixity.lay_out(warc_fixity.to_records(pages).drop("record")).cache()
+    placed = collections.defaultdict(list)
+    for r in index.collect():
+        placed[r["file"]].append((r["offset"], r["length"], r["page_id"]))
+    assert sum(map(len, placed.values())) == len(odd)
+    for rows in placed.values():
+        rows.sort()
+        assert rows[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(rows, rows[1:], strict=False))
+    assert warc_fixity.audit(index, index, index).count() == 0
+    # an address held twice, rows without an address, a record that the index doesn't list
+    first = index.where("page_id = -5")
+    more = index.unionByName(first).unionByName(index.limit(1).withColumn("offset", F.lit(None).cast("long"))).unionByName(first.withColumn("offset", F.lit(10**13)))
+    got = sorted((r["page_id"] or 0, r["offset"], r["problem"]) for r in warc_fixity.audit(index, index, more).collect())
+    assert got == [(-5, 0, "changed"), (0, 10**13, "missing_a")]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
