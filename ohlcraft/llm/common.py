@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: space and the ASCII controls tab to carriage return.
@@ -157,15 +157,30 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def hashed_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """``rows`` rows of df at most, those with the smallest hashes of the columns ``by``.
+#: Groups that a sample is drawn from: the most frequent ones.
+GROUPS = 500
 
-    Rows are counted first, so that beyond 4 * rows each task keeps only the
-    hashes below a bound that about 2 * rows of all rows lie under: what meets
-    in the last task doesn't grow with the number of tasks. (Where many rows
-    are copies fewer distinct ones may lie under it.)
+
+def hashed_sample(df: DataFrame, rows: int, *by: str, group: str | None = None) -> DataFrame:
+    """``rows`` rows of df at most, those with the smallest hashes of the columns ``by``, each content once.
+
+    With ``group`` every one of its values (not null; of more than GROUPS the
+    most frequent) gets an equal share, one row at least. Copies are left out
+    before rows are taken, so no group of copies fills or empties the sample.
+    Different contents are estimated first, so that a task keeps only hashes
+    under a bound that about twice the share lies under; the bound is raised
+    until no share is short.
     """
-    h, total = F.xxhash64(*by), df.count()
-    if total > 4 * rows:
-        df = df.where(h < F.lit(-(2**63) + 2**64 * 2 * rows // total).cast("long"))
-    return df.orderBy(h).limit(rows)
+    keyed = df.withColumn("_h", F.xxhash64(*by)).withColumn("_g", F.col(group).cast("string") if group else F.lit(""))
+    found = keyed.groupBy("_g").agg(F.approx_count_distinct("_h").alias("d"), F.count("*").alias("n")).where("_g IS NOT NULL").orderBy(F.desc("n"), "_g").limit(GROUPS).collect()
+    share, loose = max(1, rows // max(1, len(found))), 2
+    while True:
+        bounds = {r["_g"]: min(2**63 - 1, -(2**63) + 2**64 * loose * share // max(1, r["d"])) for r in found}
+        limits = F.broadcast(df.sparkSession.createDataFrame(list(bounds.items()), "_g string, bound long"))
+        under = keyed.join(limits, "_g").where("_h <= bound").dropDuplicates(["_h"])
+        rank = F.row_number().over(Window.partitionBy("_g").orderBy("_h"))  # about 2 * share rows
+        kept = written(under.withColumn("rank", rank).where(F.col("rank") <= share).select(*df.columns, "_g"), "sample")
+        sizes = {r["_g"]: r["count"] for r in kept.groupBy("_g").count().collect()}
+        if all(sizes.get(g, 0) == share or b == 2**63 - 1 for g, b in bounds.items()):
+            return kept.drop("_g")
+        loose *= 4

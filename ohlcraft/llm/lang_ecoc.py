@@ -21,7 +21,7 @@ from .common import hashed_sample
 from .words import chunks
 
 GRAMS = 4096
-#: Labelled rows that the classifiers are fitted on at most: those with the smallest hashes of the text.
+#: Labelled rows that the classifiers are fitted on at most, with an equal share for each language: different texts with the smallest hashes.
 SAMPLE = 3000
 #: A gap between the two best mean losses below this is ambiguous.
 GAP = 0.05
@@ -104,8 +104,8 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 200, decay: float = 1e-5)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Coder:
-    """The coder fitted on docs (text, lang) with a text and a lang, ``sample`` rows at most."""
-    chosen = hashed_sample(docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang"), sample, "text", "lang")
+    """The coder fitted on docs (text, lang) with a text and a lang: ``sample`` different rows at most, one for each language at least."""
+    chosen = hashed_sample(docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang"), sample, "text", "lang", group="lang")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .words import chunks, distinct, window_hashes, word_hashes
 
 WORDS = 4096
 BINS = 12
-#: Labelled rows that the model is fitted on at most: those with the smallest hashes of doc_id.
+#: Labelled rows that the model is fitted on at most: of each label those with the smallest hashes of doc_id.
 SAMPLE = 4000
 RANK = 8
 _CLASS = np.zeros((6, 256), dtype=np.int64)
@@ -101,9 +102,13 @@ def _held(docs: DataFrame, metadata: Sequence[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_chars",), sample: int = SAMPLE) -> Machine:
-    """The machine fitted on docs that labels (doc_id, label) names, ``sample`` of them at most."""
-    chosen = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "label").limit(sample)
+    """The machine fitted on docs that labels (doc_id, label) names: ``sample`` of them at most, each label with an equal share.
+
+    Of several labels of a doc_id the smallest counts, of several rows of a
+    doc_id the one with the smallest hash.
+    """
+    named = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min(F.col("label").cast("int")).alias("label"))
+    chosen = hashed_sample(named, sample, "doc_id", group="label")
     n = len(metadata)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,8 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_char
             got = list(features(batch["text"].tolist(), batch[[f"meta{i}" for i in range(n)]].to_numpy(float)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "at": [a for a, _ in got], "x": [x for _, x in got]})
 
-    rows = _held(docs, metadata).join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id string, label int, at array<int>, x array<double>")
-    rows = sorted(rows.collect(), key=lambda r: (r[0], r[1], r[2], r[3]))[:sample]  # as many as the sample, with features only
+    held = _held(docs, metadata)
+    one = held.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("label", *held.columns[1:]), F.xxhash64(*held.columns)).alias("r"))
+    rows = one.select("doc_id", "r.*").mapInPandas(run, "doc_id string, label int, at array<int>, x array<double>")
+    rows = sorted(rows.collect(), key=lambda r: r[0])  # as many as the sample, with features only
     return fit([(np.array(r["at"]), np.array(r["x"])) for r in rows], np.array([r["label"] for r in rows]), WORDS + (N_STATS + n) * BINS)
 
 

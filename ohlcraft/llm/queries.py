@@ -30,7 +30,7 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
     scored = quality_fm.score(docs, quality_fm.train(docs, labels))
-    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coder = lang_ecoc.train(docs.where(_fold(5) != 0))
-    return lang_ecoc.predict(docs, coder).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return lang_ecoc.predict(docs, coder).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op7_benchmark_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

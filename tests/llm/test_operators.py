@@ -261,12 +261,13 @@ def test_secrets(spark, edges, empty):
     assert secrets_markov.secret_scan(edges, models).count() == len(edge_rows()) and secrets_markov.secret_scan(empty).count() == 0
 
 
-def test_packing_round_trip(spark, edges):
+def test_packing_round_trip(spark, edges, empty):
     from tokenizers import Tokenizer
 
     names = queries.byte_bpe()
     tokenizer = Tokenizer.from_file(names["tokenizer"])
-    rows = edge_rows() + [(500, "a <|endoftext|> b", None, None, None, None, None), (501, " \u0085 x  y\n\n 's", None, None, None, None, None)]
+    rows = edge_rows() + [(500, "a <|endoftext|> b", None, None, None, None, None), (501, " \u0085 x  y\n\n 's", None, None, None, None, None), (502, "x" + " " * 1_000_000 + "y", None, None, None, None, None)]
+    assert packing.pack(empty, **names).count() == 0
     got = packing.pack(spark.createDataFrame(rows, DOCS), **names).toPandas()
     for r in rows:
         if r[0] in (None, 3, 9):
@@ -280,7 +281,27 @@ def test_packing_round_trip(spark, edges):
         assert at == len(ids)
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert (s["offset"].to_numpy() == s["length"].cumsum().to_numpy() - s["length"].to_numpy()).all() and s["length"].sum() <= 2048
-    assert packing.cut(5000, 2048, 32) == [2048, 2048, 512, 256, 128, 8] and sum(packing.cut(4095, 2048, 32)) == 4095
+
+
+def test_packing_classes():
+    r, bins = random.Random(6), packing.Bins(2048, 0)
+    lengths = [int(min(6000, r.lognormvariate(5.5, 1.2))) + 1 for _ in range(3000)]
+    for i, n in enumerate(lengths):
+        bins.add(packing.Piece(str(i), 0, bytes(4 * n), n))
+    bins.end()
+    by_bin, by_doc = collections.defaultdict(list), collections.defaultdict(list)
+    for doc, start, n, _, _, seq, offset in bins.rows:
+        by_bin[seq].append((offset, n))
+        by_doc[doc].append((start, n))
+    assert len(by_doc) == len(lengths)
+    for i, n in enumerate(lengths):
+        assert sum(m for _, m in by_doc[str(i)]) == n
+    for rows in by_bin.values():
+        total = sum(n for _, n in rows)
+        assert total <= 2048 and total & (total - 1) == 0, "sequences are full or powers of two"
+        assert [o for o, _ in rows] == [sum(n for _, n in rows[:k]) for k in range(len(rows))]
+    whole = [i for i, n in enumerate(lengths) if n <= 2048]
+    assert sum(len(by_doc[str(i)]) == 1 for i in whole) > 0.7 * len(whole)
 
 
 def test_languages(spark, edges, empty):
@@ -301,7 +322,8 @@ def test_decontamination_against_all_windows(spark, edges, empty):
         w = prose(80, i).split()
         item = items[i % 12][1].split()
         for _ in range(i // 12):
-            item[r.randrange(len(item))] = "edited"
+            at = r.randrange(len(item))
+            item[at : at + r.choice([0, 1, 1])] = ["edited"] * r.choice([0, 1, 1, 3])
         docs.append((i, " ".join(w[:30] + item + w[30:])))
     docs += [(100, None), (101, ""), (102, "x Only three WORDS y"), (103, items[0][1] + " " + items[0][1])]
 
@@ -325,12 +347,46 @@ def test_decontamination_against_all_windows(spark, edges, empty):
     assert decontam.contaminated(edges, bench.limit(0)).count() == 0 and decontam.clean_documents(edges, bench).count() == len(edge_rows())
 
 
-def test_licenses(spark, edges, empty):
+def plain_licenses(docs, forms):
+    """Containment in the operator's windows, for every window and template."""
+
+    def split(text):
+        return WORD.findall(re.sub(r"[.,;:!?|()\"'*]+(?=[\x20\x09-\x0D]|$)", "", (text or "").lower()))
+
+    def runs(w, g):
+        return {tuple(w[i : i + g]) for i in range(len(w) - g + 1)}
+
+    out = {}
+    for name, text in forms.items():
+        t = split(text)
+        if not t:
+            continue
+        m, g = len(t), min(len(t), 5)
+        for d, body in docs:
+            w = split(body)
+            shares = [(-len(runs(t, g) & runs(w[s : s + 2 * m], g)) / len(runs(t, g)), s) for s in range(0, max(1, len(w)), max(1, m // 2))]
+            if -min(shares)[0] >= 0.75:
+                out[d, name] = (-min(shares)[0], min(shares)[1])
+    return out
+
+
+def test_licenses_equal_all_windows(spark, edges, empty):
     forms = licenses.templates(spark)
     texts = [prose(40, 1) + " Released under the MIT License. " + prose(9, 2), "all RIGHTS reserved", "all rights", None, "", licenses.NOTICES["MIT-text"] + " " + prose(60, 3), prose(100, 4)]
-    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forms).collect()}
-    assert got == {(0, "MIT"): 1.0, (1, "reserved"): 1.0, (5, "MIT-text"): 1.0}
+    r = random.Random(12)
+    for i, body in enumerate([t for t in licenses.NOTICES.values() if len(t.split()) > 14] * 3):
+        w = body.split()
+        for _ in range(r.randrange(1 + len(w) // 16)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice([0, 1])] = ["altered"] * r.choice([0, 1, 2])
+        texts.append(" ".join([prose(r.randrange(1, 60), i), *w, prose(r.randrange(1, 60), 100 + i)]))
+    docs = list(enumerate(texts))
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["start"]) for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), forms).collect()}
+    want = plain_licenses(docs, licenses.NOTICES)
+    assert got == want and len(want) > 40
+    assert {(0, "MIT"), (1, "reserved"), (5, "MIT-text")} <= set(got)
     assert licenses.license_scan(edges, forms).count() == 0 and licenses.license_scan(empty, forms).count() == 0
+    assert licenses.license_scan(edges, forms.limit(0)).count() == 0
 
 
 def plain_removal(rows, n=35):
@@ -410,7 +466,11 @@ def test_hashed_sample(spark):
     want = [r["id"] for r in docs.orderBy(F.xxhash64("text")).limit(50).collect()]
     assert [r["id"] for r in hashed_sample(docs, 50, "text").collect()] == want
     assert hashed_sample(docs.limit(0), 50, "text").count() == 0 and hashed_sample(docs.limit(60), 50, "text").count() == 50
-    assert hashed_sample(docs.select(F.lit("same").alias("text")), 50, "text").count() <= 50
+    assert hashed_sample(docs.select(F.lit("same").alias("text")), 50, "text").count() == 1
+    assert hashed_sample(spark.range(20000).select(F.lit("same").alias("text")), 50, "text").count() == 1
+    few = spark.range(40000).select((F.col("id") % 40).cast("string").alias("text"), (F.col("id") % 8).cast("string").alias("lang"))
+    assert hashed_sample(few, 3000, "text", "lang", group="lang").count() == 40
+    assert hashed_sample(few, 16, "text", "lang", group="lang").groupBy("lang").count().where("count = 2").count() == 8
 
 
 def test_kept_documents_end_soon(spark):
