@@ -40,8 +40,8 @@ _IS_KEY = np.zeros(256, dtype=bool)
 _IS_KEY[list(_KEY)] = True
 _CODE = np.full(256, len(_KEY), dtype=np.int64)
 _CODE[list(_KEY)] = np.arange(len(_KEY))
-#: A whole run of key characters without digits: pieces of a run with digits may be pieces of a key.
-_ORDINARY = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]{3,}(?![A-Za-z0-9+/_=-])")
+#: A whole run of key characters, without digits or too short for a key: pieces of a long run with digits may be pieces of a key.
+_ORDINARY = re.compile("(?<![A-Za-z0-9+/_=-])(?:[A-Za-z+/_=-]{3,}|[A-Za-z0-9+/_=-]{3,15})(?![A-Za-z0-9+/_=-])")
 #: A key holds a letter; numbers alone are none.
 _LETTER = re.compile(rb"[A-Za-z]")
 _SEPARATOR = b"/_=-"
@@ -121,12 +121,42 @@ def train(samples: list[tuple[str, int]], margin: float = 5.0) -> Models:
     return fitted([t for t in ordinary if len(t) < RUN or first.score(t.encode()) <= 0])
 
 
+def numbered(words: list[str], n: int, rng: random.Random) -> list[str]:
+    """n ordinary identifiers with digits: dates and times, UUIDs, versions, numbered names and paths of words."""
+    words = words or ["item"]
+
+    def number(most: int) -> str:
+        return str(rng.randrange(10 ** rng.randint(1, most)))
+
+    def date(sep: str) -> str:
+        return f"{rng.randint(1970, 2039)}{sep}{rng.randint(1, 12):02}{sep}{rng.randint(1, 28):02}"
+
+    def time(sep: str) -> str:
+        return f"{rng.randint(0, 23):02}{sep}{rng.randint(0, 59):02}{sep}{rng.randint(0, 59):02}"
+
+    def word() -> str:
+        w = rng.choice(words)
+        return rng.choice([w, w.upper(), w.capitalize()])
+
+    def uuid() -> str:
+        return "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12))
+
+    kinds = [
+        lambda: date("-") + rng.choice("T_-/") + time("-") + rng.choice(["", "Z"]), lambda: rng.choice(["IMG", "VID", "log", word()]) + "_" + date("") + "_" + time("") + rng.choice(["", "_" + number(3)]),
+        uuid, lambda: "/".join([word(), word(), "v" + number(1), word(), number(9)]), lambda: "".join(word().capitalize() + number(4) for _ in range(3)),
+        lambda: "-".join([word(), number(2), number(2), number(3)]), lambda: word() + "_" + number(6) + "_" + word(), lambda: "/".join([date("/"), word(), word() + number(5)]), lambda: number(30),
+    ]
+    return [kinds[i % len(kinds)]() for i in range(n)]
+
+
 def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int = SAMPLE_RANDOM) -> list[tuple[str, int]]:
     """Random strings from a seeded generator (1), and all words and joined words of n_docs documents (0).
 
     The documents are those with the smallest hashes; words that the fixed
     patterns find are left out. Three words in a row, each under RUN characters,
-    are joined, with each of four separators in turn. A word counts in capitals as well.
+    are joined, with each of four separators in turn. A word counts in capitals
+    as well. Names with numbers are made of such words by :func:`numbered`, a
+    third as many.
     """
     rng = random.Random(20240501)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", _KEY[:62].decode(), _KEY[:64].decode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
@@ -145,7 +175,9 @@ def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int =
                 seen.update(a + sep + b + sep + c for a, b, c, sep in zip(short, short[1:], short[2:], itertools.cycle(["", "_", "-", "/"]), strict=False))
             yield pd.DataFrame({"word": sorted(seen)})
 
-    return out + [(r[0], 0) for r in chosen.mapInPandas(ordinary, "word string").distinct().toLocalIterator()]
+    found = sorted(r[0] for r in chosen.mapInPandas(ordinary, "word string").distinct().toLocalIterator())
+    plain = [w for w in found if w.isalpha() and len(w) < RUN and w.islower()]
+    return out + [(w, 0) for w in [*found, *numbered(plain, len(found) // 3, rng)]]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
