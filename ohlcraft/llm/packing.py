@@ -1,22 +1,24 @@
 """Harmonic packing of tokenised documents (operator 5).
 
-Documents may be cut, so each is cut to the lengths of reciprocal classes: as
-many pieces of the whole capacity as it holds, then one piece for each binary
-digit of the rest (capacity / 2, / 4, ... down to ``least``), then a tail
-shorter than ``least``. Class C holds pieces of one length; its bins take
-floor(capacity / length) of them, a fixed count, so every task fills its bins
-by counting alone, without seeing other tasks. Bins of power-of-two classes
-are full. What a task has left in unfilled bins at its end (under one bin for
-each class) is laid end to end into bins and the last of these is split at
-powers of two, which aren't padded.
+A document's last part, all of it where it is no longer than the capacity C
+(what comes before are full sequences), belongs to class k if its length lies in
+(C / (k + 1), C / k]. A bin of class k takes k such documents whole, a fixed
+count, so every task fills its bins by counting alone, without seeing other
+tasks. The room that a bin has left (under C / (k + 1)) is filled from a short
+queue of other documents, which alone are cut: those of C / CLASSES tokens or
+fewer, and any other whenever the queue holds less than C. A queue of 2 C is a
+sequence of its own. What a task has left at its end (CLASSES * CLASSES / 2
+documents at most) is laid end to end and the last sequence is split at powers
+of two, which aren't padded.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a sequence id that count a task's bins; the bits above name the task.
 BIN_BITS = 36
+#: Classes, of which the last takes documents of down to a CLASSES-th of the capacity.
+CLASSES = 32
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -34,7 +38,7 @@ class TextIds:
 
     Two libraries read the same vocabulary. The faster one takes every text
     but those with the string of a special token, which only the tokenizer
-    file defines.
+    file defines, and those with runs too long for its splitting expression.
     """
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
@@ -48,68 +52,107 @@ class TextIds:
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-
-
-def cut(n: int, capacity: int, least: int) -> list[int]:
-    """Lengths of the pieces of a document of n tokens, in order."""
-    out = [capacity] * (n // capacity)
-    rest, size = n % capacity, capacity // 2
-    while size >= least:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    return out + [rest] * (rest > 0)
-
-
-def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: int = 2048, end_id: int = 1, least: int = 32) -> DataFrame:
+        if not any(s in text for s in self.special):
+            try:
+                return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # the expression backtracks too far on a very long run of spaces
+                pass
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+@dataclass(frozen=True, slots=True)
+class Piece:
+    doc_id: str | None
+    start: int
+    ids: bytes
+    doc_tokens: int
+
+    def __len__(self) -> int:
+        return len(self.ids) // 4
+
+    def split(self, n: int) -> tuple[Piece, Piece]:
+        return Piece(self.doc_id, self.start, self.ids[: 4 * n], self.doc_tokens), Piece(self.doc_id, self.start + n, self.ids[4 * n :], self.doc_tokens)
+
+
+class Bins:
+    """The bins of one task; ``rows`` has COLUMNS of the pieces placed since it was last emptied."""
+
+    def __init__(self, capacity: int, first: int):
+        self.capacity, self.next, self.rows = capacity, first, []
+        self.open: dict[int, list[Piece]] = defaultdict(list)
+        self.queue: deque[Piece] = deque()
+        self.queued = 0
+
+    def add(self, piece: Piece) -> None:
+        while len(piece) > self.capacity:
+            full, piece = piece.split(self.capacity)
+            self.place([full])
+        if len(piece) * CLASSES <= self.capacity or self.queued < self.capacity:
+            self.queue.append(piece)
+            self.queued += len(piece)
+            if self.queued >= 2 * self.capacity:
+                self.place(self.taken(self.capacity))
+            return
+        k = self.capacity // len(piece)
+        self.open[k].append(piece)
+        if len(self.open[k]) == k:
+            whole = self.open.pop(k)
+            self.place(whole + self.taken(self.capacity - sum(map(len, whole))))
+
+    def taken(self, n: int) -> list[Piece]:
+        """n tokens of the queue, which holds as many."""
+        out = []
+        self.queued -= n
+        while n:
+            piece = self.queue.popleft()
+            if len(piece) > n:
+                piece, rest = piece.split(n)
+                self.queue.appendleft(rest)
+            out.append(piece)
+            n -= len(piece)
+        return out
+
+    def place(self, pieces: list[Piece]) -> None:
+        offset = 0
+        for p in pieces:
+            self.rows.append((p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, self.next, offset))
+            offset += len(p)
+        self.next += 1
+
+    def end(self) -> None:
+        """Place what is left."""
+        for k in sorted(self.open):
+            self.queue.extend(self.open[k])
+            self.queued += sum(map(len, self.open[k]))
+        self.open.clear()
+        while self.queued:
+            self.place(self.taken(min(self.capacity, 1 << (self.queued.bit_length() - 1))))
+
+
+def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """A row for each piece of each row of docs (doc_id long, text string): COLUMNS.
 
     A null text is empty and has the end id alone. Rows that repeat a doc_id
     are packed as rows of their own, a null doc_id stays null; other columns
     are ignored. ``tokenizer`` and ``ranks`` are paths, on every machine, of one
     vocabulary as a tokenizer file and as ranks, and ``pattern`` is the
-    expression that splits texts before merging. ``capacity`` and ``least`` are powers of two. A task that is run
-    again gives the same rows when its input rows come in the same order, as
-    those of files do.
+    expression that splits texts before merging. ``capacity`` is a power of two.
+    An empty table gives no rows. A task that is run again gives
+    the same rows when its input rows come in the same order, as those of files do.
     """
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = TextIds(tokenizer, ranks, pattern)
-        base = TaskContext.get().partitionId() << BIN_BITS
-        bins = 0
-        unfilled: dict[int, list[tuple]] = defaultdict(list)  # class: pieces of its open bin
+        bins = Bins(capacity, TaskContext.get().partitionId() << BIN_BITS)
         for data in batches:
-            rows = []
             for doc_id, text in zip(data["doc_id"], data["text"], strict=True):
                 text_ids = ids(text or "") + tail
-                total, start = len(text_ids) // 4, 0
-                for length in cut(total, capacity, least):
-                    held = unfilled[length]
-                    held.append((doc_id, start, length, text_ids[4 * start : 4 * (start + length)], total))
-                    start += length
-                    if len(held) == capacity // length:
-                        rows += [(d, s, n, zlib.crc32(b), t, base + bins, i * length) for i, (d, s, n, b, t) in enumerate(held)]
-                        bins += 1
-                        unfilled[length] = []
-            yield pd.DataFrame(rows, columns=COLUMNS)
-        left = [p for length in sorted(unfilled, reverse=True) for p in unfilled[length]]
-        tokens = sum(p[2] for p in left)
-        room, offset, rows = capacity if tokens >= capacity else 1 << max(0, tokens.bit_length() - 1), 0, []
-        for doc_id, start, length, buffer, total in left:
-            done = 0
-            while done < length:
-                n = min(length - done, room - offset)
-                rows.append((doc_id, start + done, n, zlib.crc32(buffer[4 * done : 4 * (done + n)]), total, base + bins, offset))
-                done, offset, tokens = done + n, offset + n, tokens - n
-                if offset == room:
-                    bins, offset = bins + 1, 0
-                    room = capacity if tokens >= capacity else 1 << max(0, tokens.bit_length() - 1)
-        yield pd.DataFrame(rows, columns=COLUMNS)
+                bins.add(Piece(doc_id, 0, text_ids, len(text_ids) // 4))
+            yield pd.DataFrame(bins.rows, columns=COLUMNS)
+            bins.rows = []
+        bins.end()
+        yield pd.DataFrame(bins.rows, columns=COLUMNS)
 
     # doc_id as a string: pandas would hold a column of numbers with nulls as floats
     schema = ", ".join(f"{c} {'string' if c == 'doc_id' else 'long'}" for c in COLUMNS)
