@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import discard, hashed_sample, written
 from .words import chunks
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -49,6 +49,10 @@ _SEPARATOR = b"/_=-"
 RUN = 16
 #: Documents from whose words the model of ordinary identifiers is counted, and generated random strings.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 3000
+#: Words that names with numbers are made of.
+FEW_WORDS = 2000
+#: The log-likelihood ratio beyond which a stretch is a secret.
+MARGIN = 5.0
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -95,30 +99,35 @@ class Models:
 
 
 def _counted(texts: list[str]) -> np.ndarray:
-    """How often each character follows each, or the start; smoothed by a half."""
+    """How often each character follows each, or the start."""
     shape = len(_KEY) + 2, len(_KEY) + 1
     # a line feed stands before each text and is no key character: it is the start, and what leads to it isn't counted
     buf = np.frombuffer(("\n" + "\n".join(texts)).encode(), np.uint8)
     at = np.where(buf == 10, shape[0] - 1, _CODE[buf])
     pairs = (at[:-1] * shape[1] + at[1:])[at[1:] < shape[1]]
-    return np.bincount(pairs, minlength=shape[0] * shape[1]).reshape(shape) + 0.5
+    return np.bincount(pairs, minlength=shape[0] * shape[1]).reshape(shape).astype(float)
 
 
-def train(samples: list[tuple[str, int]], margin: float = 5.0) -> Models:
+def _models(ordinary: np.ndarray, random_: np.ndarray, margin: float) -> Models:
+    logs = [np.log((c + 0.5) / (c + 0.5).sum(axis=1, keepdims=True)) for c in (ordinary, random_)]
+    return Models(logs[1] - logs[0], margin)
+
+
+def _is_ordinary(models: Models, word: str) -> bool:
+    """Not a long string that a first model takes for a random one."""
+    return len(word) < RUN or models.score(word.encode()) <= 0
+
+
+def train(samples: list[tuple[str, int]], margin: float = MARGIN) -> Models:
     """Models from (string, 1 for a random one or 0); margin is the threshold of the log-likelihood ratio.
 
     Samples of RUN characters and more that are labelled 0 but likelier random
     under a first model are left out of the second.
     """
-
-    def fitted(ordinary: list[str]) -> Models:
-        logs = [np.log(c / c.sum(axis=1, keepdims=True)) for c in (_counted(ordinary), secret)]
-        return Models(logs[1] - logs[0], margin)
-
     secret = _counted([t for t, label in samples if label])
     ordinary = [t for t, label in samples if not label]
-    first = fitted(ordinary)
-    return fitted([t for t in ordinary if len(t) < RUN or first.score(t.encode()) <= 0])
+    first = _models(_counted(ordinary), secret, margin)
+    return _models(_counted([t for t in ordinary if _is_ordinary(first, t)]), secret, margin)
 
 
 def numbered(words: list[str], n: int, rng: random.Random) -> list[str]:
@@ -149,35 +158,59 @@ def numbered(words: list[str], n: int, rng: random.Random) -> list[str]:
     return [kinds[i % len(kinds)]() for i in range(n)]
 
 
-def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int = SAMPLE_RANDOM) -> list[tuple[str, int]]:
-    """Random strings from a seeded generator (1), and all words and joined words of n_docs documents (0).
+def ordinary_words(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(word) of n_docs different documents: ordinary samples.
 
-    The documents are those with the smallest hashes; words that the fixed
-    patterns find are left out. Three words in a row, each under RUN characters,
-    are joined, with each of four separators in turn. A word counts in capitals
-    as well. Names with numbers are made of such words by :func:`numbered`, a
-    third as many.
+    The documents are those with the smallest hashes; all their words count, but
+    what the fixed patterns find. Three words in a row, each under RUN
+    characters, are joined, with each of four separators in turn. A word counts
+    in capitals as well.
     """
-    rng = random.Random(20240501)
-    alphabets = ["0123456789abcdef", "0123456789ABCDEF", _KEY[:62].decode(), _KEY[:64].decode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
-    out = [("".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randint(16, 48))), 1) for i in range(n_random)]
     chosen = hashed_sample(docs.where("text IS NOT NULL").select("text"), n_docs, "text")
 
     def ordinary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: set[str] = set()
             for text in batch["text"]:
                 cleared = _HEX.sub(lambda m: " " if len(m[0]) >= 32 else m[0], _ACCESS.sub(" ", _ASSIGN.sub(" ", text)))
                 found = _ORDINARY.findall(cleared)
-                seen.update(found)
-                seen.update(w.upper() for w in found)
+                seen = {*found, *(w.upper() for w in found)}
                 short = [w for w in found if len(w) < RUN]
                 seen.update(a + sep + b + sep + c for a, b, c, sep in zip(short, short[1:], short[2:], itertools.cycle(["", "_", "-", "/"]), strict=False))
-            yield pd.DataFrame({"word": sorted(seen)})
+                yield pd.DataFrame({"word": sorted(seen)})
+
+    return chosen.mapInPandas(ordinary, "word string").distinct()
+
+
+def fitted(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_samples: int = SAMPLE_RANDOM, margin: float = MARGIN) -> Models:
+    """Models as of :func:`train`, from random strings of a seeded generator (1) and the ordinary words of documents (0).
+
+    Names with numbers are made of such words by :func:`numbered`; they weigh a
+    third of the words. Words are counted where they are: the driver gets a
+    table of counts from each task and FEW_WORDS words.
+    """
+    rng = random.Random(20240501)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", _KEY[:62].decode(), _KEY[:64].decode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    secret = _counted(["".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randint(16, 48))) for i in range(n_samples)])
+    words = written(ordinary_words(docs, n_docs), "words")
+    plain = [r[0] for r in words.where(F.col("word").rlike(f"^[a-z]{{3,{RUN - 1}}}$")).orderBy(F.xxhash64("word")).limit(FEW_WORDS).collect()]
+    made = numbered(plain, n_samples, rng)
+
+    def counted(first: Models | None) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, n = _counted([]), 0
+            for batch in batches:
+                kept = [w for w in batch["word"] if first is None or _is_ordinary(first, w)]
+                total, n = total + _counted(kept), n + len(kept)
+            yield pd.DataFrame({"n": [n], "counts": [total.tobytes()]})
+
+        parts = words.mapInPandas(run, "n long, counts binary").collect()
+        total = sum((np.frombuffer(r["counts"]).reshape(secret.shape) for r in parts), np.zeros(secret.shape))
+        kept = [w for w in made if first is None or _is_ordinary(first, w)]
+        return total + _counted(kept) * (max(1, sum(r["n"] for r in parts)) / 3 / max(1, len(kept)))
 
-    found = sorted(r[0] for r in chosen.mapInPandas(ordinary, "word string").distinct().toLocalIterator())
-    plain = [w for w in found if w.isalpha() and len(w) < RUN and w.islower()]
-    return out + [(w, 0) for w in [*found, *numbered(plain, len(found) // 3, rng)]]
+    models = _models(counted(_models(counted(None), secret, margin)), secret, margin)
+    discard(words)
+    return models
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -246,9 +279,9 @@ def secret_scan(docs: DataFrame, models: Models | None = None) -> DataFrame:
     """(doc_id, spans) of every row of docs (doc_id, text): spans of kind, start and end in code points, end exclusive.
 
     Null and empty texts have no spans; doc_id may be null or repeated; other
-    columns are ignored. Without models they are trained on labelled_samples(docs).
+    columns are ignored. Without models they are fitted on docs.
     """
-    models = models or train(labelled_samples(docs))
+    models = models or fitted(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), spans_of(models)(F.coalesce("text", F.lit(""))).alias("spans"))
 
 
@@ -258,7 +291,7 @@ def as_text(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, models: Models | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by ``mark``; n_chars, if there, follows the text."""
-    models = models or train(labelled_samples(docs))
+    models = models or fitted(docs)
 
     @F.pandas_udf("string")
     def clear(texts: pd.Series) -> pd.Series:

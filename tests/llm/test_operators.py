@@ -244,6 +244,21 @@ def test_secrets_within_runs():
     assert not found("4111111111111111") and not found(path + "repota_intenarovolaki")
 
 
+def test_secrets_and_names_with_digits(spark):
+    """Recall and false positives of the fitted models on strings they haven't seen."""
+    models = secrets_markov.fitted(spark.read.parquet(f"{DATA}/documents.parquet"))
+
+    def flagged(strings):
+        return np.mean([bool(secrets_markov._found([t.encode()], [t], models)[0]) for t in strings])
+
+    for n, share in ((20, 0.85), (24, 0.9), (32, 0.95)):
+        assert flagged(keys(n)) >= share
+    names = ["2024-01-15T10-30-00Z", "123e4567-e89b-12d3-a456-426614174000", "http/api/v1/users/12345678/orders", "IMG_20240115_103000_001", "4111111111111111", "2031/12/07/report_of_the_month"]
+    assert not any(secrets_markov._found([t.encode()], [t], models)[0] for t in names)
+    words = sorted({w for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(200).collect() for w in (t or "").split() if w.isalpha() and w.islower() and len(w) < 12})
+    assert flagged(secrets_markov.numbered(words, 900, random.Random(99))) <= 0.02
+
+
 def test_secrets(spark, edges, empty):
     key = "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
     texts = [
