@@ -176,7 +176,7 @@ def ordinary_words(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> DataFrame:
                 seen = {*found, *(w.upper() for w in found)}
                 short = [w for w in found if len(w) < RUN]
                 seen.update(a + sep + b + sep + c for a, b, c, sep in zip(short, short[1:], short[2:], itertools.cycle(["", "_", "-", "/"]), strict=False))
-                yield pd.DataFrame({"word": sorted(seen)})
+                yield pd.DataFrame({"word": pd.Series(sorted(seen), dtype=object)})
 
     return chosen.mapInPandas(ordinary, "word string").distinct()
 
