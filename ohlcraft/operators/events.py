@@ -42,27 +42,50 @@ def fires(candles: DataFrame, present: DataFrame) -> DataFrame:
     return out.withColumn("fire_id", F.concat_ws("-", "setup", F.col("idx").cast("string"), "direction"))
 
 
+#: Candles in a block, blocks in a block of the next level, and levels, for the search of a rule's first break.
+BLOCK, LEVELS = 64, 3
+
+
 def invalidations(fired: DataFrame, candles: DataFrame) -> DataFrame:
     """INVALIDATED events: of each fire the first later candle whose close breaks a rule, and that rule.
 
-    Fires meet later candles of their series by blocks of time, near blocks
-    first: those that a block settles don't go on to the next, so a fire is
-    paired with few candles although it may stay open for long.
+    A rule is broken by a close above or below a value, so a block of candles
+    breaks it where its highest or lowest close does. The first such block after
+    a fire is sought among those that share its block of the level above, then
+    among those of that block's, and so on; from the level where one is found the
+    search descends into it. A rule meets BLOCK blocks a level at most, besides
+    the few of the highest. Candles may bring their place in the series as idx.
     """
-    idx = F.row_number().over(by_time()) - 1
-    c = candles.select(*SERIES, idx.alias("at"), F.col("ts").alias("inv_ts"), F.col("close").alias("inv_close"))
-    rules = fired.select(*SERIES, "fire_id", "idx", F.posexplode("rules").alias("k", "r"))
-    # a rule is "above" or "below" a value: the first close beyond it is found in the running extremes of blocks
-    size = 64
-    c = c.withColumn("block", F.floor(F.col("at") / size))
-    blocks = c.groupBy(*SERIES, "block").agg(F.max("inv_close").alias("top"), F.min("inv_close").alias("bottom"))
-    r = rules.withColumn("own", F.floor(F.col("idx") / size))
-    may = F.when(F.col("r.op").isin("gt", "ge"), rule_hit(F.col("r.op"), F.col("r.value"), F.col("top"))).otherwise(rule_hit(F.col("r.op"), F.col("r.value"), F.col("bottom")))
-    later = r.join(blocks, SERIES).where((F.col("block") > F.col("own")) & may).groupBy(*SERIES, "fire_id", "k").agg(F.min("block").alias("block"))
-    looked = r.select(*SERIES, "fire_id", "idx", "k", "r", F.col("own").alias("block")).unionByName(r.join(later, [*SERIES, "fire_id", "k"]).select(*SERIES, "fire_id", "idx", "k", "r", "block"))
-    hits = looked.join(c, [*SERIES, "block"]).where((F.col("at") > F.col("idx")) & rule_hit(F.col("r.op"), F.col("r.value"), F.col("inv_close")))
-    first = hits.groupBy(*SERIES, "fire_id").agg(F.min(F.struct("at", "k", "inv_ts", "r", "idx")).alias("m"))
-    return first.select(*SERIES, "fire_id", F.col("m.inv_ts").alias("invalidation_ts"), F.col("m.at").alias("invalidation_idx"), F.concat_ws(" ", F.lit("close"), "m.r.op", F.col("m.r.value").cast("string")).alias("rule"), (F.col("m.at") - F.col("m.idx")).alias("candles_after"))
+    own_idx = F.col("idx") if "idx" in candles.columns else F.row_number().over(by_time()) - 1
+    c = candles.select(*SERIES, own_idx.cast("long").alias("at"), F.col("ts").alias("inv_ts"), F.col("close").alias("top"), F.col("close").alias("bottom"))
+    levels = [c]
+    for _ in range(LEVELS):
+        up = F.floor(F.col("at") / BLOCK).alias("up")
+        levels.append(levels[-1].groupBy(*SERIES, up).agg(F.max("top").alias("top"), F.min("bottom").alias("bottom")).withColumnRenamed("up", "at"))
+    rule, key = ["op", "value"], [*SERIES, "fire_id", "k"]
+    rules = fired.select(*SERIES, "fire_id", F.col("idx").cast("long").alias("idx"), F.posexplode("rules").alias("k", "r")).select(*SERIES, "fire_id", "idx", "k", "r.op", "r.value")
+    breaks = rule_hit(F.col("op"), F.col("value"), F.when(F.col("op").isin("gt", "ge"), F.col("top")).otherwise(F.col("bottom")))
+
+    def first_in(asked: DataFrame, level: int) -> DataFrame:
+        """asked (rule, parent, after) with at: the first breaking block of a level within the parent block, beyond ``after``."""
+        held = levels[level].withColumn("parent", F.floor(F.col("at") / BLOCK) if level < LEVELS else F.lit(0).cast("long"))
+        met = asked.join(held, [*SERIES, "parent"]).where((F.col("at") > F.col("after")) & breaks)
+        return met.groupBy(*key, "idx", *rule).agg(F.min("at").alias("at"))
+
+    # what each level finds beyond the fire's own block there
+    found = None
+    for level in range(LEVELS + 1):
+        here = F.floor(F.col("idx") / BLOCK**level)
+        parent = F.floor(F.col("idx") / BLOCK ** (level + 1)) if level < LEVELS else F.lit(0).cast("long")
+        hit = first_in(rules.withColumns({"after": here, "parent": parent}), level).withColumn("level", F.lit(level))
+        found = hit if found is None else found.unionByName(hit)
+    nearest = found.groupBy(*key, "idx", *rule).agg(F.min(F.struct("level", "at")).alias("m")).select(*key, "idx", *rule, "m.level", "m.at")
+    for level in range(LEVELS, 0, -1):
+        down = first_in(nearest.where(F.col("level") == level).select(*key, "idx", *rule, F.col("at").alias("parent"), F.lit(-1).cast("long").alias("after")), level - 1)
+        nearest = nearest.where(F.col("level") < level).unionByName(down.withColumn("level", F.lit(level - 1)).select(*nearest.columns))
+    hits = nearest.join(c.select(*SERIES, "at", "inv_ts"), [*SERIES, "at"])
+    first = hits.groupBy(*SERIES, "fire_id").agg(F.min(F.struct("at", "k", "inv_ts", "op", "value", "idx")).alias("m"))
+    return first.select(*SERIES, "fire_id", F.col("m.inv_ts").alias("invalidation_ts"), F.col("m.at").alias("invalidation_idx"), F.concat_ws(" ", F.lit("close"), "m.op", F.col("m.value").cast("string")).alias("rule"), (F.col("m.at") - F.col("m.idx")).alias("candles_after"))
 
 
 def counted(fired: DataFrame, ended: DataFrame, lockout: int = LOCKOUT) -> DataFrame:

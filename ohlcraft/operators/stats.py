@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.numeric import t_p, t_two_sided
 
 
-def long_form(observations: DataFrame, members: DataFrame, columns: list[str], key: str = "end_ts") -> DataFrame:
-    """(family, col, y, inside): every observation for every family. Families are a vocabulary, so they are few."""
+def long_form(observations: DataFrame, members: DataFrame, columns: list[str], key: str = "end_ts", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, family, col, y, inside and the columns ``keep``): every observation for every family. Families are a vocabulary, so they are few."""
     families = F.broadcast(members.select("family").distinct())
     held = members.select("family", key, F.lit(True).alias("m")).distinct()
     rows = observations.crossJoin(families).join(held, ["family", key], "left").withColumn("inside", F.coalesce("m", F.lit(False)))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("y")) for c in columns)))
-    return rows.select("family", "inside", pairs.alias("e")).select("family", "inside", "e.col", "e.y").where("y IS NOT NULL")
+    kept = [c for c in keep if c not in columns]
+    return rows.select(F.col(key).alias("key"), "family", "inside", *kept, pairs.alias("e")).select("key", "family", "inside", *kept, "e.col", "e.y").where("y IS NOT NULL")
 
 
 def welch(long: DataFrame) -> DataFrame:
@@ -47,22 +48,25 @@ def with_p(table: DataFrame) -> DataFrame:
     return table.withColumn("p", t_two_sided("t", "df"))
 
 
+def detectable_z(tests: int, alpha: float = 0.05, power: float = 0.8) -> float:
+    return NormalDist().inv_cdf(1 - alpha / 2 / tests) + NormalDist().inv_cdf(power)
+
+
 def detectable(table: DataFrame, tests: int, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
     """mde: the difference found with the given power at alpha over the number of tests."""
-    z = NormalDist().inv_cdf(1 - alpha / 2 / tests) + NormalDist().inv_cdf(power)
-    return table.withColumn("mde", F.lit(z) * F.col("pooled_sd") * F.sqrt(1 / F.col("n_in") + 1 / F.col("n_out")))
+    return table.withColumn("mde", F.lit(detectable_z(tests, alpha, power)) * F.col("pooled_sd") * F.sqrt(1 / F.col("n_in") + 1 / F.col("n_out")))
 
 
 def _matrices(observations: DataFrame, members: DataFrame, columns: list[str], key: str = "end_ts") -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Y (n x K), M (F x n) and the families. The windows of a study are a selected sample, hundreds; they are counted first."""
-    n = observations.count()
-    if n > 200_000:
-        raise ValueError(f"{n} windows: resampling statistics are for selected samples")
-    obs = observations.select(key, *columns).orderBy(key).toPandas()
-    held = members.select("family", key).distinct().toPandas()
-    families = sorted(held["family"].unique())
-    m = np.array([obs[key].isin(held.loc[held["family"] == f, key]).to_numpy() for f in families]).reshape(len(families), len(obs))
-    return obs[columns].to_numpy(float), m.astype(float), families
+    """Y (n x K), M (F x n) and the families of a study's selected sample of windows; :func:`bootstrap_sums` takes any number."""
+    held = members.groupBy(key).agg(F.sort_array(F.collect_set("family")).alias("families"))  # the vocabulary at most
+    rows = observations.select(key, *columns).join(held, key, "left").orderBy(key).toPandas()
+    names = [r["family"] for r in members.select("family").distinct().orderBy("family").collect()]
+    place, m = {f: i for i, f in enumerate(names)}, np.zeros((len(names), len(rows)))
+    for i, own in enumerate(rows["families"]):
+        for f in own if own is not None else ():
+            m[place[f], i] = 1
+    return rows[columns].to_numpy(float), m, names
 
 
 def t_matrix(y: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -77,31 +81,46 @@ def t_matrix(y: np.ndarray, m: np.ndarray) -> np.ndarray:
         return (a - b) / np.sqrt(va / n + vb / rest)
 
 
-def permutation(observations: DataFrame, members: DataFrame, columns: list[str], draws: int = 1000, seed: int = 11, block: int = 100) -> DataFrame:
-    """(family, col, t, p_perm, p_adjusted): p by shuffling windows jointly for all families, and max-T adjusted over all cells.
+def permutation(observations: DataFrame, members: DataFrame, columns: list[str], draws: int = 1000, seed: int = 11, block: int = 250, adjusted: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(family, col, t, p_perm, p_adjusted, null_p025, null_p50, null_p975): windows are shuffled jointly for all families.
 
-    Blocks of draws run in parallel, each with a seed of its own; a block returns counts only.
+    p_adjusted is max-T adjusted over the cells (family, col) of ``adjusted``,
+    all of them by default, and null elsewhere. Blocks of draws run in parallel,
+    each with a seed of its own.
     """
     y, m, families = _matrices(observations, members, columns)
     seen = np.abs(t_matrix(y, m))
+    held = np.array([[adjusted is None or (f, c) in adjusted for c in columns] for f in families], dtype=bool).reshape(seen.shape)
     spark = observations.sparkSession
-    shared = spark.sparkContext.broadcast((y, m, seen))
+    shared = spark.sparkContext.broadcast((y, m, seen, held))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, m, seen = shared.value
+        y, m, seen, held = shared.value
         for batch in batches:
             for b in batch["id"]:
-                rng, own, top = np.random.default_rng([seed, int(b)]), np.zeros(seen.shape), np.zeros(seen.shape)
-                for _ in range(min(block, draws - int(b) * block)):
-                    t = np.abs(t_matrix(y[rng.permutation(len(y))], m))
-                    own += t >= seen
-                    top += (np.nanmax(t) if np.isfinite(t).any() else 0) >= seen
+                rng, top = np.random.default_rng([seed, int(b)]), np.zeros(seen.shape)
+                null = np.array([t_matrix(y[rng.permutation(len(y))], m) for _ in range(min(block, draws - int(b) * block))])
+                for t in np.abs(null):
+                    t = t[held & np.isfinite(t)]
+                    top += (t.max() if len(t) else 0) >= seen
                 i, j = np.indices(seen.shape)
-                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "own": own.ravel(), "top": top.ravel()})
+                own = (np.abs(null) >= seen).sum(axis=0)
+                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "own": own.ravel().astype(float), "top": top.ravel(), "null": pd.Series(list(null.reshape(len(null), -1).T), dtype=object)})
+
+    parts = spark.range(0, -(-draws // block), 1, min(64, -(-draws // block))).mapInPandas(run, "i int, j int, own double, top double, null array<double>")
+    cells = parts.groupBy("i", "j").agg(F.sum("own").alias("own"), F.sum("top").alias("top"), F.sort_array(F.filter(F.flatten(F.collect_list("null")), lambda t: ~F.isnan(t))).alias("null"))  # ``draws`` numbers
 
-    counts = spark.range(-(-draws // block)).mapInPandas(run, "i int, j int, own double, top double").groupBy("i", "j").agg(F.sum("own").alias("own"), F.sum("top").alias("top"))
-    names = spark.createDataFrame([(i, j, f, c, float(np.nan_to_num(t_matrix(y, m)[i, j]))) for i, f in enumerate(families) for j, c in enumerate(columns)], "i int, j int, family string, col string, t double")
-    return names.join(counts, ["i", "j"]).select("family", "col", "t", ((1 + F.col("own")) / (draws + 1)).alias("p_perm"), ((1 + F.col("top")) / (draws + 1)).alias("p_adjusted"))
+    def quantile(q: float):
+        """The one numpy and pandas take: between the two nearest ranks."""
+        at = (F.size("null") - 1) * F.lit(q)
+        low, high = (F.get("null", f(at).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (at - F.floor(at))
+
+    names = spark.createDataFrame([(i, j, f, c, float(np.nan_to_num(t_matrix(y, m)[i, j])), bool(held[i, j])) for i, f in enumerate(families) for j, c in enumerate(columns)], "i int, j int, family string, col string, t double, held boolean")
+    return names.join(cells, ["i", "j"]).select(
+        "family", "col", "t", ((1 + F.col("own")) / (draws + 1)).alias("p_perm"), F.when(F.col("held"), (1 + F.col("top")) / (draws + 1)).alias("p_adjusted"),
+        quantile(0.025).alias("null_p025"), quantile(0.5).alias("null_p50"), quantile(0.975).alias("null_p975"),
+    )
 
 
 def bootstrap(observations: DataFrame, members: DataFrame, columns: list[str], draws: int = 1000, seed: int = 13, level: float = 0.95) -> DataFrame:
@@ -118,13 +137,38 @@ def bootstrap(observations: DataFrame, members: DataFrame, columns: list[str], d
                 if len(a) < 2 or len(b) < 2:
                     continue
                 rng = np.random.default_rng([seed, int(f)])
-                diff = np.array([a[rng.integers(0, len(a), len(a))].mean(axis=0) - b[rng.integers(0, len(b), len(b))].mean(axis=0) for _ in range(draws)])
+                # how often each window is drawn, for a block of draws at a time, makes all means one product
+                diff = np.concatenate([
+                    rng.multinomial(len(a), np.full(len(a), 1 / len(a)), k) @ a / len(a) - rng.multinomial(len(b), np.full(len(b), 1 / len(b)), k) @ b / len(b)
+                    for k in (min(250, draws - d) for d in range(0, draws, 250))
+                ])
                 low, high = np.quantile(diff, [(1 - level) / 2, (1 + level) / 2], axis=0)
                 yield pd.DataFrame({"family": families[f], "col": columns, "ci_low": low, "ci_high": high})
 
     return spark.range(len(families), numPartitions=max(1, len(families))).mapInPandas(run, "family string, col string, ci_low double, ci_high double")
 
 
+def bootstrap_sums(long: DataFrame, draws: int = 1000, seed: int = 13, level: float = 0.95) -> DataFrame:
+    """(family, col, ci_low, ci_high) as :func:`bootstrap`, from :func:`long_form` with a key, for any number of windows.
+
+    Each window's weight in a draw is a Poisson(1) count that follows from the
+    hash of (seed, draw, key), so all families and columns see the same draws and
+    sums are taken where the windows are; only draws meet, never windows.
+    """
+    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "key"), F.lit(2**52)) + 0.5) / 2.0**52
+    steps, total, term = [], 0.0, np.exp(-1.0)
+    for k in range(1, 15):
+        total += term
+        steps.append(float(total))
+        term /= k
+    weight = sum(((u > x).cast("int") for x in steps), F.lit(0))
+    drawn = long.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
+    sums = drawn.groupBy("family", "col", "draw").agg(*(F.sum(F.when(F.col("inside") == inside, x)).alias(n) for n, inside, x in (
+        ("wi", True, F.col("w")), ("si", True, F.col("w") * F.col("y")), ("wo", False, F.col("w")), ("so", False, F.col("w") * F.col("y")))))
+    diff = F.try_divide("si", "wi") - F.try_divide("so", "wo")
+    return sums.groupBy("family", "col").agg(F.percentile(diff, F.lit((1 - level) / 2)).alias("ci_low"), F.percentile(diff, F.lit((1 + level) / 2)).alias("ci_high"))
+
+
 def ols_hc3(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """(coefficient, HC3 error, p) of the last column of x; NaN without enough rows."""
     n, k = x.shape
@@ -157,3 +201,72 @@ def verdicts(table: DataFrame, least: int = 30) -> DataFrame:
     ok = F.coalesce(ok, F.lit(False))
     g = table.groupBy("family").agg(F.min("n_in").alias("n"), F.max(ok).alias("any_ok"), F.min_by(F.when(ok, F.col("horizon")), F.when(ok, F.struct("p_adjusted", "horizon"))).alias("frozen"), F.min(F.coalesce(small, F.lit(False))).alias("all_small"))
     return g.select("family", "n", F.when(F.col("n") < least, "INCONCLUSIVE").when(F.col("any_ok"), "PASS").when(F.col("all_small"), "DOES NOT PASS").otherwise("INCONCLUSIVE").alias("verdict"), F.when((F.col("n") >= least) & F.col("any_ok"), F.col("frozen")).alias("horizon"))
+
+
+#: Kinds of forward outcomes, in columns kind_horizon.
+KINDS = ("ret", "mfe", "mae")
+
+
+def describe(long: DataFrame) -> DataFrame:
+    """Sizes, means, medians and the share above zero of each family and column, members and others."""
+    own, rest = F.when(F.col("inside"), F.col("y")), F.when(~F.col("inside"), F.col("y"))
+    return long.groupBy("family", "col").agg(
+        F.count(own).alias("N"), F.count(rest).alias("nonfamily_N"), F.avg(own).alias("mean"), F.median(own).alias("median"), (100 * F.avg((own > 0).cast("double"))).alias("win_pct"),
+        F.avg(rest).alias("nonfamily_mean"), F.median(rest).alias("nonfamily_median"), (F.avg(own) - F.avg(rest)).alias("difference"),
+    )
+
+
+def _by_horizon(table: DataFrame) -> DataFrame:
+    """col (kind_horizon) as kind and horizon."""
+    return table.withColumns({"kind": F.substring_index("col", "_", 1), "horizon": F.substring_index("col", "_", -1).cast("int")}).drop("col")
+
+
+def outcome_statistics(observations: DataFrame, members: DataFrame, horizons: tuple[int, ...], tests: int) -> DataFrame:
+    """A row for each family and horizon: all that needs no drawing.
+
+    ``observations`` has end_ts and kind_horizon columns for KINDS, ``members``
+    family and end_ts. Differences, effect sizes and Welch's test need two
+    windows on either side and are null without them; mde is the difference that
+    ``tests`` tests detect.
+    """
+    long = long_form(observations, members, [f"{k}_{h}" for k in KINDS for h in horizons])
+    told = _by_horizon(describe(long)).groupBy("family", "horizon")
+    kind = F.col("kind")
+    first = ["N", "nonfamily_N", "mean", "median", "win_pct", "nonfamily_mean", "nonfamily_median"]
+    extra = {"mfe_mean": ("mfe", "mean"), "mfe_median": ("mfe", "median"), "mae_mean": ("mae", "mean"), "mae_median": ("mae", "median"), "mfe_diff": ("mfe", "difference"), "mae_diff": ("mae", "difference")}
+    both = (F.col("N") >= 2) & (F.col("nonfamily_N") >= 2)
+    rows = told.agg(*(F.max(F.when(kind == "ret", F.col(c))).alias(c) for c in first), *(F.max(F.when(kind == k, F.col(c))).alias(n) for n, (k, c) in extra.items()))
+    rows = rows.withColumns({c: F.when(both, F.col(c)) for c in ("mfe_diff", "mae_diff")})
+    compared = _by_horizon(with_p(detectable(welch(long), tests))).where("kind = 'ret'")
+    compared = compared.select("family", "horizon", F.when(F.col("n_in").cast("int") >= 2, F.when(F.col("n_out") >= 2, F.col("diff"))).alias("mean_diff"), F.col("d").alias("cohens_d"), F.col("t").alias("welch_t"), F.col("p").alias("welch_p"), "mde")
+    return rows.join(compared, ["family", "horizon"])
+
+
+def analyze(observations: DataFrame, members: DataFrame, primary: list[str], horizons: tuple[int, ...], covariates: tuple[str, ...] = ("net_pct", "range_pct", "eff"), draws: int = 10_000) -> DataFrame:
+    """:func:`outcome_statistics` with permutation and max-T adjusted p, bootstrap interval and robust regression, then the verdict of each primary family.
+
+    The adjustment is over the returns of primary families alone. Families with
+    fewer than two windows on either side have no drawn figures.
+    """
+    rets, columns = [f"ret_{h}" for h in horizons], [f"{k}_{h}" for k in KINDS for h in horizons]
+    table = outcome_statistics(observations, members, horizons, len(primary) * len(horizons))
+    drawn = _by_horizon(permutation(observations, members, columns, draws, adjusted=[(f, c) for f in primary for c in rets]))
+    perm = drawn.where("kind = 'ret'").select("family", "horizon", F.col("t").alias("perm_t"), "p_perm", "p_adjusted", "null_p025", "null_p50", "null_p975")
+    for k in ("mfe", "mae"):
+        perm = perm.join(drawn.where(F.col("kind") == k).select("family", "horizon", F.col("p_perm").alias(f"{k}_p_perm")), ["family", "horizon"])
+    ci = _by_horizon(bootstrap(observations, members, rets, draws)).select("family", "horizon", "ci_low", "ci_high")
+    reg = _by_horizon(regression(long_form(observations, members, rets, keep=covariates), list(covariates))).select("family", "horizon", "beta", "p_reg")
+    for part in (perm, ci, reg):
+        table = table.join(part, ["family", "horizon"], "left")
+    both = (F.col("N") >= 2) & (F.col("nonfamily_N") >= 2)
+    table = table.withColumns({c: F.when(both, F.col(c)) for c in [*perm.columns[2:], "beta", "p_reg"]})
+    found = verdicts(table.where(F.col("family").isin(primary)).withColumnsRenamed({"N": "n_in", "mean_diff": "diff"}))
+    within = (F.abs("ci_low") <= F.col("mde")) & (F.abs("ci_high") <= F.col("mde"))
+    return table.withColumns({"is_primary": F.col("family").isin(primary), "ci_within_mde": within}).join(found.select("family", "verdict", F.col("horizon").alias("frozen_horizon")), "family", "left")
+
+
+def conclusion(analyzed: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row: how many primary families pass, which, whether a hold-out may be opened and at which alpha for each."""
+    passed = analyzed.where("is_primary AND verdict = 'PASS'").select("family").distinct()
+    n = passed.agg(F.count("*").alias("n_pass"), F.array_join(F.sort_array(F.collect_list("family")), ", ").alias("passed"))
+    return n.select("n_pass", "passed", (F.col("n_pass") > 0).alias("holdout_allowed"), F.when(F.col("n_pass") > 0, alpha / F.col("n_pass")).alias("alpha_holdout"))

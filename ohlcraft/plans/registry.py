@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
-from ..operators import detectors, events as ev, forward, indicators, joins, quality, sampling, stats, study, tags, windows
+from ..operators import audit, detectors, events as ev, forward, indicators, joins, quality, sampling, stats, study, tags, windows
 from ..sources import candles as src
+from ..session import shared_dir, written
 from ..sources.candles import SERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,20 +436,74 @@ def observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     c = walk(spark, sf_dir)
     w = windows.window_features(c, 60).withColumn("stratum", sampling.quartile())
     o = forward.outcomes_at(w.select(*SERIES, F.col("ts").alias("end_ts"), "net_pct", "range_pct", "eff", "stratum"), forward.forward_outcomes(c)).where("excluded IS NULL")
+    o = written(o, "observations")  # read by several steps
     members = o.select(F.concat(F.lit("q"), F.col("stratum").cast("string")).alias("family"), "end_ts")
     return o, members
 
 
+def sql_outcomes(horizons: tuple[int, ...], z: float) -> str:
+    """The statistics of families of windows, from the table b (stratum and kind_horizon columns)."""
+    ahead = ", ".join(
+        f"(lead(close, {h}) OVER (ORDER BY ts) / close - 1) * 100 AS ret_{h}, (max(high) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) / close - 1) * 100 AS mfe_{h}, (min(low) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) / close - 1) * 100 AS mae_{h}"
+        for h in horizons
+    )
+    long = " UNION ALL ".join(f"SELECT stratum, {h} AS horizon, ret_{h} AS ret, mfe_{h} AS mfe, mae_{h} AS mae FROM b" for h in horizons)
+    own, rest = "FILTER (stratum = fam)", "FILTER (stratum <> fam)"
+    pooled = "sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2))"
+    return with_candles(f"""{FEATURES_SQL}, {QUARTILE_SQL},
+      x AS (SELECT ts, lead(ts, 24) OVER (ORDER BY ts) AS at24, {ahead} FROM candles),
+      b AS (SELECT stratum, x.* FROM q JOIN x USING (ts) WHERE epoch(at24)::BIGINT - epoch(ts)::BIGINT = 24 * 3600),
+      l AS ({long}), fams AS (SELECT DISTINCT stratum AS fam FROM b),
+      g AS (SELECT 'q' || fam AS family, horizon, count(*) {own} AS n1, count(*) {rest} AS n0, avg(ret) {own} AS m1, avg(ret) {rest} AS m0, median(ret) {own} AS md1, median(ret) {rest} AS md0,
+        var_samp(ret) {own} AS v1, var_samp(ret) {rest} AS v0, 100.0 * avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) {own} AS win, avg(mfe) {own} AS mfe1, avg(mfe) {rest} AS mfe0,
+        avg(mae) {own} AS mae1, avg(mae) {rest} AS mae0, median(mfe) {own} AS mfemd, median(mae) {own} AS maemd FROM l, fams GROUP BY 1, 2)
+      SELECT family, horizon, n1 AS "N", n0 AS "nonfamily_N", round(m1, 6) AS mean, round(md1, 6) AS median, round(win, 6) AS win_pct, round(m0, 6) AS nonfamily_mean, round(md0, 6) AS nonfamily_median,
+        round(mfe1, 6) AS mfe_mean, round(mfemd, 6) AS mfe_median, round(mae1, 6) AS mae_mean, round(maemd, 6) AS mae_median, round(mfe1 - mfe0, 6) AS mfe_diff, round(mae1 - mae0, 6) AS mae_diff,
+        round(m1 - m0, 6) AS mean_diff, round((m1 - m0) / {pooled}, 6) AS cohens_d, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS welch_t, round({z!r} * {pooled} * sqrt(1.0 / n1 + 1.0 / n0), 6) AS mde FROM g""")
+
+
+STUDY_HORIZONS = (1, 3, 6, 12, 24)
+
+
+@query(sql_outcomes(STUDY_HORIZONS, stats.detectable_z(4 * len(STUDY_HORIZONS))))
+def outcome_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of the outcome analysis that need no drawing: quartiles of range as families, each horizon."""
+    o, members = observations(spark, sf_dir)
+    t = stats.outcome_statistics(o, members, STUDY_HORIZONS, 4 * len(STUDY_HORIZONS)).drop("welch_p")
+    whole = {"family", "horizon", "N", "nonfamily_N"}
+    return t.select(*(c if c in whole else F.round(c, 6).alias(c) for c in t.columns))
+
+
+@query()
+def outcome_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole outcome analysis with 10000 permutations and resamples, and verdicts."""
+    o, members = observations(spark, sf_dir)
+    return stats.analyze(o, members, ["q0", "q3"], STUDY_HORIZONS)
+
+
+@query()
+def outcome_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, members = observations(spark, sf_dir)
+    return stats.conclusion(stats.analyze(o, members, ["q0", "q1", "q2", "q3"], STUDY_HORIZONS, draws=1000))
+
+
 @query()
 def permutation_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, members = observations(spark, sf_dir)
-    return stats.permutation(o, members, ["ret_6", "ret_24"], 400)
+    return stats.permutation(o, members, ["ret_6", "ret_24"], 10_000)
 
 
 @query()
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, members = observations(spark, sf_dir)
-    return stats.bootstrap(o, members, ["ret_6", "ret_24"], 400)
+    return stats.bootstrap(o, members, ["ret_6", "ret_24"], 10_000)
+
+
+@query()
+def bootstrap_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same intervals from sums by draw: no window leaves its task."""
+    o, members = observations(spark, sf_dir)
+    return stats.bootstrap_sums(stats.long_form(o, members, ["ret_6", "ret_24"]), 1000)
 
 
 def prepared_study(spark: SparkSession, sf_dir: str, counter: bool = False) -> DataFrame:
@@ -476,8 +530,7 @@ def brain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.brain import BrainStream
 
     c, _, th = measured(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    folder = f"{base}/stream-{spark.sparkContext.applicationId}-{id(c)}"
+    folder = f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{id(c)}"
     part = F.ntile(4).over(src.by_time())
     parts = c.withColumn("part", part)
     for k in range(1, 5):
@@ -486,3 +539,103 @@ def brain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     brain = BrainStream(spark, f"{folder}/state", th)
     brain.start(stream, f"{folder}/checkpoint").awaitTermination()
     return brain.fires().select("fire_id", "setup", "direction", "ts", "level")
+
+
+# Audits, over simple rules that SQL states as well: a close above the highs (below the lows) of the 24 candles before.
+
+BREAKS_SQL = f"""
+n AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx, {T} AS t FROM candles),
+r AS (SELECT *, ln(close / lag(close) OVER (ORDER BY ts)) AS r, max(high) OVER w24 AS top, min(low) OVER w24 AS bottom, lead(open, 1) OVER (ORDER BY ts) AS ref,
+  lead(close, 1) OVER (ORDER BY ts) AS c1, lead(close, 6) OVER (ORDER BY ts) AS c6, lead(close, 24) OVER (ORDER BY ts) AS c24,
+  lead(t, 1) OVER (ORDER BY ts) - t = 3600 AS k1, lead(t, 6) OVER (ORDER BY ts) - t = 6 * 3600 AS k6, lead(t, 24) OVER (ORDER BY ts) - t = 24 * 3600 AS k24
+  FROM n WINDOW w24 AS (ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, CASE WHEN count(r) OVER w = 95 THEN stddev_pop(r) OVER w END AS vol FROM r WINDOW w AS (ORDER BY ts ROWS BETWEEN 94 PRECEDING AND CURRENT ROW)),
+cuts AS (SELECT quantile_cont(vol, 1.0/3) AS lo, quantile_cont(vol, 2.0/3) AS hi FROM v WHERE ts < TIMESTAMP '{CUT}'),
+m AS (SELECT *, CASE WHEN vol <= lo THEN 'low' WHEN vol > hi THEN 'high' WHEN vol IS NOT NULL THEN 'mid' END AS tercile,
+  CASE WHEN ts >= TIMESTAMP '{CUT}' THEN 'UNSEEN' ELSE 'IN_SAMPLE' END AS period FROM v, cuts WHERE NOT (ts < TIMESTAMP '{CUT}' AND ts + INTERVAL '24 hours' >= TIMESTAMP '{CUT}'))
+"""
+_RET = "CASE WHEN k{h} THEN s * (c{h} / ref - 1) * 100 END AS ret, {h} AS horizon"
+_SIDES = "(SELECT 'up' AS direction, 1 AS s UNION ALL SELECT 'down', -1)"
+
+
+def breaks(candles: DataFrame) -> DataFrame:
+    """Fires: a close beyond the extremes of the 24 candles before."""
+    w = src.by_time().rowsBetween(-24, -1)
+    d = F.when(F.col("close") > F.max("high").over(w), "up").when(F.col("close") < F.min("low").over(w), "down")
+    df = candles.withColumns({"direction": d, "idx": F.row_number().over(src.by_time()) - 1}).where("direction IS NOT NULL AND idx > 0")
+    return df.select(*SERIES, "ts", "direction", F.lit("B").alias("setup"), F.concat_ws("-", F.lit("F"), "idx").alias("fire_id"))
+
+
+@query(with_candles(f"""{BREAKS_SQL},
+  base AS ({" UNION ALL ".join(f"SELECT direction, period, tercile, {_RET.format(h=h)} FROM m, {_SIDES} z WHERE idx >= 96 AND idx < (SELECT max(idx) FROM n)" for h in (1, 6, 24))}),
+  own0 AS (SELECT *, CASE WHEN close > top THEN 'up' WHEN close < bottom THEN 'down' END AS direction, CASE WHEN close > top THEN 1 ELSE -1 END AS s FROM m WHERE close > top OR close < bottom),
+  own AS ({" UNION ALL ".join(f"SELECT direction, period, tercile, {_RET.format(h=h)} FROM own0" for h in (1, 6, 24))}),
+  b AS (SELECT direction, period, horizon, count(ret) AS baseline_n, avg(ret) AS baseline_mean, median(ret) AS baseline_median, avg((ret > 0)::INTEGER) AS baseline_share_positive FROM base GROUP BY 1, 2, 3),
+  bt AS (SELECT direction, period, horizon, tercile, avg(ret) AS mean FROM base GROUP BY 1, 2, 3, 4),
+  o AS (SELECT direction, period, horizon, count(ret) AS n, avg(ret) AS setup_mean, CASE WHEN count(ret) > 1 THEN stddev_samp(ret) / sqrt(count(ret)) END AS se, avg((ret > 0)::INTEGER) AS setup_share_positive FROM own GROUP BY 1, 2, 3),
+  sh AS (SELECT direction, period, tercile, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY direction, period) AS share FROM own0 GROUP BY 1, 2, 3),
+  mt AS (SELECT sh.direction, sh.period, bt.horizon, sum(share * coalesce(mean, 0)) AS matched FROM sh JOIN bt USING (direction, period, tercile) WHERE sh.tercile IS NOT NULL GROUP BY 1, 2, 3)
+  SELECT 'B' AS setup, direction, period, horizon, n, baseline_n, round(setup_mean, 6) AS setup_mean, round(se, 6) AS se, round(setup_share_positive, 6) AS setup_share_positive, round(baseline_mean, 6) AS baseline_mean, round(baseline_median, 6) + 0.0 AS baseline_median,
+    round(baseline_share_positive, 6) AS baseline_share_positive, round(coalesce(matched, 0), 6) AS matched_mean, round(setup_mean - baseline_mean, 6) AS difference
+  FROM o JOIN b USING (direction, period, horizon) LEFT JOIN mt USING (direction, period, horizon) WHERE n > 0 AND baseline_n > 0"""))
+def volatility_matched_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = walk(spark, sf_dir).drop("n")
+    v = windows.with_volatility(c)
+    known = windows.volatility_tercile(v, windows.volatility_cuts(src.before(v, CUT))).select(*SERIES, "ts", "tercile")
+
+    def observed(fired: DataFrame) -> DataFrame:
+        return forward.observe(fired, c).join(known, [*SERIES, "ts"])
+
+    out = audit.matched_baseline(observed(breaks(c)), observed(audit.pseudo_fires(c)), CUT)
+    plain = {"setup", "direction", "period", "horizon", "n", "baseline_n"}
+    return out.select(*(x if x in plain else (F.round(x, 6) + 0.0).alias(x) for x in out.columns))  # no -0
+
+
+JUDGED_SQL = "j AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'non_trigger' ELSE 'trigger' END AS kind, o_orderpriority AS stratum, CASE o_orderstatus WHEN 'F' THEN 'PRESENT' WHEN 'O' THEN 'NOT_PRESENT' ELSE 'UNCLEAR' END AS judgement FROM orders WHERE o_orderkey % 50 <> 0)"
+_COUNTS = "count(*) AS audited, count(*) FILTER (judgement = 'PRESENT') AS present, count(*) FILTER (judgement = 'NOT_PRESENT') AS not_present, count(*) FILTER (judgement = 'UNCLEAR') AS unclear, round(count(*) FILTER (judgement = 'PRESENT')::DOUBLE / count(*), 6) AS present_share"
+
+
+@query(f"WITH {JUDGED_SQL} SELECT kind, stratum, {_COUNTS} FROM j GROUP BY 1, 2 UNION ALL SELECT kind, NULL, {_COUNTS} FROM j GROUP BY 1")
+def fidelity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    judged = o.select(
+        F.when(F.col("o_orderkey") % 4 == 0, "non_trigger").otherwise("trigger").alias("kind"), F.col("o_orderpriority").alias("stratum"),
+        F.when(F.col("o_orderstatus") == "F", "PRESENT").when(F.col("o_orderstatus") == "O", "NOT_PRESENT").otherwise("UNCLEAR").alias("judgement"),
+        F.when(F.col("o_orderkey") % 50 == 0, "timeout").alias("error"),
+    )
+    return audit.fidelity(judged).withColumn("present_share", F.round("present_share", 6))
+
+
+FLAGS_SQL = "g AS (SELECT ts, close > open AND n > 1 AS present, coalesce(close > max(high) OVER (ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), false) AS raw FROM candles)"
+
+
+def flags(candles: DataFrame) -> DataFrame:
+    w = src.by_time().rowsBetween(-24, -1)
+    raw = F.coalesce(F.col("close") > F.max("high").over(w), F.lit(False))
+    return candles.withColumns({"raw": raw, "present": (F.col("close") > F.col("open")) & (F.col("n") > 1)}).withColumn("counted", F.col("raw") & (F.minute("ts") == 0) & (F.hour("ts") % 2 == 0))
+
+
+@query(with_candles(f"{FLAGS_SQL}, k AS (SELECT ts, present, raw OR coalesce(lag(raw) OVER (ORDER BY ts), false) AS triggered FROM g), c AS (SELECT event_id AS chart_id, time_bucket(INTERVAL '1 hour', ts) + CASE WHEN event_id % 3 = 0 THEN INTERVAL '1 minute' ELSE INTERVAL '0 minutes' END AS end_ts FROM events WHERE event_id % 7 = 0) SELECT chart_id, end_ts, present, triggered, coalesce(present OR triggered, false) AS recognized FROM c LEFT JOIN k ON k.ts = c.end_ts"))
+def mechanical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = walk(spark, sf_dir)
+    at = F.timestamp_seconds(F.floor(src.seconds(F.col("ts")) / 3600) * 3600 + F.when(F.col("event_id") % 3 == 0, 60).otherwise(0)).cast("timestamp_ntz")
+    charts = table(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.col("event_id").alias("chart_id"), F.lit("ALL").alias("symbol"), F.lit(3600).alias("timeframe"), at.alias("end_ts"))
+    return audit.mechanical_recall(charts, c, flags(c)).drop(*SERIES)
+
+
+@query(with_candles(f"{FLAGS_SQL}, x AS (SELECT ts, present, raw, coalesce(lag(raw) OVER (ORDER BY ts), false) AS before, raw AND hour(ts) % 2 = 0 AS counted FROM g), e AS (SELECT ts, {VALID60} AS ok FROM candles) SELECT ts, CASE WHEN counted THEN 'trigger' ELSE 'non_trigger' END AS kind FROM x JOIN e USING (ts) WHERE counted OR (coalesce(ok, false) AND NOT present AND NOT raw AND NOT before)"))
+def case_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = walk(spark, sf_dir)
+    return audit.case_pool(c, flags(c), windows.valid_ends(c, 60)).drop(*SERIES)
+
+
+@query()
+def case_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = walk(spark, sf_dir)
+    return audit.case_plan(audit.case_pool(c, flags(c), windows.valid_ends(c, 60)), 20, 10, 17).drop(*SERIES)
+
+
+@query()
+def top_up_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = windows.valid_ends(walk(spark, sf_dir), 60).withColumn("batch", F.lit("first"))
+    return audit.top_up(sampling.even_sample(ends, 8, "ts"), ends, 10, 6 * 3600, "second").select("ts", "batch")

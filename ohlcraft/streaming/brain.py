@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import detectors, events
-from ..sources.candles import SERIES
+from ..sources.candles import by_time, SERIES
 
 #: Candles kept of each series: a window, and the swings' neighbours before it.
 KEPT = detectors.WINDOW + 2 * detectors.K + 2
@@ -27,52 +27,61 @@ def tick_candles(ticks: DataFrame, step: int, late: str = "10 minutes") -> DataF
     return agg.select("symbol", F.lit(step).alias("timeframe"), F.col("w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close")
 
 
+CANDLE = "symbol string, timeframe int, ts timestamp_ntz, open double, high double, low double, close double, idx bigint"
+FIRE = f"symbol string, timeframe int, ts timestamp_ntz, setup string, direction string, fire_close double, level double, rules {detectors.RULE}, idx bigint, fire_id string"
+
+
+def _names(schema: DataFrame) -> list[str]:
+    return [f.name for f in schema.schema.fields]
+
+
 class BrainStream:
     """Feeds micro-batches of closed candles to the detectors and appends FIRE and INVALIDATED events.
 
-    ``folder`` holds candles, fires and ended as tables partitioned by batch; a
-    batch that is run again overwrites its own part, so events appear once.
+    ``folder`` holds the events, and of each batch its state: the last candles
+    of every series with their places in it, and the open fires. A batch reads
+    the state of the one before alone, so its work doesn't grow with the past. A
+    batch that is run again overwrites its own parts, so events appear once.
     Candles at or before a series' last known time are refused.
     """
 
     def __init__(self, spark: SparkSession, folder: str, thresholds: dict[str, tuple[float, float]], v2: bool = False):
         self.spark, self.folder, self.thresholds, self.v2 = spark, folder, thresholds, v2
 
-    def _read(self, name: str, before: int, like: str) -> DataFrame:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+    def _state(self, name: str, batch: int, schema: str) -> DataFrame:
+        path = f"{self.folder}/{name}/batch={batch}"
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not fs_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(fs_path):
-            return self.spark.createDataFrame([], like)
-        return self.spark.read.schema(like + ", batch bigint").parquet(f"{self.folder}/{name}").where(F.col("batch") < before).drop("batch")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+    def _write(self, df: DataFrame, name: str, batch: int, schema: str) -> DataFrame:
+        path = f"{self.folder}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def process(self, candles: DataFrame, batch: int) -> None:
-        schema = "symbol string, timeframe int, ts timestamp_ntz, open double, high double, low double, close double"
-        columns = [c.strip().split(" ")[0] for c in schema.split(",")]
-        past = self._read("candles", batch, schema)
-        last = past.groupBy(*SERIES).agg(F.max("ts").alias("last"))
-        fresh = candles.select(*columns).join(last, SERIES, "left").where("last IS NULL OR ts > last").drop("last")
-        self._write(fresh, "candles", batch)
-        fresh = self.spark.read.schema(schema).parquet(f"{self.folder}/candles/batch={batch}")
-        known = past.unionByName(fresh)
-        # positions count from the series' first candle; the rest of the past isn't evaluated again
-        idx = known.withColumn("idx", F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts")) - 1)
-        new = fresh.select(*SERIES).distinct()
+        past, still_open = self._state("tail", batch - 1, CANDLE), self._state("open", batch - 1, FIRE)
+        columns = _names(past)
+        last = past.groupBy(*SERIES).agg(F.max("ts").alias("last"), F.max("idx").alias("last_idx"))
+        place = F.coalesce("last_idx", F.lit(-1)) + F.row_number().over(by_time())
+        fresh = candles.join(last, SERIES, "left").where("last IS NULL OR ts > last").withColumn("idx", place).select(*columns)
+        fresh = self._write(fresh, "fresh", batch, CANDLE)
+        recent = past.unionByName(fresh)
+        back = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("ts")))
+        self._write(recent.withColumn("_n", back).where(F.col("_n") <= KEPT).select(*columns), "tail", batch, CANDLE)
+
         first = fresh.groupBy(*SERIES).agg(F.min("ts").alias("from_ts"))
-        tail = known.join(first, SERIES).withColumn("_n", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("ts")))).withColumn("_new", F.count_if(F.col("ts") >= F.col("from_ts")).over(Window.partitionBy(*SERIES)))
-        recent = tail.where(F.col("_n") <= F.col("_new") + KEPT).select(*columns)
-        present = detectors.states(detectors.measures(recent), self.thresholds, self.v2)
-        fired = events.fires(recent, present).join(first, SERIES).where(F.col("ts") >= F.col("from_ts")).drop("from_ts", "idx", "fire_id", "presence_len", "presence_start", "streak")
-        fired = fired.join(idx.select(*SERIES, "ts", "idx"), [*SERIES, "ts"]).withColumn("fire_id", F.concat_ws("-", "setup", F.col("idx").cast("string"), "direction"))
-        fire_schema = f"symbol string, timeframe int, ts timestamp_ntz, setup string, direction string, fire_close double, level double, rules {detectors.RULE}, idx int, fire_id string"
-        fire_columns = ["symbol", "timeframe", "ts", "setup", "direction", "fire_close", "level", "rules", "idx", "fire_id"]
-        self._write(fired.select(*fire_columns), "fires", batch)
-        ended = self._read("ended", batch, "symbol string, timeframe int, fire_id string, invalidation_ts timestamp_ntz, invalidation_idx int, rule string, candles_after int")
-        all_fires = self._read("fires", batch + 1, fire_schema)
-        still_open = all_fires.join(ended.select(*SERIES, "fire_id"), [*SERIES, "fire_id"], "left_anti").join(new, SERIES, "left_semi")
-        found = events.invalidations(still_open, known)
-        self._write(found, "ended", batch)
+        ready = recent.join(first, SERIES).drop("from_ts")  # series without new candles have nothing to tell
+        present = detectors.states(detectors.measures(ready.drop("idx")), self.thresholds, self.v2)
+        fired = events.fires(ready.drop("idx"), present).join(first, SERIES).where(F.col("ts") >= F.col("from_ts")).drop("idx", "fire_id")
+        fired = fired.join(fresh.select(*SERIES, "ts", "idx"), [*SERIES, "ts"]).withColumn("fire_id", F.concat_ws("-", "setup", F.col("idx").cast("string"), "direction"))
+        fired = self._write(fired.select(*_names(still_open)), "fires", batch, FIRE)
+        known = still_open.unionByName(fired)
+        found = events.invalidations(known, fresh)
+        found.write.mode("overwrite").parquet(f"{self.folder}/ended/batch={batch}")
+        ended = self.spark.read.schema(found.schema).parquet(f"{self.folder}/ended/batch={batch}")
+        self._write(known.join(ended.select(*SERIES, "fire_id"), [*SERIES, "fire_id"], "left_anti").select(*_names(still_open)), "open", batch, FIRE)
 
     def start(self, candles: DataFrame, checkpoint: str) -> StreamingQuery:
         return candles.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -216,3 +216,20 @@ def test_log_rules(spark):
 def test_png_chunks():
     body = b"\x89PNG\r\n\x1a\n" + (3).to_bytes(4, "big") + b"tEXtabc" + bytes(4) + (0).to_bytes(4, "big") + b"IEND" + bytes(4)
     assert files.png_chunks(body) == [("tEXt", 3), ("IEND", 0)]
+
+
+def test_audit_plans(spark):
+    from ohlcraft.operators import audit
+
+    start = dt.datetime(2024, 1, 1)
+    c = spark.createDataFrame([("A", 3600, start + dt.timedelta(hours=i)) for i in range(200)], "symbol string, timeframe int, ts timestamp_ntz")
+    flags = c.withColumns({"raw": F.hour("ts") == 5, "present": F.hour("ts") == 9, "counted": F.hour("ts") == 5})
+    pool = audit.case_pool(c, flags, c)
+    kinds = {(r["ts"].hour, r["kind"]) for r in pool.collect()}
+    assert kinds == {(5, "trigger")} | {(h, "non_trigger") for h in range(24) if h not in (5, 6, 9)}
+    plan = audit.case_plan(pool, 4, 6, 3).orderBy("case_id").collect()
+    assert [r["case_id"] for r in plan] == [f"A{i:04d}" for i in range(1, 11)] and sum(r["kind"] == "trigger" for r in plan) == 4
+    assert plan == audit.case_plan(pool, 4, 6, 3).orderBy("case_id").collect()
+    first = c.where("ts IN (TIMESTAMP_NTZ '2024-01-02 00:00:00', TIMESTAMP_NTZ '2024-01-05 00:00:00')").withColumn("batch", F.lit("a"))
+    times = sorted(r["ts"] for r in audit.top_up(first, c, 6, 6 * 3600, "b").collect())
+    assert len(times) == 8 and all(b - a >= dt.timedelta(hours=6) for a, b in zip(times, times[1:], strict=False))
