@@ -86,11 +86,14 @@ def thresholds(table: DataFrame) -> dict[str, tuple[float, float]]:
 def conditions(th: dict[str, tuple[float, float]], v2: bool = False) -> dict[str, list[tuple[str, str]]]:
     """Each setup's conditions in order, named. A setup is present where all hold (null counts as not)."""
 
+    def number(x: float | None) -> str:
+        return "CAST(NULL AS DOUBLE)" if x is None else f"{x!r}D"
+
     def lo(k: str) -> str:
-        return f"{th[k][0]!r}D" if th[k][0] is not None else "CAST(NULL AS DOUBLE)"
+        return number(th.get(k, (None, None))[0])
 
     def hi(k: str) -> str:
-        return f"{th[k][1]!r}D" if th[k][1] is not None else "CAST(NULL AS DOUBLE)"
+        return number(th.get(k, (None, None))[1])
 
     recent_high, recent_low = ("recent swing high", f"jH >= {RECENT}"), ("recent swing low", f"jL >= {RECENT}")
     tight, third = f"ZR <= {lo('ZR')}", f"get(c, {WINDOW - 1 - 3})"

@@ -372,17 +372,75 @@ def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, di
     return c, m, detectors.thresholds(detectors.percentiles(discovery, detectors.QUANTITIES))
 
 
-@query()
+def sql_measures(source: str, name: str) -> str:
+    """DuckDB: geometry and quantities of windows of 96 candles of the table ``source`` (places count from 0, lists from 1)."""
+    return f"""
+{name}_s AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx, lag(ts, 3) OVER (ORDER BY ts) IS NOT NULL AND lead(ts, 3) OVER (ORDER BY ts) IS NOT NULL AS whole,
+  high >= max(high) OVER b AND high > max(high) OVER a AS is_top, low <= min(low) OVER b AND low < min(low) OVER a AS is_low
+  FROM {source} WINDOW b AS (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), a AS (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+{name}_w AS (SELECT ts, idx, close, epoch(ts)::BIGINT - epoch(lag(ts, 95) OVER (ORDER BY ts))::BIGINT = 95 * 3600 AS ok, list(high) OVER w AS h, list(low) OVER w AS l, list(close) OVER w AS c,
+  list(coalesce(whole AND is_top, false)) OVER w AS fh, list(coalesce(whole AND is_low, false)) OVER w AS fl FROM {name}_s WINDOW w AS (ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)),
+{name}_1 AS (SELECT ts, idx, close, h, l, c, list_max(h) - list_min(l) AS R, c[96] AS x, list_max(h[73:96]) AS zh, list_min(l[73:96]) AS zl,
+  list_filter(range(3, 93), lambda i: fh[i + 1]) AS sh, list_filter(range(3, 93), lambda i: fl[i + 1]) AS sl, list_sum(list_transform(range(73, 96), lambda i: abs(c[i + 1] - c[i]))) AS steps FROM {name}_w WHERE ok),
+{name}_2 AS (SELECT *, sh[-1] AS jH, sh[-2] AS jHp, sl[-1] AS jL, sl[-2] AS jLp,
+  list_max(list_filter(list_transform(sl, lambda j: {{'b': list_min(list_filter(range(j + 1, 96), lambda k: c[k + 1] < l[j + 1])), 'v': l[j + 1]}}), lambda s: s.b IS NOT NULL)) AS brk FROM {name}_1),
+{name}_3 AS (SELECT *, h[jH + 1] AS hH, h[jHp + 1] AS hHp, l[jL + 1] AS lL, l[list_filter(sl, lambda j: j < jH)[-1] + 1] AS lB, h[list_filter(sh, lambda j: j < jL)[-1] + 1] AS hB,
+  CASE WHEN jH IS NOT NULL THEN list_min(l[jH + 1:96]) END AS pbl, CASE WHEN jL IS NOT NULL THEN list_max(h[jL + 1:96]) END AS rh, CASE WHEN jH >= 1 THEN list_min(l[1:jH]) END AS low_before,
+  list_max(h[greatest(jH + 2, 73):96]) AS pause, list_filter(sl, lambda j: j > brk.b) AS sl_after, list_filter(sh, lambda j: j > brk.b) AS sh_after,
+  CASE WHEN jH IS NOT NULL THEN list_max(h[jH + 2:96]) END AS top_since, CASE WHEN jH IS NOT NULL THEN list_max(c[jH + 2:96]) END AS close_since,
+  CASE WHEN jHp IS NOT NULL THEN list_min(list_filter(range(jHp + 1, jH + 1), lambda k: c[k + 1] > h[jHp + 1])) END AS spike FROM {name}_2),
+{name}_4 AS (SELECT *, l[sl_after[-1] + 1] AS breakLow, h[sh_after[-1] + 1] AS hA, h[sh_after[-2] + 1] AS hAp, l[sl_after[-2] + 1] AS breakLowP, CASE WHEN spike IS NOT NULL THEN list_min(c[spike + 2:96]) END AS spike_low,
+  CASE WHEN jH < 72 OR hH < x THEN zh ELSE least(zh, hH) END AS res1 FROM {name}_3),
+{name} AS (SELECT *, CASE WHEN R > 0 THEN (zh - zl) / R END AS ZR, CASE WHEN R > 0 THEN CASE WHEN steps > 0 THEN abs(x - c[73]) / steps ELSE 0 END END AS EFF, CASE WHEN R > 0 THEN (zh - x) / R END AS DT_C7,
+  CASE WHEN R > 0 THEN (x - zl) / R END AS DF_C3, CASE WHEN R > 0 THEN (x - pbl) / R END AS DF_C6, CASE WHEN R > 0 AND jH IS NOT NULL THEN (res1 - x) / R END AS DT_C1,
+  CASE WHEN R > 0 AND hH > lB THEN (hH - lB) / R END AS UP, CASE WHEN R > 0 AND hH > lB THEN (hH - pbl) / (hH - lB) END AS RET, CASE WHEN R > 0 THEN (rh - lL) / R END AS REB,
+  CASE WHEN R > 0 THEN (rh - x) / R END AS DT_C2, CASE WHEN R > 0 AND x >= lL THEN (x - lL) / R END AS DF_C8, CASE WHEN R > 0 AND hB > lL THEN (hB - lL) / R END AS DN,
+  CASE WHEN R > 0 AND x >= breakLow THEN (x - breakLow) / R END AS DF_C4, CASE WHEN R > 0 AND hH >= x THEN (hH - x) / R END AS DT_C5,
+  CASE WHEN R > 0 AND hH > low_before THEN (hH - low_before) / R END AS UPnet, CASE WHEN R > 0 THEN (pause - x) / R END AS DT_S1v2 FROM {name}_4)"""
+
+
+DISCOVERY = f"early AS (SELECT * FROM candles WHERE ts < TIMESTAMP '{CUT}'), {sql_measures('early', 'd')}"
+LEVELS_SQL = ", ".join(f"round(quantile_cont(v, {x}), 6) AS q{round(100 * x):02d}" for x in detectors.LEVELS)
+_LONG = " UNION ALL ".join(f"SELECT '{q}' AS quantity, {q} AS v FROM d" for q in detectors.QUANTITIES)
+
+
+@query(with_candles(f"{DISCOVERY}, k AS ({_LONG}) SELECT quantity, count(v) AS n_defined, round(min(v), 6) AS min, round(max(v), 6) AS max, {LEVELS_SQL} FROM k GROUP BY 1"))
 def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.percentiles(detectors.measures(src.before(walk(spark, sf_dir), CUT)), detectors.QUANTITIES)
+    t = detectors.percentiles(detectors.measures(src.before(walk(spark, sf_dir), CUT)), detectors.QUANTITIES)
+    return t.select("quantity", "n_defined", *r6(*t.columns[2:]))
 
 
-@query()
+@query(with_candles(f"{sql_measures('candles', 'm')} SELECT ts, {', '.join(f'round({q}, 6) AS {q}' for q in detectors.QUANTITIES)} FROM m"))
 def setup_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.measures(walk(spark, sf_dir)).select("ts", *detectors.QUANTITIES)
-
-
-@query()
+    return detectors.measures(walk(spark, sf_dir)).select("ts", *r6(*detectors.QUANTITIES))
+
+
+# The setups in SQL: (setup, direction, level, condition); k has the thresholds as <quantity>_lo and <quantity>_hi.
+SETUPS_SQL = [
+    ("S1", "up", "res1", "jH >= 48 AND UP > UP_lo AND ZR <= ZR_lo AND DT_C1 <= DT_C1_lo"),
+    ("S2", "up", "rh", "jL >= 48 AND DN >= DN_hi AND x > lL AND REB > REB_lo AND DT_C2 <= DT_C2_lo"),
+    ("S3", "down", "zl", "zh > zl AND EFF <= EFF_lo AND jH >= 72 AND (hH - zl) / (zh - zl) >= 2.0::DOUBLE / 3 AND (x - zl) / (zh - zl) <= 1.0::DOUBLE / 3 AND x < c[93] AND DF_C3 <= DF_C3_lo"),
+    ("S4", "down", "breakLow", "brk IS NOT NULL AND x < brk.v AND (coalesce(hA < hAp, false) OR coalesce(breakLow < breakLowP, false)) AND breakLow IS NOT NULL AND DF_C4 <= DF_C4_lo"),
+    ("S5", "up", "hH", "jHp IS NOT NULL AND jH >= 48 AND hH > hHp AND UP IS NOT NULL AND UP >= UP_hi AND (coalesce(RET <= RET_lo, false) OR coalesce(ZR <= ZR_lo, false)) AND top_since <= hH AND spike IS NOT NULL AND spike_low >= hHp AND (hH - x) / R <= DT_C5_lo"),
+    ("S6", "down", "pbl", "UP IS NOT NULL AND jH >= 48 AND (hH - list_min(l)) / R >= 2.0::DOUBLE / 3 AND x < hH AND close_since <= hH AND UP > UP_lo AND RET > RET_lo AND RET <= 1 AND DF_C6 <= DF_C6_lo"),
+    ("S7", "up", "zh", "DN > DN_lo AND (coalesce(REB > REB_lo, false) OR coalesce(ZR <= ZR_lo, false)) AND DT_C7 <= DT_C7_lo"),
+    ("S8", "down", "lL", "jH IS NOT NULL AND jL IS NOT NULL AND (coalesce(UP > UP_lo, false) OR coalesce(REB > REB_lo, false)) AND (coalesce(hH < hHp, false) OR coalesce(EFF <= EFF_lo, false) OR coalesce(REB > REB_lo, false)) AND jL >= 48 AND DF_C8 <= DF_C8_lo AND x < c[93] AND jH >= 48 AND x < hH"),
+    ("S9", "up", "zh", "zh > zl AND ZR <= ZR_lo AND (coalesce(UP > UP_lo, false) OR coalesce(DN > DN_lo, false)) AND x BETWEEN zl AND zh"),
+    ("S9", "down", "zl", "zh > zl AND ZR <= ZR_lo AND (coalesce(UP > UP_lo, false) OR coalesce(DN > DN_lo, false)) AND x BETWEEN zl AND zh"),
+]
+_THIRDS = ", ".join(f"quantile_cont({q}, 0.33) AS {q}_lo, quantile_cont({q}, 0.67) AS {q}_hi" for q in detectors.QUANTITIES)
+_PRESENT = " UNION ALL ".join(f"SELECT ts, idx, '{n}' AS setup, '{d}' AS direction, ({lv})::DOUBLE AS level FROM m, k WHERE R > 0 AND {cond}" for n, d, lv, cond in SETUPS_SQL)
+FIRES_SQL = f"""{DISCOVERY}, k AS (SELECT {_THIRDS} FROM d), {sql_measures('candles', 'm')}, p AS ({_PRESENT}),
+  part AS (SELECT ts, idx, close, sum(gap) OVER (ORDER BY ts) AS part FROM (SELECT ts, close, row_number() OVER (ORDER BY ts) - 1 AS idx, coalesce((epoch(ts)::BIGINT - epoch(lag(ts) OVER (ORDER BY ts))::BIGINT <> 3600)::INTEGER, 0) AS gap FROM candles)),
+  isl AS (SELECT p.*, part.part, p.idx - row_number() OVER (PARTITION BY setup, direction, part.part ORDER BY p.idx) AS island FROM p JOIN part USING (ts)),
+  runs AS (SELECT *, row_number() OVER (PARTITION BY setup, direction, part, island ORDER BY idx) AS presence_len FROM isl),
+  nxt AS (SELECT ts AS fire_ts, idx AS fire_idx, close AS fire_close, lag(ts) OVER (ORDER BY ts) AS ts, epoch(ts)::BIGINT - epoch(lag(ts) OVER (ORDER BY ts))::BIGINT AS d FROM part),
+  hit AS (SELECT setup, direction, fire_ts AS ts, fire_idx AS idx, level, presence_len, ts AS present_ts FROM runs JOIN (SELECT fire_ts, fire_idx, fire_close, ts, d FROM nxt WHERE d = 3600) USING (ts) WHERE CASE WHEN direction = 'up' THEN fire_close > level ELSE fire_close < level END),
+  st AS (SELECT *, idx - row_number() OVER (PARTITION BY setup, direction ORDER BY idx) AS island FROM hit),
+  fires AS (SELECT setup || '-' || idx || '-' || direction AS fire_id, setup, direction, ts, idx, level, presence_len, row_number() OVER (PARTITION BY setup, direction, island ORDER BY idx) - 1 AS streak FROM st)"""
+
+
+@query(with_candles(f"{FIRES_SQL} SELECT fire_id, setup, direction, ts, level, presence_len, streak FROM fires"))
 def brain_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m, th = measured(spark, sf_dir)
     return ev.fires(c, detectors.states(m, th)).select("fire_id", "setup", "direction", "ts", "level", "presence_len", "streak")
@@ -508,8 +566,9 @@ def bootstrap_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared_study(spark: SparkSession, sf_dir: str, counter: bool = False) -> DataFrame:
     c = walk(spark, sf_dir, 900).drop("n")
-    packs = {"h4": indicators.htf_pack(walk(spark, sf_dir, 14400).drop("n"), 20, 3), "h1": indicators.htf_pack(walk(spark, sf_dir).drop("n"), 20, 3)}
-    biased = indicators.htf_bias(indicators.validity(indicators.with_indicators(c), warmup=96, back=20, ahead=10), packs)
+    # a short mean and few candles left out around gaps: the month of data has signals then
+    packs = {"h4": indicators.htf_pack(walk(spark, sf_dir, 14400).drop("n"), 10, 1)}
+    biased = indicators.htf_bias(indicators.validity(indicators.with_indicators(c), warmup=20, back=2, ahead=2), packs)
     return study.prepared(biased.withColumns(windows.swings()), counter)
 
 
@@ -524,7 +583,7 @@ def trend_rsi_stop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.stop_rule(study.summarize(found, CUT), found)
 
 
-@query()
+@query(with_candles(f"{FIRES_SQL} SELECT fire_id, setup, direction, ts, level FROM fires"))
 def brain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fires of a streaming run over the candles in four files."""
     from ..streaming.brain import BrainStream
