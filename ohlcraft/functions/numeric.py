@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,8 +48,3 @@ def t_p(t: float, df: float) -> float:
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     p = [t_p(float(a), float(b)) if a is not None and b is not None else math.nan for a, b in zip(t, df, strict=True)]
     return pd.Series([None if math.isnan(x) else x for x in p], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return pd.Series([NormalDist().inv_cdf(x) if 0 < x < 1 else np.nan for x in p])

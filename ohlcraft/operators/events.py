@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.candles import by_time, SERIES, seconds
 from .detectors import rule_hit
 
@@ -64,6 +65,7 @@ def invalidations(fired: DataFrame, candles: DataFrame) -> DataFrame:
         levels.append(levels[-1].groupBy(*SERIES, up).agg(F.max("top").alias("top"), F.min("bottom").alias("bottom")).withColumnRenamed("up", "at"))
     rule, key = ["op", "value"], [*SERIES, "fire_id", "k"]
     rules = fired.select(*SERIES, "fire_id", F.col("idx").cast("long").alias("idx"), F.posexplode("rules").alias("k", "r")).select(*SERIES, "fire_id", "idx", "k", "r.op", "r.value")
+    rules, levels = written(rules, "rules"), [written(x, "closes") for x in levels]  # each is read at several levels
     breaks = rule_hit(F.col("op"), F.col("value"), F.when(F.col("op").isin("gt", "ge"), F.col("top")).otherwise(F.col("bottom")))
 
     def first_in(asked: DataFrame, level: int) -> DataFrame:
@@ -80,10 +82,11 @@ def invalidations(fired: DataFrame, candles: DataFrame) -> DataFrame:
         hit = first_in(rules.withColumns({"after": here, "parent": parent}), level).withColumn("level", F.lit(level))
         found = hit if found is None else found.unionByName(hit)
     nearest = found.groupBy(*key, "idx", *rule).agg(F.min(F.struct("level", "at")).alias("m")).select(*key, "idx", *rule, "m.level", "m.at")
+    nearest = written(nearest, "nearest")
     for level in range(LEVELS, 0, -1):
         down = first_in(nearest.where(F.col("level") == level).select(*key, "idx", *rule, F.col("at").alias("parent"), F.lit(-1).cast("long").alias("after")), level - 1)
         nearest = nearest.where(F.col("level") < level).unionByName(down.withColumn("level", F.lit(level - 1)).select(*nearest.columns))
-    hits = nearest.join(c.select(*SERIES, "at", "inv_ts"), [*SERIES, "at"])
+    hits = nearest.join(levels[0].select(*SERIES, "at", "inv_ts"), [*SERIES, "at"])
     first = hits.groupBy(*SERIES, "fire_id").agg(F.min(F.struct("at", "k", "inv_ts", "op", "value", "idx")).alias("m"))
     return first.select(*SERIES, "fire_id", F.col("m.inv_ts").alias("invalidation_ts"), F.col("m.at").alias("invalidation_idx"), F.concat_ws(" ", F.lit("close"), "m.op", F.col("m.value").cast("string")).alias("rule"), (F.col("m.at") - F.col("m.idx")).alias("candles_after"))
 

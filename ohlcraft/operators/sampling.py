@@ -125,10 +125,6 @@ def chunked(df: DataFrame, order: str, size: int) -> DataFrame:
     return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*SERIES).orderBy(order)) - 1) / size))
 
 
-def examples(df: DataFrame, count: int, *order: str) -> DataFrame:
-    return even_sample(df, count, *order)
-
-
 def top_names(tags: DataFrame, column: str, k: int = 80) -> DataFrame:
     """The k most frequent names, by count and then name."""
     return tags.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)

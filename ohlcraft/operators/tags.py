@@ -73,13 +73,22 @@ def admitted(costed: DataFrame, cap: float, first: float, factor: float = 1.25)
     return costed.withColumns({"spent": F.round(spent, 6), "estimate": F.round(estimate, 6)}).withColumn("admitted", F.col("spent") + F.col("estimate") <= cap)
 
 
+#: Ranges that values are ranked in.
+RANGES = 64
+
+
 def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's rho with mean ranks of ties, and the bound 4 / sqrt(n - 1)."""
 
     def mean_rank(c: str):
-        ranked = df.groupBy(c).agg(F.count("*").alias("k"))
-        upto = F.sum("k").over(Window.orderBy(c))
-        return ranked.select(c, (upto - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
+        """Values are ranked within ranges that hold about equally many, on top of the ranges before: no window sees all values."""
+        ranked = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("k"))
+        cuts = ranked.agg(F.percentile_approx(c, [i / RANGES for i in range(1, RANGES)]).alias("cuts"))
+        placed = ranked.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col(c)))).drop("cuts")
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows
+        lead = placed.groupBy("part").agg(F.sum("k").alias("n")).select("part", before.alias("lead"))
+        upto = F.sum("k").over(Window.partitionBy("part").orderBy(c)) + F.col("lead")
+        return placed.join(F.broadcast(lead), "part").select(c, (upto - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
 
     joined = df.join(mean_rank(a), a).join(mean_rank(b), b)
     return joined.agg(F.count("*").alias("n"), F.corr(f"rank_{a}", f"rank_{b}").alias("rho")).withColumn("bound", 4 / F.sqrt(F.col("n") - 1))

@@ -437,7 +437,7 @@ FIRES_SQL = f"""{DISCOVERY}, k AS (SELECT {_THIRDS} FROM d), {sql_measures('cand
   nxt AS (SELECT ts AS fire_ts, idx AS fire_idx, close AS fire_close, lag(ts) OVER (ORDER BY ts) AS ts, epoch(ts)::BIGINT - epoch(lag(ts) OVER (ORDER BY ts))::BIGINT AS d FROM part),
   hit AS (SELECT setup, direction, fire_ts AS ts, fire_idx AS idx, level, presence_len, ts AS present_ts FROM runs JOIN (SELECT fire_ts, fire_idx, fire_close, ts, d FROM nxt WHERE d = 3600) USING (ts) WHERE CASE WHEN direction = 'up' THEN fire_close > level ELSE fire_close < level END),
   st AS (SELECT *, idx - row_number() OVER (PARTITION BY setup, direction ORDER BY idx) AS island FROM hit),
-  fires AS (SELECT setup || '-' || idx || '-' || direction AS fire_id, setup, direction, ts, idx, level, presence_len, row_number() OVER (PARTITION BY setup, direction, island ORDER BY idx) - 1 AS streak FROM st)"""
+  fires AS (SELECT setup || '-' || idx || '-' || direction AS fire_id, setup, direction, ts, idx, present_ts, level, presence_len, row_number() OVER (PARTITION BY setup, direction, island ORDER BY idx) - 1 AS streak FROM st)"""
 
 
 @query(with_candles(f"{FIRES_SQL} SELECT fire_id, setup, direction, ts, level, presence_len, streak FROM fires"))
@@ -446,10 +446,21 @@ def brain_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.fires(c, detectors.states(m, th)).select("fire_id", "setup", "direction", "ts", "level", "presence_len", "streak")
 
 
-@query()
+# Each setup's rules: (setup, direction, operator, value).
+RULES_SQL = [
+    ("S1", "up", "lt", "pbl"), ("S1", "up", "le", "res1"), ("S2", "up", "lt", "lL"), ("S3", "down", "gt", "hH"), ("S4", "down", "gt", "least(brk.v, coalesce(hA, brk.v))"), ("S5", "up", "lt", "hHp"), ("S6", "down", "gt", "hH"),
+    ("S7", "up", "lt", "zl"), ("S7", "up", "le", "zh"), ("S8", "down", "gt", "hH"), ("S8", "down", "ge", "lL"), ("S9", "up", "le", "zh"), ("S9", "down", "ge", "zl"),
+]
+_RULES = " UNION ALL ".join(f"SELECT ts AS present_ts, '{n}' AS setup, '{d}' AS direction, {i} AS k, '{op}' AS op, ({v})::DOUBLE AS value FROM m" for i, (n, d, op, v) in enumerate(RULES_SQL))
+
+
+@query(with_candles(f"""{FIRES_SQL}, rules AS ({_RULES}), brk AS (SELECT fire_id, f.idx, min({{'at': c.idx, 'k': k, 'ts': c.ts, 'op': op}}) AS first FROM fires f JOIN rules USING (present_ts, setup, direction) JOIN part c ON c.idx > f.idx
+  AND CASE op WHEN 'gt' THEN c.close > value WHEN 'ge' THEN c.close >= value WHEN 'lt' THEN c.close < value ELSE c.close <= value END GROUP BY 1, 2)
+  SELECT fire_id, first.ts AS invalidation_ts, first.at AS invalidation_idx, first.op AS op, first.at - idx AS candles_after FROM brk"""))
 def brain_invalidations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m, th = measured(spark, sf_dir)
-    return ev.invalidations(ev.fires(c, detectors.states(m, th)), c).drop(*SERIES)
+    ended = ev.invalidations(ev.fires(c, detectors.states(m, th)), c)
+    return ended.select("fire_id", "invalidation_ts", "invalidation_idx", F.split("rule", " ")[1].alias("op"), "candles_after")
 
 
 @query()
@@ -467,16 +478,27 @@ def brain_v2_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.compare_events(one, two, ["setup", "ts", "direction"]).drop("examples")
 
 
-@query()
+_S7 = ["coalesce(DN > DN_lo, false)", "coalesce(coalesce(REB > REB_lo, false) OR coalesce(ZR <= ZR_lo, false), false)", "coalesce(DT_C7 <= DT_C7_lo, false)"]
+_S7_NAMES = ["fall", "rebound or tight", "near the zone''s high"]
+
+
+@query(with_candles(f"""{DISCOVERY}, k AS (SELECT {_THIRDS} FROM d), {sql_measures('candles', 'm')}, t AS (SELECT {", ".join(f"{e} AS t{i}" for i, e in enumerate(_S7))} FROM m, k)
+  SELECT condition, count(*) AS failures, count(*) FILTER (near) AS near_misses FROM ({" UNION ALL ".join(f"SELECT '{n}' AS condition, t0::INTEGER + t1::INTEGER + t2::INTEGER = 2 AS near FROM t WHERE NOT t{i}" for i, n in enumerate(_S7_NAMES))}) GROUP BY 1"""))
 def condition_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m, th = measured(spark, sf_dir)
     return detectors.failures(detectors.explain(m, th, "S7"))
 
 
-@query()
+_STATS = "count(ret) AS n, round(avg(ret), 6) AS mean, round(median(ret), 6) AS median, round(quantile_cont(ret, 0.25), 6) AS p25, round(quantile_cont(ret, 0.75), 6) AS p75, round(avg((ret > 0)::INTEGER), 6) AS share_positive"
+
+
+@query(with_candles(f"""{FIRES_SQL}, ahead AS (SELECT ts, lead(open, 1) OVER (ORDER BY ts) AS ref, lead(close, 6) OVER (ORDER BY ts) AS c6, epoch(lead(ts, 6) OVER (ORDER BY ts))::BIGINT - epoch(ts)::BIGINT = 6 * 3600 AS k6 FROM candles),
+  seen AS (SELECT setup, ts, CASE WHEN ts >= TIMESTAMP '{CUT}' THEN 'UNSEEN' ELSE 'IN_SAMPLE' END AS period, ts < TIMESTAMP '{CUT}' AND ts + INTERVAL '24 hours' >= TIMESTAMP '{CUT}' AS crosses, CASE WHEN k6 THEN CASE WHEN direction = 'up' THEN 1 ELSE -1 END * (c6 / ref - 1) * 100 END AS ret FROM fires JOIN ahead USING (ts))
+  SELECT setup, period, {_STATS} FROM seen WHERE NOT crosses GROUP BY 1, 2 UNION ALL SELECT setup, 'ALL', {_STATS} FROM seen GROUP BY 1"""))
 def fire_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m, th = measured(spark, sf_dir)
-    return forward.summarize(forward.observe(ev.fires(c, detectors.states(m, th)), c), "ret_6", CUT)
+    s = forward.summarize(forward.observe(ev.fires(c, detectors.states(m, th)), c), "ret_6", CUT)
+    return s.select("setup", "period", "n", *r6("mean", "median", "p25", "p75", "share_positive"))
 
 
 @query()
