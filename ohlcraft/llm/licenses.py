@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shingle_array, small, words, written
+from .common import small, words, written
 
 SHINGLE = 5
 CONTAINED = 0.75
