@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_ecoc, licenses, line_rules, ngram_join, packing, quality_fm, secrets_markov, substring, warc_fixity
+from . import decontam, lang_ecoc, licenses, line_rules, ngram_join, packing, quality_fm, secrets_markov, substring, vector_codes, warc_fixity
 from .common import table, written
 
 
@@ -79,9 +79,14 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(index, index.select("file", "offset", "sha256"), replica)
 
 
+def op13_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(books.text()), 256).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_rules": line_rules.ORACLE, "op10_warc_fixity": warc_fixity.ORACLE}
+    return {"op3_line_rules": line_rules.ORACLE, "op10_warc_fixity": warc_fixity.ORACLE, "op13_segment_mean_codes": vector_codes.ORACLE}
