@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_ecoc, licenses, line_rules, ngram_join, packing, quality_fm, secrets_markov, substring, vector_codes, warc_fixity
+from . import decontam, lang_ecoc, licenses, line_rules, ngram_join, packing, quality_fm, secrets_markov, substring, token_alignment, vector_codes, warc_fixity
 from .common import table, written
 
 
@@ -79,6 +79,13 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(index, index.select("file", "offset", "sha256"), replica)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = token_alignment.byte_level(**byte_bpe()), token_alignment.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
 def op13_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(books.text()), 256).alias("codebooks_sha256"))
