@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lang_ecoc, licenses, line_rules, ngram_join, packing, quality_fm, secrets_markov, substring, token_alignment, vector_codes, warc_fixity
+from . import decontam, lang_ecoc, licenses, line_rules, ngram_join, packing, quality_fm, secrets_markov, substring, suffix_merge, token_alignment, vector_codes, warc_fixity
 from .common import table, written
 
 
@@ -86,6 +86,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), a, b)
 
 
+def op12_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_merge.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(books.text()), 256).alias("codebooks_sha256"))
