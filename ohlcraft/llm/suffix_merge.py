@@ -39,6 +39,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,8 @@ HOT = 20_000
 ONE_IN, SAMPLE = 32, 50_000
 #: Anchors that a task counts, and hot windows that it holds, at once.
 COUNT_AT_ONCE, WINDOWS_AT_ONCE = 2_000_000, 1_000_000
+#: Level at which a run's bytes are compressed.
+LEVEL = 3
 #: log2 of the bits of the filters.
 FEWEST_BITS, MOST_BITS = 20, 29
 
@@ -227,28 +230,30 @@ class Run:
     place: np.ndarray
 
     def packed(self) -> dict[str, bytes]:
-        """Front-coded."""
+        """Front-coded, and the bytes compressed."""
         rest = [s[n:] for s, n in zip(self.suffix, self.shared, strict=True)]
 
         def sizes(x: list[bytes]) -> bytes:
             return np.array([len(s) for s in x], "<i4").tobytes()
 
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
         return {
-            "shared": np.array(self.shared, "<i4").tobytes(), "sizes": sizes(rest), "rest": b"".join(rest), "left_sizes": sizes(self.left), "lefts": b"".join(self.left),
+            "shared": np.array(self.shared, "<i4").tobytes(), "sizes": sizes(rest), "rest": press(b"".join(rest)), "left_sizes": sizes(self.left), "lefts": press(b"".join(self.left)),
             "row": self.row.astype("<i8").tobytes(), "place": self.place.astype("<i8").tobytes(),
         }
 
     @staticmethod
     def unpacked(x: dict[str, bytes]) -> Run:
         shared = np.frombuffer(x["shared"], "<i4").tolist()
+        rest, lefts = map(zstandard.ZstdDecompressor().decompress, (x["rest"], x["lefts"]))
         suffix, last, at = [], b"", 0
         for n, size in zip(shared, np.frombuffer(x["sizes"], "<i4").tolist(), strict=True):
-            last = last[:n] + x["rest"][at : at + size]
+            last = last[:n] + rest[at : at + size]
             suffix.append(last)
             at += size
         left, at = [], 0
         for size in np.frombuffer(x["left_sizes"], "<i4").tolist():
-            left.append(x["lefts"][at : at + size])
+            left.append(lefts[at : at + size])
             at += size
         return Run(suffix, shared, left, np.frombuffer(x["row"], "<i8"), np.frombuffer(x["place"], "<i8"))
 
