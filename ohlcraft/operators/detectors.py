@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.candles import by_time, SERIES
+from .blocks import in_blocks
 from .windows import ends_window, swings
 
 WINDOW, EDGE, RECENT, K = 96, 24, 48, 3
@@ -27,6 +28,10 @@ def _stage(df: DataFrame, **exprs: str) -> DataFrame:
 
 def geometry(candles: DataFrame) -> DataFrame:
     """Candles that end a gap-free window, with its arrays and landmarks."""
+    return in_blocks(candles, _geometry, before=WINDOW - 1)
+
+
+def _geometry(candles: DataFrame) -> DataFrame:
     df = candles.withColumns(swings(K))
     w = by_time().rowsBetween(-(WINDOW - 1), 0)
     held = {"h": "high", "l": "low", "c": "close", "fh": "swing_high", "fl": "swing_low"}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.candles import by_time, SERIES, seconds
+from .blocks import in_blocks
 from .windows import with_volatility  # noqa: F401  (part of the observation columns)
 
 HORIZONS = (1, 3, 6, 12, 24)
@@ -16,6 +17,10 @@ def forward_outcomes(candles: DataFrame, longest: int = 24, horizons: tuple[int,
 
     MFE and MAE aren't clamped: a gap can leave both on one side.
     """
+    return in_blocks(candles, lambda c: _forward_outcomes(c, longest, horizons), after=max(longest, *horizons))
+
+
+def _forward_outcomes(candles: DataFrame, longest: int, horizons: tuple[int, ...]) -> DataFrame:
     t, c = seconds(F.col("ts")), F.col("close")
     ahead = F.lead(t, longest).over(by_time())
     reason = F.when(ahead.isNull(), "insufficient").when(ahead - t != longest * F.col("timeframe"), "gap")
@@ -45,7 +50,8 @@ def observe(fires: DataFrame, candles: DataFrame, longest: int = 24, horizons: t
     """
     w = by_time().rowsBetween(1, longest)
     t = seconds(F.col("ts"))
-    seen = candles.withColumn("ahead", F.collect_list(F.struct(t.alias("t"), "open", "high", "low", "close")).over(w))
+    ahead = F.collect_list(F.struct(t.alias("t"), "open", "high", "low", "close")).over(w)
+    seen = in_blocks(candles.select(*SERIES, "ts", "open", "high", "low", "close"), lambda c: c.withColumn("ahead", ahead), after=longest)
     both = fires.join(seen.select(*SERIES, "ts", "ahead"), [*SERIES, "ts"])
     whole = F.transform("ahead", lambda x, i: x["t"] == t + (i + 1) * F.col("timeframe"))
     gap = F.array_position(whole, False)

@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import last_known
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
-    """left with the columns of right's latest row at or before its time, null if there is none.
 
-    Both sides are laid end to end and the last known value is carried on: one
-    shuffle by key and one sort, with no pairs made.
-    """
+#: Seconds of time whose rows of one key are carried on within one task.
+STRETCH = 50_000 * 60
+
+
+def _carried(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], sign: int, stretch: int) -> DataFrame:
+    """left with the columns of right's nearest row in the direction of ``sign``: 1 back in time, -1 forward."""
     known = F.struct(*columns)
-    a = left.withColumns({"_t": F.col(left_time), "_side": F.lit(1), "_known": F.lit(None).cast(right.select(known.alias("k")).schema["k"].dataType)})
-    b = right.select(*(F.col(k) for k in keys), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), known.alias("_known"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_known", ignorenulls=True).over(w)).where("_side = 1")
+    t = [(sign * F.col(c)).alias("_t") for c in (left_time, right_time)]
+    a = left.select("*", t[0], F.lit(1).alias("_side"), F.lit(None).cast(right.select(known.alias("k")).schema["k"].dataType).alias("_known"))
+    b = right.select(*(F.col(k) for k in keys), t[1], F.lit(0).alias("_side"), known.alias("_known"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_stretch", F.floor(F.col("_t") / stretch))
+    both = last_known(both, keys, "_stretch", ["_t", "_side"], "_known", "_last").where("_side = 1")
     return both.select(*left.columns, *(F.col("_last")[c].alias(c) for c in columns))
 
 
-def next_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], stretch: int = STRETCH) -> DataFrame:
+    """left with the columns of right's latest row at or before its time, null if there is none.
+
+    Both sides are laid end to end and the last known value is carried on
+    within stretches of time, and from each stretch to the next: a key's rows
+    are dealt over as many tasks as it has stretches, and no pairs are made.
+    """
+    return _carried(left, right, keys, left_time, right_time, columns, 1, stretch)
+
+
+def next_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], stretch: int = STRETCH) -> DataFrame:
     """As as_of, forward in time."""
-    known = F.struct(*columns)
-    a = left.withColumns({"_t": F.col(left_time), "_side": F.lit(0), "_known": F.lit(None).cast(right.select(known.alias("k")).schema["k"].dataType)})
-    b = right.select(*(F.col(k) for k in keys), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), known.alias("_known"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_next", F.first("_known", ignorenulls=True).over(w)).where("_side = 0")
-    return both.select(*left.columns, *(F.col("_next")[c].alias(c) for c in columns))
+    return _carried(left, right, keys, left_time, right_time, columns, -1, stretch)
 
 
 def spaced_from(candidates: DataFrame, taken: DataFrame, keys: list[str], gap: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.candles import by_time, SERIES, seconds
+from .blocks import in_blocks
 
 
 def _t() -> Column:
@@ -28,7 +29,7 @@ def range_pct(size: int) -> Column:
 
 def valid_ends(candles: DataFrame, size: int) -> DataFrame:
     """Candles that end a window, with its range."""
-    return candles.withColumns({"valid": ends_window(size), "range_pct": range_pct(size)}).where("valid").drop("valid")
+    return in_blocks(candles, lambda c: c.withColumns({"valid": ends_window(size), "range_pct": range_pct(size)}).where("valid").drop("valid"), before=size - 1)
 
 
 def window_rows(ends: DataFrame, candles: DataFrame, size: int) -> DataFrame:
@@ -64,6 +65,10 @@ def window_features(candles: DataFrame, size: int, move: int = 5, tail: int = 10
     The path for eff begins at the window's first open, its move at the first
     close. hi_pos and lo_pos are the first places of the extremes, from 0 to 1.
     """
+    return in_blocks(candles, lambda c: _window_features(c, size, move, tail), before=max(size - 1, tail, move))
+
+
+def _window_features(candles: DataFrame, size: int, move: int, tail: int) -> DataFrame:
     w = by_time().rowsBetween(-(size - 1), 0)
     later = by_time().rowsBetween(-(size - 1 - move), 0)
     step = candles.withColumns({"d": F.abs(F.col("close") - F.lag("close").over(by_time())), "m": F.col("close") - F.lag("close", move).over(by_time()), "i": F.row_number().over(by_time())})
@@ -91,7 +96,7 @@ def chart_features(candles: DataFrame, size: int = 96, edge: int = 24) -> DataFr
     last, prior = by_time().rowsBetween(-(edge - 1), 0), by_time().rowsBetween(-(size - 1), -edge)
     a = F.max("high").over(last) - F.min("low").over(last)
     b = F.max("high").over(prior) - F.min("low").over(prior)
-    df = window_features(candles.withColumn("re", F.when(b != 0, a / b)), size)
+    df = in_blocks(candles, lambda c: _window_features(c.withColumn("re", F.when(b != 0, a / b)), size, 5, 10), before=size - 1)
     return df.withColumns({"abs_net": F.abs("net_pct"), "sharp": F.greatest(F.col("max_rise"), -F.col("max_fall"))})
 
 
@@ -102,16 +107,17 @@ def choose_span(ranges: DataFrame, q: float, step: float) -> DataFrame:
 
 def calibration(candles: DataFrame, size: int, days: int = 28, q: float = 0.95, step: float = 0.1) -> DataFrame:
     """choose_span over the windows of each series' first days only."""
-    start = F.min("ts").over(Window.partitionBy(*SERIES))
-    first = candles.withColumn("start", start).where(F.col("ts") < F.col("start") + F.make_dt_interval(F.lit(days))).drop("start")
+    start = candles.groupBy(*SERIES).agg(F.min("ts").alias("start"))
+    first = candles.join(F.broadcast(start), SERIES).where(F.col("ts") < F.col("start") + F.make_dt_interval(F.lit(days))).drop("start")
     return valid_ends(first, size).groupBy(*SERIES).agg(F.expr(f"round(ceil(percentile(range_pct, {q}D) / {step}D) * {step}D, 10)").alias("span"))
 
 
 def funnel(candles: DataFrame, size: int, forward: int, days: int = 28, q: float = 0.95, step: float = 0.1) -> DataFrame:
     """How many candles pass each filter in turn: gap-free, after calibration, not too wide, with a forward path."""
     spans = calibration(candles, size, days, q, step)
-    start = F.min("ts").over(Window.partitionBy(*SERIES))
-    flagged = candles.withColumns({"gapfree": ends_window(size), "range_pct": range_pct(size), "ahead": has_forward(forward), "start": start}).join(F.broadcast(spans), SERIES, "left")
+    start = candles.groupBy(*SERIES).agg(F.min("ts").alias("start"))  # a row for each series
+    flagged = in_blocks(candles, lambda c: c.withColumns({"gapfree": ends_window(size), "range_pct": range_pct(size), "ahead": has_forward(forward)}), before=size - 1, after=forward)
+    flagged = flagged.join(F.broadcast(start), SERIES).join(F.broadcast(spans), SERIES, "left")
     after = F.col("gapfree") & (F.col("ts") >= F.col("start") + F.make_dt_interval(F.lit(days)))
     narrow = after & (F.col("range_pct") <= F.col("span"))
     return flagged.groupBy(*SERIES).agg(
@@ -120,17 +126,21 @@ def funnel(candles: DataFrame, size: int, forward: int, days: int = 28, q: float
     )
 
 
-def trailing_volatility(n: int = 95) -> Column:
-    """Population deviation of n log returns; null where there aren't as many."""
+def trailing_volatility(n: int = 95):
+    """A candle's log return, and the window of the last n of them."""
     w = by_time().rowsBetween(-(n - 1), 0)
     r = F.log(F.col("close") / F.lag("close").over(by_time()))
     return r, w
 
 
 def with_volatility(candles: DataFrame, n: int = 95) -> DataFrame:
+    """vol: population deviation of n log returns; null where there aren't as many."""
     r, w = trailing_volatility(n)
-    df = candles.withColumn("r", r)
-    return df.withColumn("vol", F.when(F.count("r").over(w) == n, F.stddev_pop("r").over(w))).drop("r")
+
+    def run(c: DataFrame) -> DataFrame:
+        return c.withColumn("r", r).withColumn("vol", F.when(F.count("r").over(w) == n, F.stddev_pop("r").over(w))).drop("r")
+
+    return in_blocks(candles, run, before=n)
 
 
 def volatility_tercile(df: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -155,6 +165,10 @@ def swings(k: int = 3) -> dict[str, Column]:
     }
 
 
+def with_swings(candles: DataFrame, k: int = 3) -> DataFrame:
+    return in_blocks(candles, lambda c: c.withColumns(swings(k)), before=k, after=k)
+
+
 def tag_means(features: DataFrame, tags: DataFrame, columns: list[str]) -> DataFrame:
     """Means of features over all windows and over those of each tag (tags: end_ts, tags)."""
     mean = [F.round(F.avg(c), 3).alias(c) for c in columns]

@@ -169,7 +169,7 @@ def volatility_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_candles("x AS (SELECT ts, lag(ts, 3) OVER w IS NOT NULL AND lead(ts, 3) OVER w IS NOT NULL AS whole, high >= max(high) OVER (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND high > max(high) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS sh, low <= min(low) OVER (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND low < min(low) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS sl FROM candles WINDOW w AS (ORDER BY ts)) SELECT ts, coalesce(whole AND sh, false) AS swing_high, coalesce(whole AND sl, false) AS swing_low FROM x"))
 def swing_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk(spark, sf_dir).withColumns(windows.swings()).select("ts", F.coalesce("swing_high", F.lit(False)).alias("swing_high"), F.coalesce("swing_low", F.lit(False)).alias("swing_low"))
+    return windows.with_swings(walk(spark, sf_dir)).select("ts", F.coalesce("swing_high", F.lit(False)).alias("swing_high"), F.coalesce("swing_low", F.lit(False)).alias("swing_low"))
 
 
 @query(with_candles(f"e AS (SELECT ts AS end_ts, close AS lc FROM (SELECT *, {VALID60} AS ok FROM candles) WHERE ok) SELECT end_ts, (59 - (epoch(end_ts)::BIGINT - {T}) // 3600)::INTEGER AS pos, round((open / lc - 1) * 100, 6) AS open, round((high / lc - 1) * 100, 6) AS high, round((low / lc - 1) * 100, 6) AS low, round((close / lc - 1) * 100, 6) AS close FROM e JOIN candles c ON c.ts <= end_ts AND c.ts > end_ts - INTERVAL '60 hours'"))
