@@ -24,8 +24,11 @@ well and drops candidates before the exact comparison of the whole sets.
 *Large groups.* Texts with one set are one node. In each key's bucket all
 members are compared with one centre alone (a group that shares many keys has
 a few centres); buckets whose members are then still in different components
-are compared with other centres, and at last the rest across these components. No link between components is lost
-and a group of copies stays linear.
+are compared with other centres. What is left are texts that meet others again and again without being similar, say in
+a template that makes up most of them: no two of them are paired by bucket. Their tokens are ordered by how many of
+them hold each, and a pair is made only where a token is among the first few of both, as many as the two sizes allow to
+differ (the texts' own tokens come first, a template's last). No link between components is lost, and neither a group of
+copies nor a template makes all pairs.
 """
 
 from __future__ import annotations
@@ -55,6 +58,8 @@ SHORT = 512
 RUN = 256
 #: Centres that a bucket is compared with in the second round.
 CENTRES = 4
+#: log2 of the classes of tokens whose frequencies order them among what the buckets leave.
+CLASSES = 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -256,6 +261,59 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int) -
     return links
 
 
+def _by_rare_tokens(docs: DataFrame, members: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """(x, y: nodes) of members (id, node, component) in two components that share a token early enough in the order of rarity.
+
+    A set of n tokens and a larger one that are similar share one of the first
+    n - 2pn / (p + q) + 1 of the smaller and of the first n' - pn' / q + 1 of
+    the larger, in any order that is the same for both. The order goes by how
+    many tokens of members fall in a token's class (a table of fixed size).
+    """
+    asked = docs.sparkSession.sparkContext.broadcast(key_filter(members, "id"))
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
+        for batch in batches:
+            batch = batch[in_filter(asked.value, batch["slot"].to_numpy())]
+            for doc_id, s in zip(batch["doc_id"], shingle_sets(batch["text"].tolist(), shingle), strict=True):
+                if len(s):
+                    yield doc_id, s
+
+    def classes(s: np.ndarray) -> np.ndarray:
+        return (mix(s) >> np.uint64(64 - CLASSES)).astype(np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2**CLASSES, np.int64)
+        for _, s in sets(batches):
+            np.add.at(total, classes(s), 1)
+        held = np.flatnonzero(total)
+        yield pd.DataFrame({"class": held, "n": total[held]})
+
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot_column("doc_id"))
+    frequency = np.zeros(2**CLASSES, np.int64)
+    for c, n in texts.mapInPandas(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # 2**CLASSES rows at most
+        frequency[c] = n
+    table = docs.sparkSession.sparkContext.broadcast(frequency)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for doc_id, s in sets(batches):
+            order = np.lexsort((s, table.value[classes(s)]))
+            rows.append((doc_id, _node(s), len(s), s[order[: len(s) - -(-p * len(s) // q) + 1]].view(np.int64)))
+            if len(rows) >= 1000:
+                yield pd.DataFrame(rows, columns=["id", "node", "n", "tokens"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["id", "node", "n", "tokens"])
+
+    found = texts.mapInPandas(first, "id long, node long, n long, tokens array<bigint>").join(members, ["id", "node"]).dropDuplicates(["node"])
+    each = written(found.select("node", "n", "component", F.posexplode("tokens").alias("at", "token")), "prefixes")
+    a, b = each.where(F.col("at") <= F.col("n") - F.ceil(2 * p * F.col("n") / (p + q))).alias("a"), each.alias("b")
+    smaller = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
+    most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # tokens from this one on that can be common
+    fits = (q * F.col("a.n") >= p * F.col("b.n")) & ((p + q) * most >= p * (F.col("a.n") + F.col("b.n")))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits & (F.col("a.component") != F.col("b.component")))
+    return met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+
+
 def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string).
 
@@ -298,9 +356,9 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
         discard(rows)
         return out
 
-    def across(a: DataFrame, b: DataFrame, both_ways: bool) -> DataFrame:
+    def across(a: DataFrame, b: DataFrame) -> DataFrame:
         """Pairs of one bucket and two components."""
-        differ = F.col("a.component") != F.col("b.component") if both_ways else F.col("a.component") < F.col("b.component")
+        differ = F.col("a.component") != F.col("b.component")
         met_again = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & differ & _may_link("a", "b", p, q) & _long_too("a", "b", p, q))
         return met_again.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.least("a.component", "b.component").alias("c"), F.greatest("a.component", "b.component").alias("d"), _apart("a", "b").alias("apart"))
 
@@ -309,17 +367,21 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int
     order = [F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(k))) for k in range(CENTRES)]
     fields = F.struct("node", "n", "short", "bits", "component")
     centres = again.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(fields, o) for o in order))).alias("m")).select("key", F.explode("m").alias("m")).select("key", "m.*")
-    nearest = across(again, centres, True).groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("m")).select("m.*").distinct()
+    nearest = across(again, centres).groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("m")).select("m.*").distinct()
     more = written(as_pairs(nearest).select("a", "b", "node_a", "node_b"), "stars")
     links = links.union(_verified(docs, more, shingle, p, q))
     labels = connected_components(links)
 
-    # what is left, pair by pair
+    # what is left, by rare tokens
     discard(again)
     open_rows = unsettled(labels)
+    members = written(open_rows.select("node", "component").distinct().join(nodes.select("node", "id"), "node"), "members")
+    discard(open_rows)
     place = labels.select(F.col("id").alias("a"), F.col("component").alias("c")), labels.select(F.col("id").alias("b"), F.col("component").alias("d"))
     pending = centred.join(place[0], "a", "left").join(place[1], "b", "left").where("coalesce(c, a) <> coalesce(d, b)")
-    rest = across(open_rows, open_rows, False).select("x", "y").union(pending.select("node_a", "node_b"))
+    rest = pending.select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
+    if not members.isEmpty():
+        rest = rest.union(_by_rare_tokens(docs, members, shingle, p, q))
     rest = rest.distinct()
     done = stars.union(more).select("node_a", "node_b")
     rest = as_pairs(rest).join(done.union(done.select("node_b", "node_a")), ["node_a", "node_b"], "left_anti")

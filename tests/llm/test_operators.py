@@ -104,6 +104,44 @@ def test_ngram_join_edges(edges, empty):
     assert [r["doc_id"] for r in kept.collect()].count(9) == 1
 
 
+def test_ngram_join_of_texts_that_share_a_template(spark, monkeypatch):
+    """A template makes most of every text: what the buckets leave goes by rare tokens, with the plain version's links and few pairs."""
+    r, rows, made = random.Random(11), [], []
+    template = [f"t{i}" for i in range(160)]
+    for i in range(90):
+        own = [f"w{r.randrange(10**9)}" for _ in range(r.choice([30, 40, 48, 60]))]
+        rows.append((i, " ".join(own + template)))
+        if i % 9 == 0:  # a partner at about the threshold, and one beyond it
+            for k, change in enumerate((18, 24, 30)):
+                part = own[: len(own) - change] + [f"v{r.randrange(10**9)}" for _ in range(change)]
+                rows.append((1000 + 10 * i + k, " ".join(part + template)))
+    real = ngram_join._by_rare_tokens
+
+    def counted(*args):
+        out = real(*args)
+        made.append((args[1].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_by_rare_tokens", counted)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == plain_components(rows)
+    (members, pairs), = made
+    assert members > 50 and pairs < 10 * members  # all pairs would be members * members / 2
+
+
+def test_rare_tokens_alone_find_all_links(spark):
+    rows = [x for seed in (3, 4) for x in family(25, seed)] + [(i, prose(150, 900 + i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {d: (ngram_join._node(h), h) for (d, _), h in zip(rows, shingle_sets([t for _, t in rows], 5), strict=True)}
+    members = spark.createDataFrame([(d, n, d) for d, (n, _) in hashed.items()], "id long, node long, component long")
+    found = {frozenset((x["x"], x["y"])) for x in ngram_join._by_rare_tokens(df, members, 5, 3, 4).collect()}
+    plain = sets(rows)
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            if 100 * len(plain[i] & plain[j]) >= 75 * len(plain[i] | plain[j]) and hashed[a][0] != hashed[b][0]:
+                assert frozenset((hashed[a][0], hashed[b][0])) in found
+
+
 def test_representatives_of_repeated_ids(spark):
     a, b, c = prose(120, 31), prose(120, 32), prose(120, 33)
     rows = [(1, a), (3, a + " tail"), (3, b), (7, b + " tail"), (3, None), (3, None), (5, c), (5, c), (None, c)]
