@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohlcraft.llm import decontam, line_rules, ngram_join, packing, secrets_markov
-from ohlcraft.llm.common import table, written
+from ohlcraft.llm.common import discard, table, written
 from ohlcraft.llm.queries import byte_bpe
 
 
@@ -49,5 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for documents, each stage written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if hasattr(before, "written_to"):
+            discard(before)
     return docs
