@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.candles import by_time, SERIES, seconds
+from . import sampling, spacing
 from .detectors import WINDOW
-from .joins import spaced_from
 
 
 def pseudo_fires(candles: DataFrame, history: int = WINDOW) -> DataFrame:
@@ -68,30 +71,34 @@ def case_pool(candles: DataFrame, flags: DataFrame, ends: DataFrame) -> DataFram
     known = known.withColumn("before", before).join(ends.select(*SERIES, "ts", F.lit(True).alias("valid")), [*SERIES, "ts"], "left")
     clean = F.coalesce("valid", F.lit(False)) & ~F.col("present") & ~F.col("raw") & ~F.col("before")
     kind = F.when(F.col("counted"), "trigger").when(clean, "non_trigger")
-    return known.select(*SERIES, "ts", kind.alias("kind")).where("kind IS NOT NULL")
+    return known.select(*SERIES, "ts", seconds(F.col("ts")).alias("t"), kind.alias("kind")).where("kind IS NOT NULL")
+
 
+def case_plan(pool: DataFrame, n_trigger: int, n_other: int, seed: int, prefix: str = "A", gap: int = 0) -> DataFrame:
+    """Cases of both kinds (SERIES, ts, t in seconds, kind, stratum) in one seeded order with neutral ids.
 
-def case_plan(pool: DataFrame, n_trigger: int, n_other: int, seed: int, prefix: str = "A") -> DataFrame:
-    """Cases of both kinds in one seeded order with neutral ids; the first n of each kind by hash, which doesn't tell the kinds apart."""
-    order = F.xxhash64(F.lit(seed), *SERIES, "ts")
-    picked = [pool.where(F.col("kind") == k).orderBy(order, "ts").limit(n) for k, n in (("trigger", n_trigger), ("non_trigger", n_other))]
-    mixed = picked[0].unionByName(picked[1]).withColumn("place", F.xxhash64(F.lit(seed + 1), *SERIES, "ts"))
-    rank = F.row_number().over(Window.partitionBy(*SERIES).orderBy("place"))
-    return mixed.withColumn("case_id", F.concat(F.lit(prefix), F.lpad(rank.cast("string"), 4, "0"))).drop("place")
+    Each kind's cases are taken from its strata in turn, in a seeded order
+    within each; those that aren't triggers lie ``gap`` seconds apart or more.
+    """
+    held = pool.withColumn("order", sampling.seeded(seed, *SERIES, "t"))
+    kinds = [("trigger", n_trigger, 0), ("non_trigger", n_other, gap)]
+    picks = [sampling.round_robin(held.where(F.col("kind") == k), n, "order", d).withColumn("kind", F.lit(k)) for k, n, d in kinds if n]
+    mixed = reduce(DataFrame.unionByName, picks).join(pool.select(*SERIES, "t", "ts", "kind", "stratum"), [*SERIES, "t", "kind", "stratum"])
+    rank = F.row_number().over(Window.partitionBy(*SERIES).orderBy(sampling.seeded(seed + 2, *SERIES, "t"), "kind"))  # n_trigger + n_other rows
+    return mixed.withColumn("case_id", F.concat(F.lit(prefix), F.lpad(rank.cast("string"), 4, "0"))).drop("turn")
 
 
-def top_up(existing: DataFrame, candidates: DataFrame, count: int, gap: int, batch: str) -> DataFrame:
-    """existing (batch as it is) and up to ``count`` candidates, gap seconds from it and from each other, in order of time, as a new batch.
+def top_up(existing: DataFrame, candidates: DataFrame, count: int, gap: int, batch: str, span: int | None = None) -> DataFrame:
+    """existing (batch as it is) and up to ``count`` candidates, gap seconds from it and from each other, as a new batch.
 
-    Of the candidates that are clear of the existing ones the first of each
-    stretch of ``gap`` seconds is taken if it is clear of the one before.
+    The candidates clear of the existing ones are visited in spread order, and
+    each that is clear of those taken is taken: what a sequential pass gives.
     """
-    keys = list(SERIES)
-    clear = spaced_from(candidates.withColumn("t", seconds(F.col("ts"))), existing.withColumn("t", seconds(F.col("ts"))), keys, gap)
-    first = clear.withColumn("slot", F.floor(F.col("t") / (2 * gap))).groupBy(*keys, "slot").agg(F.min_by("ts", "t").alias("ts"), F.min("t").alias("t"))
-    apart = first.withColumn("d", F.col("t") - F.lag("t").over(by_time())).where(f"d IS NULL OR d >= {gap}")
-    taken = apart.withColumn("n", F.row_number().over(by_time())).where(F.col("n") <= count).select(*keys, "ts")
-    more = candidates.join(taken, [*keys, "ts"], "left_semi").withColumn("batch", F.lit(batch))
+    t = seconds(F.col("ts"))
+    clear = spacing.clear_of(candidates.withColumn("t", t), existing.withColumn("t", t), gap)
+    pool = written(sampling.spread_order(clear.select(*SERIES, "ts", "t"), count), "clear")
+    picks = spacing.first_picks(pool, gap, count, span=span).select(*SERIES, "t")
+    more = candidates.withColumn("t", t).join(picks, [*SERIES, "t"], "left_semi").withColumn("batch", F.lit(batch))
     return existing.unionByName(more.select(*existing.columns))
 
 

@@ -26,15 +26,16 @@ from ..sources.candles import SERIES, seconds
 ROWS = 50_000
 
 
-def positions(df: DataFrame, name: str = "pos", rows: int = ROWS) -> DataFrame:
-    """df with the number of each row in its series, from 0, in order of ts; no window holds more than a stretch of ``rows`` candles' time."""
+def positions(df: DataFrame, name: str = "pos", rows: int = ROWS, keys: list[str] | None = None) -> DataFrame:
+    """df with the number of each row in its series (or of its ``keys``), from 0, in order of ts; no window holds more than a stretch of ``rows`` candles' time."""
+    keys = keys or SERIES
     stretch = F.floor(seconds(F.col("ts")) / (F.col("timeframe") * F.lit(rows).cast("long")))
     held = df.withColumn("_s", stretch)
-    counts = held.groupBy(*SERIES, "_s").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*SERIES).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*SERIES, "_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
-    within = F.row_number().over(Window.partitionBy(*SERIES, "_s").orderBy("ts"))
-    return held.withColumn("_w", within).join(counts, [*SERIES, "_s"]).withColumn(name, F.col("_n") + F.col("_w") - 1).drop("_s", "_n", "_w")
+    counts = held.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("ts"))
+    return held.withColumn("_w", within).join(counts, [*keys, "_s"]).withColumn(name, F.col("_n") + F.col("_w") - 1).drop("_s", "_n", "_w")
 
 
 def copied(df: DataFrame, before: int, after: int, rows: int = ROWS, pos: str = "pos") -> DataFrame:

@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.candles import by_time, SERIES
 from .blocks import in_blocks
+from .ranks import quantiles
 from .windows import ends_window, swings
 
 WINDOW, EDGE, RECENT, K = 96, 24, 48, 3
@@ -77,10 +79,9 @@ def measures(candles: DataFrame) -> DataFrame:
 def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each quantity: how many finite values, their ends and the exact quantiles q25 to q75."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("quantity"), F.col(c).alias("v")) for c in columns))).alias("e")).select("e.*")
-    finite = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
-    q = F.expr(f"percentile(v, array({', '.join(f'{x}D' for x in LEVELS)}))")
-    per = long.withColumn("v", finite).groupBy("quantity").agg(F.count("v").alias("n_defined"), F.min("v").alias("min"), F.max("v").alias("max"), q.alias("q"))
-    return per.select("quantity", "n_defined", "min", "max", *(F.col("q")[i].alias(f"q{round(100 * x):02d}") for i, x in enumerate(LEVELS)))
+    per = quantiles(written(long, "values"), ["quantity"], "v", list(LEVELS))
+    named = (F.col("q")[i].alias(f"q{round(100 * x):02d}") for i, x in enumerate(LEVELS))
+    return per.select("quantity", F.col("n").alias("n_defined"), F.col("least").alias("min"), F.col("greatest").alias("max"), *named)
 
 
 def thresholds(table: DataFrame) -> dict[str, tuple[float, float]]:

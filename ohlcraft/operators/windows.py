@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.candles import by_time, SERIES, seconds
 from .blocks import in_blocks
+from .ranks import quantiles
 
 
 def _t() -> Column:
@@ -102,14 +103,18 @@ def chart_features(candles: DataFrame, size: int = 96, edge: int = 24) -> DataFr
 
 def choose_span(ranges: DataFrame, q: float, step: float) -> DataFrame:
     """span: the exact quantile of range_pct, up to the next multiple of step."""
-    return ranges.agg(F.expr(f"round(ceil(percentile(range_pct, {q}D) / {step}D) * {step}D, 10)").alias("span"))
+    return quantiles(ranges, [], "range_pct", [q]).select(_up(F.col("q")[0], step).alias("span"))
+
+
+def _up(x: Column, step: float) -> Column:
+    return F.round(F.ceil(x / step) * step, 10)
 
 
 def calibration(candles: DataFrame, size: int, days: int = 28, q: float = 0.95, step: float = 0.1) -> DataFrame:
     """choose_span over the windows of each series' first days only."""
     start = candles.groupBy(*SERIES).agg(F.min("ts").alias("start"))
     first = candles.join(F.broadcast(start), SERIES).where(F.col("ts") < F.col("start") + F.make_dt_interval(F.lit(days))).drop("start")
-    return valid_ends(first, size).groupBy(*SERIES).agg(F.expr(f"round(ceil(percentile(range_pct, {q}D) / {step}D) * {step}D, 10)").alias("span"))
+    return quantiles(valid_ends(first, size), SERIES, "range_pct", [q]).select(*SERIES, _up(F.col("q")[0], step).alias("span"))
 
 
 def funnel(candles: DataFrame, size: int, forward: int, days: int = 28, q: float = 0.95, step: float = 0.1) -> DataFrame:
@@ -151,8 +156,7 @@ def volatility_tercile(df: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def volatility_cuts(df: DataFrame) -> DataFrame:
     """Exact thirds of vol."""
-    p = "percentile(vol, array(1D/3, 2D/3))"
-    return df.groupBy(*SERIES).agg(F.expr(f"{p}[0]").alias("lo"), F.expr(f"{p}[1]").alias("hi"))
+    return quantiles(df, SERIES, "vol", [1 / 3, 2 / 3]).select(*SERIES, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def swings(k: int = 3) -> dict[str, Column]:

@@ -77,7 +77,7 @@ QUARTILE_SQL = "q AS (SELECT *, greatest(0, ceil((4 * (row_number() OVER (ORDER
 def flagship(spark: SparkSession, sf_dir: str, step: int = 3600) -> DataFrame:
     """Mean forward outcome of gap-free windows by quartile of their range."""
     c = walk(spark, sf_dir, step)
-    w = windows.window_features(c, 60).withColumn("stratum", sampling.quartile())
+    w = sampling.with_quartile(windows.window_features(c, 60))
     o = forward.forward_outcomes(c).where("excluded IS NULL").select(*SERIES, "ts", "ret_24", "mfe_24", "mae_24")
     g = w.join(o, [*SERIES, "ts"]).groupBy("stratum").agg(F.count("*").alias("n"), *(F.avg(x).alias(x) for x in ("ret_24", "mfe_24", "mae_24", "net_pct", "eff")))
     return g.select("stratum", "n", *r6("ret_24", "mfe_24", "mae_24", "net_pct", "eff"))
@@ -185,7 +185,7 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_candles(f"{FEATURES_SQL}, {QUARTILE_SQL} SELECT stratum, count(*) AS n, round(min(range_pct), 6) AS low, round(max(range_pct), 6) AS high FROM q GROUP BY 1"))
 def quartile_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windows.window_features(walk(spark, sf_dir), 60).withColumn("stratum", sampling.quartile())
+    w = sampling.with_quartile(windows.window_features(walk(spark, sf_dir), 60))
     return w.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.min("range_pct"), 6).alias("low"), F.round(F.max("range_pct"), 6).alias("high"))
 
 
@@ -503,8 +503,44 @@ def fire_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stratified_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windows.window_features(walk(spark, sf_dir), 60).withColumns({"stratum": sampling.quartile(), "t": src.seconds(F.col("ts"))})
-    return sampling.stratified_pick(sampling.spread_order(w, 40, "ts"), 24, 6 * 3600).select("ts", "stratum")
+    w = sampling.with_quartile(windows.window_features(walk(spark, sf_dir), 60)).withColumn("t", src.seconds(F.col("ts")))
+    return sampling.stratified_pick(w, 24, 6 * 3600).select("ts", "stratum")
+
+
+MASKS_SQL = f"""x AS (SELECT *, CASE WHEN b <> 0 THEN a / b END AS re FROM (SELECT *, max(high) OVER (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) - min(low) OVER (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS a,
+    max(high) OVER (ORDER BY ts ROWS BETWEEN 95 PRECEDING AND 24 PRECEDING) - min(low) OVER (ORDER BY ts ROWS BETWEEN 95 PRECEDING AND 24 PRECEDING) AS b,
+    close - lag(close, 5) OVER (ORDER BY ts) AS m, abs(close - lag(close) OVER (ORDER BY ts)) AS d, {T} - lag({T}, 95) OVER (ORDER BY ts) = 95 * 3600 AS ok, lag(open, 95) OVER (ORDER BY ts) AS o0, lag(close, 95) OVER (ORDER BY ts) AS c0 FROM candles)),
+  f AS (SELECT ts, ok, re, abs((close / o0 - 1) * 100) AS abs_net, CASE WHEN path = 0 THEN 0 ELSE abs(close - o0) / path END AS eff, greatest(rise, -fall) AS sharp FROM (SELECT *, sum(d) OVER (ORDER BY ts ROWS BETWEEN 94 PRECEDING AND CURRENT ROW) + abs(c0 - o0) AS path,
+    max(m) OVER (ORDER BY ts ROWS BETWEEN 90 PRECEDING AND CURRENT ROW) / close * 100 AS rise, min(m) OVER (ORDER BY ts ROWS BETWEEN 90 PRECEDING AND CURRENT ROW) / close * 100 AS fall FROM x)),
+  w AS (SELECT * FROM f WHERE ok), k AS (SELECT {", ".join(f"quantile_cont({c}, {p}) AS {c}_{e}" for c in ("eff", "abs_net", "re", "sharp") for e, p in (("lo", "1.0/3"), ("hi", "2.0/3")))} FROM w),
+  g AS (SELECT ts, [coalesce(eff >= eff_hi AND abs_net >= abs_net_hi, false), coalesce(eff <= eff_lo AND abs_net <= abs_net_lo, false), coalesce(re >= re_hi, false), coalesce(re <= re_lo, false), coalesce(sharp >= sharp_hi, false), coalesce(sharp <= sharp_lo, false)] AS flags FROM w, k),
+  names AS (SELECT unnest({sampling.STRATA}) AS name, unnest(range(1, 7)) AS i)"""
+
+
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 96 candles with the flags of their strata."""
+    w = written(windows.chart_features(walk(spark, sf_dir)), "windows")
+    cuts = sampling.cutpoints(w, ["eff", "abs_net", "re", "sharp"])
+    return sampling.stratum_masks(w, cuts).withColumn("t", src.seconds(F.col("ts")))
+
+
+@query(with_candles(f"{MASKS_SQL} SELECT name AS stratum, (SELECT count(*) FROM g WHERE flags[i]) AS pool, (SELECT count(*) FROM g WHERE list_position(flags, true) = i) AS first FROM names"))
+def strata_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sampling.first_stratum(masked(spark, sf_dir))
+    each = m.select("stratum", F.explode(F.array(*(F.struct(F.lit(s).alias("name"), F.col(s).alias("in")) for s in sampling.STRATA))).alias("e"))
+    return each.groupBy(F.col("e.name").alias("stratum")).agg(F.count_if("e.in").alias("pool"), F.count_if(F.col("stratum") == F.col("e.name")).alias("first"))
+
+
+@query()
+def strata_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.pick_strata(masked(spark, sf_dir), 6, 8 * 3600).drop(*SERIES)
+
+
+@query()
+def sampler_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = written(masked(spark, sf_dir), "masks")
+    first, again = (sampling.pick_strata(m, 6, 8 * 3600) for _ in range(2))
+    return sampling.sampler_report(m, first, 6, 8 * 3600, again)
 
 
 @query()
@@ -514,7 +550,7 @@ def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = walk(spark, sf_dir)
-    w = windows.window_features(c, 60).withColumn("stratum", sampling.quartile())
+    w = sampling.with_quartile(windows.window_features(c, 60))
     o = forward.outcomes_at(w.select(*SERIES, F.col("ts").alias("end_ts"), "net_pct", "range_pct", "eff", "stratum"), forward.forward_outcomes(c)).where("excluded IS NULL")
     o = written(o, "observations")  # read by several steps
     members = o.select(F.concat(F.lit("q"), F.col("stratum").cast("string")).alias("family"), "end_ts")
@@ -707,13 +743,15 @@ def mechanical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_candles(f"{FLAGS_SQL}, x AS (SELECT ts, present, raw, coalesce(lag(raw) OVER (ORDER BY ts), false) AS before, raw AND hour(ts) % 2 = 0 AS counted FROM g), e AS (SELECT ts, {VALID60} AS ok FROM candles) SELECT ts, CASE WHEN counted THEN 'trigger' ELSE 'non_trigger' END AS kind FROM x JOIN e USING (ts) WHERE counted OR (coalesce(ok, false) AND NOT present AND NOT raw AND NOT before)"))
 def case_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = walk(spark, sf_dir)
-    return audit.case_pool(c, flags(c), windows.valid_ends(c, 60)).drop(*SERIES)
+    return audit.case_pool(c, flags(c), windows.valid_ends(c, 60)).drop(*SERIES, "t")
 
 
 @query()
 def case_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = walk(spark, sf_dir)
-    return audit.case_plan(audit.case_pool(c, flags(c), windows.valid_ends(c, 60)), 20, 10, 17).drop(*SERIES)
+    strata = sampling.first_stratum(masked(spark, sf_dir)).select(*SERIES, "ts", "stratum")
+    pool = audit.case_pool(c, flags(c), windows.valid_ends(c, 60)).join(strata, [*SERIES, "ts"], "left").fillna("S0_other", ["stratum"])
+    return audit.case_plan(pool, 20, 10, 17, gap=6 * 3600).drop(*SERIES)
 
 
 @query()

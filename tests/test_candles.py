@@ -181,13 +181,6 @@ def test_as_of_and_spacing(spark):
     assert nxt[("A", 10)] == 3.0 and nxt[("A", 5)] == 1.0
 
 
-def test_stratified_pick_is_spaced(spark):
-    w = windows.window_features(frame(spark, walk(300, 2)), 60).withColumns({"stratum": sampling.quartile(), "t": src.seconds(F.col("ts"))})
-    rows = sampling.stratified_pick(sampling.spread_order(w, 20, "ts"), 10, 5 * 3600).collect()
-    t = sorted(r["t"] for r in rows)
-    assert len(rows) <= 10 and all(y - x >= 5 * 3600 for x, y in zip(t[:-1], t[1:], strict=True))
-
-
 def test_distributions():
     assert abs(betainc(2, 3, 0.5) - 0.6875) < 1e-12
     assert abs(t_p(2.228138852, 10) - 0.05) < 1e-8
@@ -227,9 +220,3 @@ def test_audit_plans(spark):
     pool = audit.case_pool(c, flags, c)
     kinds = {(r["ts"].hour, r["kind"]) for r in pool.collect()}
     assert kinds == {(5, "trigger")} | {(h, "non_trigger") for h in range(24) if h not in (5, 6, 9)}
-    plan = audit.case_plan(pool, 4, 6, 3).orderBy("case_id").collect()
-    assert [r["case_id"] for r in plan] == [f"A{i:04d}" for i in range(1, 11)] and sum(r["kind"] == "trigger" for r in plan) == 4
-    assert plan == audit.case_plan(pool, 4, 6, 3).orderBy("case_id").collect()
-    first = c.where("ts IN (TIMESTAMP_NTZ '2024-01-02 00:00:00', TIMESTAMP_NTZ '2024-01-05 00:00:00')").withColumn("batch", F.lit("a"))
-    times = sorted(r["ts"] for r in audit.top_up(first, c, 6, 6 * 3600, "b").collect())
-    assert len(times) == 8 and all(b - a >= dt.timedelta(hours=6) for a, b in zip(times, times[1:], strict=False))
