@@ -38,7 +38,21 @@ def _geometry(candles: DataFrame) -> DataFrame:
     w = by_time().rowsBetween(-(WINDOW - 1), 0)
     held = {"h": "high", "l": "low", "c": "close", "fh": "swing_high", "fl": "swing_low"}
     df = df.withColumns({name: F.collect_list(F.coalesce(F.col(col), F.lit(False)) if name[0] == "f" else F.col(col)).over(w) for name, col in held.items()})
-    df = df.withColumn("ok", ends_window(WINDOW)).where("ok").drop("ok", "swing_high", "swing_low")
+    return landmarks(df.withColumn("ok", ends_window(WINDOW)).where("ok").drop("ok", "swing_high", "swing_low"))
+
+
+def flagged(df: DataFrame) -> DataFrame:
+    """df, whose rows hold a window's highs, lows and closes as h, l and c, with its swing flags fh and fl."""
+
+    def flags(a: str, extreme: str, least: str, beyond: str) -> str:
+        whole = f"j >= {K} AND j <= {WINDOW - 1 - K}"
+        return f"transform(sequence(0, {WINDOW - 1}), j -> {whole} AND get({a}, j) {least} {extreme}(slice({a}, greatest(j - {K - 1}, 1), {K})) AND get({a}, j) {beyond} {extreme}(slice({a}, j + 2, {K})))"
+
+    return _stage(df, fh=flags("h", "array_max", ">=", ">"), fl=flags("l", "array_min", "<=", "<"))
+
+
+def landmarks(df: DataFrame) -> DataFrame:
+    """df, whose rows hold a window's arrays (h, l, c, fh, fl), with its landmarks; null where the arrays are."""
     t = WINDOW - 1
     df = _stage(
         df,
@@ -63,8 +77,13 @@ def _geometry(candles: DataFrame) -> DataFrame:
 
 def measures(candles: DataFrame) -> DataFrame:
     """geometry with the quantities; null where one isn't defined."""
+    return quantities(geometry(candles))
+
+
+def quantities(g: DataFrame) -> DataFrame:
+    """Rows with landmarks, with their quantities."""
     g = _stage(
-        geometry(candles),
+        g,
         ZR="if(R > 0, (zh - zl) / R, NULL)", EFF=f"if(R > 0, if(steps > 0, abs(x - get(c, {WINDOW - EDGE})) / steps, 0D), NULL)",
         DT_C7="if(R > 0, (zh - x) / R, NULL)", DF_C3="if(R > 0, (x - zl) / R, NULL)", DF_C6="if(R > 0, (x - pbl) / R, NULL)",
         res1=f"if(jH < {WINDOW - EDGE} OR hH < x, zh, least(zh, hH))",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
-from ..operators import audit, detectors, events as ev, forward, indicators, joins, quality, sampling, stats, study, tags, windows
+from ..operators import audit, blocks, detectors, events as ev, forward, indicators, joins, quality, sampling, stats, study, tags, windows
 from ..sources import candles as src
 from ..session import shared_dir, written
 from ..sources.candles import SERIES
@@ -644,18 +645,20 @@ def trend_rsi_stop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_candles(f"{FIRES_SQL} SELECT fire_id, setup, direction, ts, level FROM fires"))
 def brain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fires of a streaming run over the candles in four files."""
-    from ..streaming.brain import BrainStream
+    from ..streaming.brain import PROVIDER, brain_events
 
     c, _, th = measured(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{id(c)}"
-    part = F.ntile(4).over(src.by_time())
-    parts = c.withColumn("part", part)
-    for k in range(1, 5):
-        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = F.floor(F.col("pos") * 4 / F.col("n"))
+    n = c.groupBy(*SERIES).agg(F.count("*").alias("n"))
+    parts = blocks.positions(c).join(F.broadcast(n), SERIES).withColumn("part", place)
+    for k in range(4):
+        parts.where(F.col("part") == k).select(*c.columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    brain = BrainStream(spark, f"{folder}/state", th)
-    brain.start(stream, f"{folder}/checkpoint").awaitTermination()
-    return brain.fires().select("fire_id", "setup", "direction", "ts", "level")
+    out = brain_events(stream, th).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    out.trigger(availableNow=True).start(f"{folder}/events").awaitTermination()
+    return spark.read.parquet(f"{folder}/events").where("event = 'FIRE'").select("fire_id", "setup", "direction", "ts", "level")
 
 
 # Audits, over simple rules that SQL states as well: a close above the highs (below the lows) of the 24 candles before.

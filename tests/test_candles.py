@@ -148,22 +148,6 @@ def test_events_against_a_plain_walk(spark):
                 active = (r["idx"], ended.get(r["fire_id"]))
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from ohlcraft.streaming.brain import BrainStream
-
-    c = frame(spark, walk(260, 9))
-    m = detectors.measures(c)
-    th = detectors.thresholds(detectors.percentiles(m, detectors.QUANTITIES))
-    batch = events.fires(c, detectors.states(m, th))
-    brain = BrainStream(spark, str(tmp_path / "state"), th)
-    for k, (a, b) in enumerate(((0, 150), (150, 200), (200, 260))):
-        brain.process(c.where((F.col("ts") >= F.lit(START + dt.timedelta(hours=a))) & (F.col("ts") < F.lit(START + dt.timedelta(hours=b)))), k)
-    cols = ["fire_id", "ts", "level"]
-    assert {tuple(r) for r in brain.fires().select(cols).collect()} == {tuple(r) for r in batch.select(cols).collect()}
-    ends = events.invalidations(batch, c).select("fire_id", "invalidation_idx")
-    assert {tuple(r) for r in brain.ended().select("fire_id", "invalidation_idx").collect()} == {tuple(r) for r in ends.collect()}
-
-
 def test_indicators():
     assert np.isnan(indicators.rsi_wilder(np.arange(10.0))).all()
     assert indicators.rsi_wilder(np.arange(20.0))[14] == 100
