@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as txt
-from ..operators import audit, blocks, detectors, events as ev, forward, indicators, joins, quality, sampling, stats, study, tags, windows
+from ..functions import responses, text as txt
+from ..operators import audit, blocks, detectors, events as ev, forward, indicators, joins, locks, quality, sampling, stats, study, tags, windows
 from ..sources import candles as src
 from ..session import shared_dir, written
 from ..sources.candles import SERIES
+from ..streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -347,6 +348,61 @@ def rsi_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.with_indicators(walk(spark, sf_dir)).select("ts", *r6("rsi"), F.round("ema", 4).alias("ema"))
 
 
+@query("""WITH j AS (SELECT event_id, '{"event": {"props": ' || props || ', "tags": ["' || event_type || '", ' || event_id || ', null, []]}, "user": [[' || user_id || '], {"seen": true}]}' AS j FROM events), t AS (SELECT event_id, u.fullkey AS path, u.type AS type, u.atom AS atom FROM j, LATERAL json_tree(j.j) AS u)
+  SELECT event_id, path, CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'NULL' THEN 'null' ELSE 'scalar' END AS kind, CASE WHEN type = 'VARCHAR' THEN json_extract_string(atom, '$') WHEN type = 'NULL' THEN 'null' ELSE atom::VARCHAR END AS value FROM t WHERE type NOT IN ('OBJECT', 'ARRAY')""")
+def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.format_string('{"event": {"props": %s, "tags": ["%s", %d, null, []]}, "user": [[%d], {"seen": true}]}', "props", "event_type", "event_id", "user_id")
+    return responses.json_leaves(table(spark, sf_dir, "events").select("event_id", text.alias("j")), ["event_id"], "j")
+
+
+def answer() -> str:
+    """SQL, of both dialects, for a made-up answer of an event: sound, or with a fault that follows from its id."""
+    pairs = [
+        ("status", "CASE event_id % 5 WHEN 0 THEN 'NONE' WHEN 1 THEN 'SOON' ELSE 'DEVELOPING' END"), ("visible_summary", "event_type"), ("context", "CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'rising' END"),
+        ("location", "'low'"), ("development", "'slow'"), ("trigger", "'close'"), ("direction", "CASE WHEN event_id % 11 = 0 THEN 'sideways' ELSE 'up' END"), ("invalidation", "'break'"), ("expected_behavior", "'none'"),
+    ]
+    told = ", ".join(f"'\"{k}\": \"', {v}, '\"'" if not i else f"', \"{k}\": \"', {v}, '\"'" for i, (k, v) in enumerate(pairs))
+    return f"concat('{{', {told}, CASE WHEN event_id % 13 = 0 THEN '' ELSE ', \"information_required\": [\"volume\"]' END, CASE WHEN event_id % 17 = 0 THEN '' ELSE '}}' END)"
+
+
+@query("""WITH f AS (SELECT event_id, event_id % 17 = 0 AS cut, event_id % 13 = 0 AS short, event_id % 5 = 1 AS status, event_id % 11 = 0 AS direction, event_id % 7 = 0 AND event_id % 5 <> 0 AS blank FROM events)
+  SELECT event_id, CASE WHEN cut OR short THEN 1 ELSE status::INTEGER + direction::INTEGER + CASE WHEN NOT status AND NOT direction AND blank THEN 1 ELSE 0 END END AS problems FROM f""")
+def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "events").select("event_id", F.expr(answer()).alias("answer"))
+    return told.select("event_id", F.size(responses.analysis_problems(F.col("answer"))).alias("problems"))
+
+
+@query("""WITH a AS (SELECT event_id, t.attempt, (event_id + user_id * t.attempt) % 3 = 0 AS ok, event_id % 29 = 0 AND t.attempt = 2 AS missing FROM events, range(1, 4) AS t(attempt)),
+  s AS (SELECT *, coalesce(max((ok OR missing)::INTEGER) OVER (PARTITION BY event_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM a)
+  SELECT event_id::VARCHAR AS key, attempt::INTEGER AS attempt, NOT missing AND ok AS accepted, CASE WHEN missing THEN 'no answer' WHEN NOT ok THEN 'wrong' END AS problem, CASE WHEN attempt > 1 THEN 'wrong' END AS feedback FROM s WHERE done = 0""")
+def resumable_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    each = e.select("event_id", "user_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt")).where("NOT (event_id % 29 = 0 AND attempt = 2)")
+    answers = each.select(F.col("event_id").alias("key"), "attempt", F.when((F.col("event_id") + F.col("user_id") * F.col("attempt")) % 3 == 0, "ok").otherwise("wrong").alias("response"))
+    out = runs.answered(e.select(F.col("event_id").alias("key")), answers, lambda r: F.when(r == "ok", F.array().cast("array<string>")).otherwise(F.array(r)))
+    return out.select("key", "attempt", "accepted", F.get("problems", F.lit(0)).alias("problem"), F.get("feedback", F.lit(0)).alias("feedback"))
+
+
+EVENT_HASH = "sha256('{\"event_id\":' || event_id || ',\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}')"
+
+
+@query(f"""WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, {EVENT_HASH} AS h FROM events), a AS (SELECT n // 1024 AS n, count(*) AS rows, sha256(string_agg(h, '' ORDER BY n)) AS sha256 FROM r GROUP BY n // 1024),
+  b AS (SELECT n // 1024 AS n, sum(rows)::BIGINT AS rows, sha256(string_agg(sha256, '' ORDER BY n)) AS sha256 FROM a WHERE (SELECT count(*) FROM a) > 1 GROUP BY n // 1024)
+  SELECT 1 AS level, * FROM a UNION ALL SELECT 2, * FROM b""")
+def log_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locks.lock(table(spark, sf_dir, "events"), "event_id", ["event_id", "user_id", "event_type"], stretch=1000)
+
+
+@query("SELECT 'grown' AS log, 'appended' AS state, (count(*) FILTER (event_id % 1000 <> 999 AND event_id < 900))::BIGINT AS rows_locked, (count(*) FILTER (event_id % 1000 <> 999))::BIGINT AS rows_now, NULL::BIGINT AS differs_from FROM events UNION ALL SELECT 'altered', 'changed', (count(*) FILTER (event_id % 1000 <> 999 AND event_id < 900))::BIGINT, (count(*) FILTER (event_id % 1000 <> 999))::BIGINT, 448 FROM events")
+def log_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that grew since it was locked, and one with an altered row (the 501st)."""
+    e, columns = table(spark, sf_dir, "events").where("event_id % 1000 <> 999"), ["event_id", "user_id", "event_type"]
+    kept = written(locks.lock(e.where("event_id < 900"), "event_id", columns, 64, 1000), "lock")
+    altered = e.withColumn("user_id", F.when(F.col("event_id") == 500, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    both = [locks.verified(kept, log, "event_id", columns, 64, 1000).withColumn("log", F.lit(name)) for name, log in (("grown", e), ("altered", altered))]
+    return both[0].unionByName(both[1])
+
+
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS n, list_sort(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), ['the', 'und', 'que', 'der'])) :: VARCHAR AS found FROM documents".replace(":: VARCHAR AS found", "AS f").replace("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS n, ", "SELECT doc_id, array_to_string(").replace(" AS f FROM", ", ',') AS found FROM"))
 def token_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(txt.tokens_found(F.col("text"), ["the", "und", "que", "der"]), ",").alias("found"))
