@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import responses, text as txt
-from ..operators import audit, blocks, detectors, events as ev, forward, indicators, joins, locks, quality, sampling, stats, study, tags, windows
+from ..operators import audit, blocks, detectors, events as ev, forward, indicators, joins, locks, quality, review, sampling, stats, study, tags, windows
 from ..sources import candles as src
 from ..session import shared_dir, written
 from ..sources.candles import SERIES
@@ -423,7 +423,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict]:
-    c = walk(spark, sf_dir).drop("n")
+    c = written(walk(spark, sf_dir).drop("n"), "candles")  # read for thresholds, states and events
     m = detectors.measures(c)
     discovery = detectors.measures(src.before(c, CUT))
     return c, m, detectors.thresholds(detectors.percentiles(discovery, detectors.QUANTITIES))
@@ -503,6 +503,24 @@ def brain_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.fires(c, detectors.states(m, th)).select("fire_id", "setup", "direction", "ts", "level", "presence_len", "streak")
 
 
+@query(with_candles(f"{FIRES_SQL} SELECT fire_id, ts, unnest({review.CHECKS}) AS \"check\", true AS ok FROM fires"))
+def fire_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fire, judged again apart from the detectors: all checks hold."""
+    c, m, th = measured(spark, sf_dir)
+    return review.fire_checks(written(ev.fires(c, detectors.states(m, th)), "fires"), c, th, None).select("fire_id", "ts", "check", "ok")
+
+
+@query(with_candles(f"""{FIRES_SQL}, n AS (SELECT ts, lag(ts) OVER (ORDER BY ts) AS before FROM candles), c AS (SELECT event_id AS chart_id, 'S' || (event_id % 9 + 1) AS setup, time_bucket(INTERVAL '1 hour', ts) + CASE WHEN event_id % 5 = 0 THEN INTERVAL '1 minute' ELSE INTERVAL '0 minutes' END AS ts FROM events WHERE event_id % 31 = 0),
+  w AS (SELECT c.*, n.before FROM c JOIN n USING (ts)), f AS (SELECT *, (setup, ts) IN (SELECT (setup, ts) FROM p) AS present, coalesce((setup, before) IN (SELECT (setup, ts) FROM p), false) AS present_before, (setup, ts) IN (SELECT (setup, ts) FROM fires) OR coalesce((setup, before) IN (SELECT (setup, ts) FROM fires), false) AS fired FROM w)
+  SELECT chart_id, setup, present, present_before, fired, present OR fired AS recognized FROM f"""))
+def cited_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m, th = measured(spark, sf_dir)
+    at = F.timestamp_seconds(F.floor(src.seconds(F.col("ts")) / 3600) * 3600 + F.when(F.col("event_id") % 5 == 0, 60).otherwise(0)).cast("timestamp_ntz")
+    cited = table(spark, sf_dir, "events").where("event_id % 31 = 0").select(F.concat(F.lit("S"), (F.col("event_id") % 9 + 1).cast("string")).alias("setup"), F.col("event_id").alias("chart_id"), F.lit("ALL").alias("symbol"), F.lit(3600).alias("timeframe"), at.alias("ts"))
+    out = review.cited_charts(cited, ev.fires(c, detectors.states(m, th)), c, th)
+    return out.select("chart_id", "setup", "present", "present_before", "fired", "recognized")
+
+
 # Each setup's rules: (setup, direction, operator, value).
 RULES_SQL = [
     ("S1", "up", "lt", "pbl"), ("S1", "up", "le", "res1"), ("S2", "up", "lt", "lL"), ("S3", "down", "gt", "hH"), ("S4", "down", "gt", "least(brk.v, coalesce(hA, brk.v))"), ("S5", "up", "lt", "hHp"), ("S6", "down", "gt", "hH"),
