@@ -17,9 +17,16 @@ from ..session import written
 from . import ranks
 
 
+#: Families that a study may have: each meets every observation.
+FAMILIES = 10_000
+
+
 def long_form(observations: DataFrame, members: DataFrame, columns: list[str], key: str = "end_ts", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, family, col, y, inside and the columns ``keep``): every observation for every family. Families are a vocabulary, so they are few."""
-    families = F.broadcast(members.select("family").distinct())
+    """(key, family, col, y, inside and the columns ``keep``): every observation for every family. Families are a vocabulary: FAMILIES at most."""
+    named = members.select("family").distinct()
+    if named.limit(FAMILIES + 1).count() > FAMILIES:
+        raise ValueError(f"more than {FAMILIES} families")
+    families = F.broadcast(named)
     held = members.select("family", key, F.lit(True).alias("m")).distinct()
     rows = observations.crossJoin(families).join(held, ["family", key], "left").withColumn("inside", F.coalesce("m", F.lit(False)))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("y")) for c in columns)))

@@ -41,56 +41,67 @@ class Side:
 def signals(p: pd.DataFrame) -> list[tuple[str, tuple]]:
     """(side, (t, armed at, risk level, broken level)) in order of t. Swings are known SWING_K candles later."""
     sides = {"short": Side(-1), "long": Side(1)}
-    h, lo, c, rsi = (p[x].to_numpy(float) for x in ("high", "low", "close", "rsi"))
+    h, lo, c, rsi = (p[x].to_numpy(float).tolist() for x in ("high", "low", "close", "rsi"))
+    low_at, high_at, valid, known = p["swing_low"].tolist(), p["swing_high"].tolist(), p["valid"].tolist(), np.isfinite(p["rsi"].to_numpy(float)).tolist()
+    bias = {name: p[f"{name}_bias"].tolist() for name in sides}
     out = []
     for t in range(len(p)):
         j = t - SWING_K
         if j >= SWING_K:
-            if p["swing_low"].iat[j]:
+            if low_at[j]:
                 sides["short"].level = -lo[j]
-            if p["swing_high"].iat[j]:
+            if high_at[j]:
                 sides["long"].level = h[j]
-        if not p["valid"].iat[t] or not np.isfinite(rsi[t]):
+        if not valid[t] or not known[t]:
             for s in sides.values():
                 s.armed = None
             continue
         for name, s in sides.items():
             adverse = lo[t] if s.sign > 0 else -h[t]
-            hit = s.step(t, adverse, s.sign * c[t], rsi[t] if s.sign > 0 else 100 - rsi[t], bool(p[f"{name}_bias"].iat[t]))
+            hit = s.step(t, adverse, s.sign * c[t], rsi[t] if s.sign > 0 else 100 - rsi[t], bool(bias[name][t]))
             if hit:
                 out.append((name, hit))
     return out
 
 
-def outcome(p: pd.DataFrame, side: str, t: int, risk_level: float) -> dict:
-    """From the next open: the risk level first, then the RSI, then time; prices are multiplied by the side's sign."""
-    s, n, r = (1 if side == "long" else -1), len(p), t + 1
+def outcome(p: dict[str, np.ndarray], side: str, t: int, risk_level: float) -> dict:
+    """From the next open: the risk level first, then the RSI, then time; prices (columns of a series) are multiplied by the side's sign.
+
+    The first bar of each kind of end is found in the STOP_BARS bars after the
+    signal, and the earliest of them counts, in that order within a bar.
+    """
+    s, n, r = (1 if side == "long" else -1), len(p["open"]), t + 1
     if r >= n:
         return {"status": "END_OF_DATA"}
-    ref = float(p["open"].iat[r])
+    ref = float(p["open"][r])
     risk = s * (ref - risk_level)
     base = {"reference": ref}
     if not risk > 0:
         return base | {"status": "RISK_NOT_POSITIVE"}
-    mfe = mae = 0.0
-    for k in range(r, min(r + STOP_BARS, n)):
-        if not p["valid"].iat[k]:
-            return base | {"status": "DATA_GAP"}
-        best, worst = (p["high"].iat[k], p["low"].iat[k]) if s > 0 else (p["low"].iat[k], p["high"].iat[k])
-        mfe, mae = max(mfe, s * (best - ref)), max(mae, s * (ref - worst))
-        rsi = p["rsi"].iat[k] if s > 0 else 100 - p["rsi"].iat[k]
-        if s * worst <= s * risk_level:
-            reason, price, at = "risk_level", risk_level, k
-        elif k + 1 < n and rsi >= HIGH:
-            reason, price, at = "rsi", float(p["open"].iat[k + 1]), k + 1
-        elif k + 1 < n and k - r + 1 >= STOP_BARS:
-            reason, price, at = "time", float(p["open"].iat[k + 1]), k + 1
-        else:
-            continue
-        gross = s * (price - ref) / risk
-        net = {f"net_r_{str(x).replace('.', '_')}": gross - 2 * (TAKER + x) / 100 * ref / risk for x in SLIPS}
-        return base | {"status": "OK", "exit_reason": reason, "bars_held": at - r, "gross_r": gross, "mfe_r": mfe / risk, "mae_r": mae / risk} | net
-    return base | {"status": "END_OF_DATA"}
+    bars = slice(r, min(r + STOP_BARS, n))
+    best, worst = (p["high"][bars], p["low"][bars]) if s > 0 else (p["low"][bars], p["high"][bars])
+    rsi = p["rsi"][bars] if s > 0 else 100 - p["rsi"][bars]
+    size = len(best)
+
+    def first(hit: np.ndarray) -> int:
+        return int(hit.argmax()) if hit.any() else size
+
+    follows = np.arange(r, r + size) + 1 < n  # an exit at the next open needs one
+    gap, stopped, stretched = first(~p["valid"][bars].astype(bool)), first(s * worst <= s * risk_level), first((rsi >= HIGH) & follows)
+    timed = STOP_BARS - 1 if size == STOP_BARS and follows[-1] else size
+    k = min(gap, stopped, stretched, timed)
+    if k == size:
+        return base | {"status": "END_OF_DATA"}
+    if k == gap:
+        return base | {"status": "DATA_GAP"}
+    if k == stopped:
+        reason, price, held = "risk_level", risk_level, k
+    else:
+        reason, price, held = "rsi" if k == stretched else "time", float(p["open"][r + k + 1]), k + 1
+    mfe, mae = max(0.0, float((s * (best[: k + 1] - ref)).max())), max(0.0, float((s * (ref - worst[: k + 1])).max()))
+    gross = s * (price - ref) / risk
+    net = {f"net_r_{str(x).replace('.', '_')}": gross - 2 * (TAKER + x) / 100 * ref / risk for x in SLIPS}
+    return base | {"status": "OK", "exit_reason": reason, "bars_held": held, "gross_r": gross, "mfe_r": mfe / risk, "mae_r": mae / risk} | net
 
 
 def run(prepared: DataFrame) -> DataFrame:
@@ -98,9 +109,9 @@ def run(prepared: DataFrame) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values("ts").reset_index(drop=True)
-        rows = []
+        rows, held = [], {c: p[c].to_numpy(float) for c in ("open", "high", "low", "rsi")} | {"valid": p["valid"].to_numpy(bool)}
         for side, (t, armed, risk, broken) in signals(p):
-            rows.append({"side": side, "t": t, "ts": p["ts"].iat[t], "arm_idx": armed, "risk_level": risk, "break_level": broken} | outcome(p, side, t, risk))
+            rows.append({"side": side, "t": t, "ts": p["ts"].iat[t], "arm_idx": armed, "risk_level": risk, "break_level": broken} | outcome(held, side, t, risk))
         names = [c.strip().split(" ")[0] for c in SIGNAL.split(",")]
         out = pd.DataFrame(rows, columns=names)
         out["bars_held"] = out["bars_held"].astype("Int64")

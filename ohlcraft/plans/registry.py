@@ -702,7 +702,7 @@ def prepared_study(spark: SparkSession, sf_dir: str, counter: bool = False) -> D
     # a short mean and few candles left out around gaps: the month of data has signals then
     packs = {"h4": indicators.htf_pack(walk(spark, sf_dir, 14400).drop("n"), 10, 1)}
     biased = indicators.htf_bias(indicators.validity(indicators.with_indicators(c), warmup=20, back=2, ahead=2), packs)
-    return study.prepared(biased.withColumns(windows.swings()), counter)
+    return study.prepared(windows.with_swings(biased), counter)
 
 
 @query()
@@ -735,6 +735,15 @@ def brain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events").where("event = 'FIRE'").select("fire_id", "setup", "direction", "ts", "level")
 
 
+@query(with_candles(f"""{FIRES_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY setup ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY setup) AS n FROM fires WHERE streak = 0),
+  k AS (SELECT DISTINCT setup, round_even(j * (n - 1) / 4.0, 0)::BIGINT AS i FROM b, range(5) AS t(j)) SELECT setup, ts FROM b JOIN k USING (setup, i)"""))
+def example_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each setup the first fire and others spread over time, of the first of streaks."""
+    c, m, th = measured(spark, sf_dir)
+    fired = ev.fires(c, detectors.states(m, th)).withColumn("first", F.col("streak") == 0)
+    return sampling.examples(written(fired, "fires"), 5, [*SERIES, "setup"], "first").select("setup", "ts")
+
+
 # Audits, over simple rules that SQL states as well: a close above the highs (below the lows) of the 24 candles before.
 
 BREAKS_SQL = f"""
