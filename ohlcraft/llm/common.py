@@ -157,8 +157,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-#: Groups that a sample is drawn from: the most frequent ones.
-GROUPS = 500
+#: Groups that a sample is drawn from: more than any vocabulary of labels or languages has. Of more, the most frequent.
+GROUPS = 10_000
 
 
 def hashed_sample(df: DataFrame, rows: int, *by: str, group: str | None = None) -> DataFrame:
