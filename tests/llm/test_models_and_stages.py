@@ -122,8 +122,8 @@ def test_stages_take_odd_rows_and_none(spark, odd, k):
         assert {r["doc_id"] for r in got} <= {r[0] for r in rows} and all(r["length"] > 0 for r in got)
         return
     assert out.columns == docs.columns, name
-    given, kept = ([(*r[:1], *r[2:]) for r in x] for x in (map(tuple, rows), map(tuple, got)))
-    assert all(r in given for r in kept) and len(kept) <= len(given)  # columns but the text stay as they are
+    given, kept = ([(r[0], *r[2:4], *r[5:]) for r in x] for x in (map(tuple, rows), map(tuple, got)))
+    assert all(r in given for r in kept) and len(kept) <= len(given)  # columns but the text and its length stay as they are
     if k == 1:
         assert all(tuple(r) in [tuple(x) for x in rows] for r in got)
     if k >= 2:  # no row goes but for a passage of the benchmark
