@@ -108,7 +108,7 @@ def license_scan(docs: DataFrame, forms: DataFrame, contained: float = CONTAINED
     places = each.select("row", F.col("e.g").alias("g"), F.posexplode("e.h").alias("p", "x"))
     # how many places a window has to hold at least, by size of a template
     least = form.groupBy("g", "m").agg(F.min(F.ceil(F.size("t") * contained - 1e-6)).alias("least"))
-    known = form.select("g", "m", F.explode("t").alias("x")).distinct().join(F.broadcast(least), ["g", "m"])  # a row for each of a template's shingles
+    known = form.select("g", "m", F.explode("t").alias("x")).distinct().join(small(least, len(sizes)), ["g", "m"])  # a row for each of a template's shingles
     hits = places.join(small(known, known.count()), ["g", "x"])
     step = F.greatest(F.floor(F.col("m") / 2), F.lit(1))
     j = F.sequence(F.greatest(F.ceil((F.col("p") + F.col("g") - 2 * F.col("m")) / step), F.lit(0)), F.floor(F.col("p") / step))
