@@ -538,7 +538,14 @@ def brain_invalidations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ended.select("fire_id", "invalidation_ts", "invalidation_idx", F.split("rule", " ")[1].alias("op"), "candles_after")
 
 
-@query()
+@query("WITH RECURSIVE " + with_candles(f"""{FIRES_SQL}, rules AS ({_RULES}), brk AS (SELECT fire_id, f.idx, min(c.idx) AS at FROM fires f JOIN rules USING (present_ts, setup, direction) JOIN part c ON c.idx > f.idx
+  AND CASE op WHEN 'gt' THEN c.close > value WHEN 'ge' THEN c.close >= value WHEN 'lt' THEN c.close < value ELSE c.close <= value END GROUP BY 1, 2),
+  seq AS MATERIALIZED (SELECT setup, direction, f.idx, brk.at AS inv, row_number() OVER (PARTITION BY setup, direction ORDER BY f.idx) AS i FROM fires f LEFT JOIN brk USING (fire_id)),
+  kept AS (SELECT setup, direction, i, idx AS at, inv, true AS counted FROM seq WHERE i = 1 UNION ALL
+    SELECT s.setup, s.direction, s.i, CASE WHEN free THEN s.idx ELSE s.at END, CASE WHEN free THEN s.inv ELSE s.was END, free FROM (SELECT seq.*, kept.at, kept.inv AS was, NOT (kept.inv IS NULL OR kept.inv > seq.idx OR seq.idx <= greatest(kept.inv, kept.at + 24)) AS free
+    FROM kept JOIN seq ON seq.setup = kept.setup AND seq.direction = kept.direction AND seq.i = kept.i + 1) s),
+  a AS (SELECT setup, count(DISTINCT idx) AS present, count(*) FILTER (presence_len = 1) AS runs, max(presence_len) AS longest FROM runs GROUP BY 1), b AS (SELECT setup, count(*) AS raw, count(*) FILTER (counted) AS counted FROM kept GROUP BY 1)
+  SELECT setup, present, a.runs, longest, coalesce(raw, 0) AS raw, coalesce(counted, 0) AS counted, present::DOUBLE / n AS share, present::DOUBLE / n BETWEEN 0.002 AND 0.10 AS in_band FROM a LEFT JOIN b USING (setup), (SELECT count(*) AS n FROM candles)""").removeprefix("WITH "))
 def recognizer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m, th = measured(spark, sf_dir)
     present = detectors.states(m, th)
@@ -546,7 +553,15 @@ def recognizer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.frequency(c, present, ev.counted(fired, ev.invalidations(fired, c))).drop(*SERIES)
 
 
-@query()
+_V2 = [("S1", "up", "pause", "jH >= 48 AND UPnet > UPnet_lo AND (coalesce(ZR <= ZR_lo, false) OR coalesce(RET <= RET_lo, false)) AND DT_S1v2 <= DT_S1v2_lo"), *SETUPS_SQL[1:]]
+_PRESENT_V2 = " UNION ALL ".join(f"SELECT ts, idx, '{n}' AS setup, '{d}' AS direction, ({lv})::DOUBLE AS level FROM m, k WHERE R > 0 AND {cond}" for n, d, lv, cond in _V2)
+_FIRED = "SELECT setup, fire_ts AS ts, direction, count(*) AS n FROM {0} JOIN nxt USING (ts) WHERE d = 3600 AND CASE WHEN direction = 'up' THEN fire_close > level ELSE fire_close < level END GROUP BY 1, 2, 3"
+
+
+@query(with_candles(f"""{DISCOVERY}, k AS (SELECT {_THIRDS} FROM d), {sql_measures('candles', 'm')}, p1 AS ({_PRESENT}), p2 AS ({_PRESENT_V2}),
+  nxt AS (SELECT ts AS fire_ts, close AS fire_close, lag(ts) OVER (ORDER BY ts) AS ts, epoch(ts)::BIGINT - epoch(lag(ts) OVER (ORDER BY ts))::BIGINT AS d FROM candles),
+  a AS ({_FIRED.format('p1')}), b AS ({_FIRED.format('p2')}), w AS (SELECT coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b FROM a FULL JOIN b USING (setup, ts, direction))
+  SELECT sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(greatest(a - b, 0))::BIGINT AS only_a, sum(greatest(b - a, 0))::BIGINT AS only_b, count(*) FILTER (a <> b) AS n_odd FROM w"""))
 def brain_v2_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m, th = measured(spark, sf_dir)
     one, two = (ev.fires(c, detectors.states(m, th, v2)) for v2 in (False, True))
@@ -576,7 +591,22 @@ def fire_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("setup", "period", "n", *r6("mean", "median", "p25", "p75", "share_positive"))
 
 
-@query()
+def sql_visits(source: str, quota: int, group: str = "0") -> str:
+    """DuckDB: rows of ``source`` (ts) with the place in which each of its group is visited: even ones, then of four times as many, then all."""
+    return f"""(SELECT *, CASE WHEN list_contains(few, pos) THEN list_position(few, pos) WHEN list_contains(more, pos) THEN c + list_position(more, pos) ELSE c + m + pos + 1 END AS visit FROM (
+    SELECT *, list_transform(range(c), lambda k: round_even(k * (n - 1) / greatest(c - 1, 1), 0)::BIGINT) AS few, list_transform(range(m), lambda k: round_even(k * (n - 1) / greatest(m - 1, 1), 0)::BIGINT) AS more FROM (
+    SELECT *, least(4 * c, n) AS m FROM (SELECT *, least({quota}, n) AS c FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY {group}) AS n FROM {source})))))"""
+
+
+def sql_greedy(source: str, gap: int, quota: int, group: str = "0") -> str:
+    """DuckDB: the times that a pass over ``source`` (ts, visit) takes, one row after the other."""
+    return f"""RECURSIVE seq AS (SELECT {group} AS g, {T} AS t, row_number() OVER (ORDER BY {group}, visit) AS i FROM {source}),
+  pass AS (SELECT 0::BIGINT AS i, []::STRUCT(g BIGINT, t BIGINT)[] AS taken UNION ALL SELECT seq.i, CASE WHEN len(list_filter(taken, lambda x: x.g = seq.g)) < {quota} AND len(list_filter(taken, lambda x: abs(x.t - seq.t) < {gap})) = 0
+    THEN list_append(taken, struct_pack(g := seq.g::BIGINT, t := seq.t)) ELSE taken END FROM pass JOIN seq ON seq.i = pass.i + 1),
+  picked AS (SELECT unnest(taken, recursive := true) FROM (SELECT taken FROM pass ORDER BY i DESC LIMIT 1))"""
+
+
+@query(f"WITH RECURSIVE base AS MATERIALIZED ({with_candles(f'{FEATURES_SQL}, {QUARTILE_SQL} SELECT ts, stratum FROM q')}), v AS MATERIALIZED (SELECT * FROM {sql_visits('base', 6, 'stratum')}), {sql_greedy('v', 6 * 3600, 6, 'stratum').removeprefix('RECURSIVE ')} SELECT make_timestamp(t * 1000000) AS ts, g::INTEGER AS stratum FROM picked")
 def stratified_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = sampling.with_quartile(windows.window_features(walk(spark, sf_dir), 60)).withColumn("t", src.seconds(F.col("ts")))
     return sampling.stratified_pick(w, 24, 6 * 3600).select("ts", "stratum")
@@ -736,7 +766,7 @@ def brain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_candles(f"""{FIRES_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY setup ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY setup) AS n FROM fires WHERE streak = 0),
-  k AS (SELECT DISTINCT setup, round_even(j * (n - 1) / 4.0, 0)::BIGINT AS i FROM b, range(5) AS t(j)) SELECT setup, ts FROM b JOIN k USING (setup, i)"""))
+  spread AS (SELECT DISTINCT setup, round_even(j * (n - 1) / 4.0, 0)::BIGINT AS i FROM b, range(5) AS t(j)) SELECT setup, ts FROM b JOIN spread USING (setup, i)"""))
 def example_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each setup the first fire and others spread over time, of the first of streaks."""
     c, m, th = measured(spark, sf_dir)
@@ -840,7 +870,10 @@ def case_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.case_plan(pool, 20, 10, 17, gap=6 * 3600).drop(*SERIES)
 
 
-@query()
+@query(f"""WITH RECURSIVE ends AS MATERIALIZED ({with_candles(f'e AS (SELECT ts, {VALID60} AS ok FROM candles) SELECT ts FROM e WHERE ok')}),
+  n AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM ends), old AS MATERIALIZED (SELECT DISTINCT ts FROM n, range(8) AS t(k) WHERE pos = round_even(k * (n - 1) / 7.0, 0)),
+  clear AS MATERIALIZED (SELECT ts FROM ends WHERE NOT EXISTS (SELECT 1 FROM old WHERE abs(epoch(old.ts)::BIGINT - epoch(ends.ts)::BIGINT) < 6 * 3600)), v AS MATERIALIZED (SELECT * FROM {sql_visits('clear', 10)}),
+  {sql_greedy('v', 6 * 3600, 10).removeprefix('RECURSIVE ')} SELECT ts, 'first' AS batch FROM old UNION ALL SELECT make_timestamp(t * 1000000), 'second' FROM picked""")
 def top_up_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = windows.valid_ends(walk(spark, sf_dir), 60).withColumn("batch", F.lit("first"))
     return audit.top_up(sampling.even_sample(ends, 8, "ts"), ends, 10, 6 * 3600, "second").select("ts", "batch")
