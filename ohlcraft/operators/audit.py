@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.candles import by_time, SERIES, seconds
-from . import sampling, spacing
+from . import blocks, sampling, spacing
 from .detectors import WINDOW
 
 
 def pseudo_fires(candles: DataFrame, history: int = WINDOW) -> DataFrame:
     """A fire in both directions on every candle with ``history`` candles before it and one after it."""
-    idx = F.row_number().over(by_time()) - 1
-    df = candles.select(*SERIES, "ts", idx.alias("idx"), F.lead("ts").over(by_time()).alias("next")).where(f"idx >= {history} AND next IS NOT NULL")
+    placed = blocks.positions(candles.select(*SERIES, "ts"), "idx")
+    df = blocks.in_blocks(placed, lambda c: c.withColumn("next", F.lead("ts").over(by_time())), after=1).where(f"idx >= {history} AND next IS NOT NULL")
     return df.select(*SERIES, "ts", F.explode(F.array(F.lit("up"), F.lit("down"))).alias("direction"), "idx").withColumn("fire_id", F.concat_ws("-", F.lit("B"), "idx", "direction")).drop("idx")
 
 
@@ -68,7 +68,7 @@ def case_pool(candles: DataFrame, flags: DataFrame, ends: DataFrame) -> DataFram
     """
     known = candles.select(*SERIES, "ts").join(flags.select(*SERIES, "ts", "present", "raw", "counted"), [*SERIES, "ts"], "left").fillna(False, ["present", "raw", "counted"])
     before = F.coalesce(F.lag("raw").over(by_time()), F.lit(False))
-    known = known.withColumn("before", before).join(ends.select(*SERIES, "ts", F.lit(True).alias("valid")), [*SERIES, "ts"], "left")
+    known = blocks.in_blocks(known, lambda c: c.withColumn("before", before), before=1).join(ends.select(*SERIES, "ts", F.lit(True).alias("valid")), [*SERIES, "ts"], "left")
     clean = F.coalesce("valid", F.lit(False)) & ~F.col("present") & ~F.col("raw") & ~F.col("before")
     kind = F.when(F.col("counted"), "trigger").when(clean, "non_trigger")
     return known.select(*SERIES, "ts", seconds(F.col("ts")).alias("t"), kind.alias("kind")).where("kind IS NOT NULL")
@@ -120,6 +120,7 @@ def mechanical_recall(charts: DataFrame, candles: DataFrame, flags: DataFrame, b
     """
     known = candles.select(*SERIES, "ts").join(flags.select(*SERIES, "ts", "present", "raw"), [*SERIES, "ts"], "left").fillna(False, ["present", "raw"])
     near = F.max(F.col("raw").cast("int")).over(by_time().rowsBetween(1 - back, 0)) == 1
-    known = known.select(*SERIES, F.col("ts").alias("end_ts"), "present", near.alias("triggered"))
+    known = blocks.in_blocks(known, lambda c: c.withColumn("triggered", near), before=back - 1)
+    known = known.select(*SERIES, F.col("ts").alias("end_ts"), "present", "triggered")
     joined = charts.join(known, [*SERIES, "end_ts"], "left")
     return joined.withColumn("recognized", F.coalesce(F.col("present") | F.col("triggered"), F.lit(False)))

@@ -3,43 +3,57 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.candles import by_time, SERIES, seconds
+from . import blocks
 from .detectors import rule_hit
 
 KEY = [*SERIES, "setup", "direction"]
 LOCKOUT = 24
 
 
+def _steps(candles: DataFrame) -> DataFrame:
+    """(SERIES, ts, close, idx, prev, gap): each candle's place, the one before, and whether something is missing between."""
+    placed = blocks.positions(candles.select(*SERIES, "ts", "close"), "idx")
+    prev = F.lag("ts").over(by_time())
+    gap = F.coalesce(seconds(F.col("ts")) - seconds(prev) != F.col("timeframe"), F.lit(False))
+    return blocks.in_blocks(placed, lambda c: c.withColumns({"prev": prev, "gap": gap}), before=1)
+
+
+def _runs(rows: DataFrame, linked) -> DataFrame:
+    """rows (KEY, idx) with start: the idx at which their run of successive places begins; ``linked`` says that a row goes on from the one before, if that is there."""
+    held = rows.withColumn("_block", F.floor(F.col("idx") / blocks.ROWS))
+    # the row before may lie in the block before: its key and place are looked up there
+    before = rows.select(*KEY, (F.col("idx") + 1).alias("idx"), F.lit(True).alias("_there"))
+    held = held.join(before, [*KEY, "idx"], "left").withColumn("_begin", F.when(~(F.coalesce("_there", F.lit(False)) & linked), F.col("idx"))).drop("_there")
+    return blocks.last_known(held, KEY, "_block", ["idx"], "_begin", "start").drop("_begin", "_block")
+
+
 def presence(candles: DataFrame, present: DataFrame) -> DataFrame:
     """A row for each candle, setup and direction present, with idx, the run's length and its start."""
-    idx = F.row_number().over(by_time()) - 1
-    gap = F.coalesce(seconds(F.col("ts")) - seconds(F.lag("ts").over(by_time())) != F.col("timeframe"), F.lit(False))
-    base = candles.select(*SERIES, "ts", "close", idx.alias("idx"), gap.cast("int").alias("gap"))
-    base = base.withColumn("part", F.sum("gap").over(by_time()))
+    return _presence(written(_steps(candles), "steps"), present)
+
+
+def _presence(steps: DataFrame, present: DataFrame) -> DataFrame:
+    base = steps.select(*SERIES, "ts", "close", "idx", "gap")
     one = present.select(*SERIES, "ts", F.explode("states").alias("s")).select(*SERIES, "ts", "s.*")
-    rows = base.join(one, [*SERIES, "ts"])
-    island = F.col("idx") - F.row_number().over(Window.partitionBy(*KEY, "part").orderBy("idx"))
-    run = Window.partitionBy(*KEY, "part", "island").orderBy("idx")
-    rows = rows.withColumn("island", island)
-    return rows.withColumns({"presence_len": F.row_number().over(run), "presence_start": F.first("ts").over(run)}).drop("island", "gap")
+    rows = _runs(written(base.join(one, [*SERIES, "ts"]), "present"), ~F.col("gap"))  # written, as runs read it three times
+    starts = base.select(*SERIES, F.col("idx").alias("start"), F.col("ts").alias("presence_start"))
+    return rows.join(starts, [*SERIES, "start"]).withColumn("presence_len", F.col("idx") - F.col("start") + 1).drop("start", "gap")
 
 
 def fires(candles: DataFrame, present: DataFrame) -> DataFrame:
     """FIRE events: a setup present at a candle whose level the next candle, without a gap, closes beyond."""
-    runs = presence(candles, present)
-    idx = F.row_number().over(by_time()) - 1
-    prev = F.lag("ts").over(by_time())
-    nxt = candles.select(*SERIES, F.col("ts").alias("fire_ts"), F.col("close").alias("fire_close"), idx.alias("fire_idx"), prev.alias("ts"), (seconds(F.col("ts")) - seconds(prev)).alias("d"))
-    both = runs.join(nxt.where(F.col("d") == F.col("timeframe")), [*SERIES, "ts"])
+    steps = written(_steps(candles), "steps")
+    runs = _presence(steps, present)
+    nxt = steps.where("prev IS NOT NULL AND NOT gap").select(*SERIES, F.col("ts").alias("fire_ts"), F.col("close").alias("fire_close"), F.col("idx").alias("fire_idx"), F.col("prev").alias("ts"))
+    both = runs.join(nxt, [*SERIES, "ts"])
     beyond = F.when(F.col("direction") == "up", F.col("fire_close") > F.col("level")).otherwise(F.col("fire_close") < F.col("level"))
     out = both.where(beyond).select(*KEY, F.col("fire_ts").alias("ts"), F.col("fire_idx").alias("idx"), "fire_close", "level", "rules", "presence_len", "presence_start")
-    island = F.col("idx") - F.row_number().over(Window.partitionBy(*KEY).orderBy("idx"))
-    streak = Window.partitionBy(*KEY, "island").orderBy("idx")
-    out = out.withColumn("island", island).withColumn("streak", F.row_number().over(streak) - 1).drop("island")
+    out = _runs(written(out, "fires"), F.lit(True)).withColumn("streak", F.col("idx") - F.col("start")).drop("start")
     return out.withColumn("fire_id", F.concat_ws("-", "setup", F.col("idx").cast("string"), "direction"))
 
 
@@ -57,8 +71,8 @@ def invalidations(fired: DataFrame, candles: DataFrame) -> DataFrame:
     search descends into it. A rule meets BLOCK blocks a level at most, besides
     the few of the highest. Candles may bring their place in the series as idx.
     """
-    own_idx = F.col("idx") if "idx" in candles.columns else F.row_number().over(by_time()) - 1
-    c = candles.select(*SERIES, own_idx.cast("long").alias("at"), F.col("ts").alias("inv_ts"), F.col("close").alias("top"), F.col("close").alias("bottom"))
+    placed = candles if "idx" in candles.columns else blocks.positions(candles, "idx")
+    c = placed.select(*SERIES, F.col("idx").cast("long").alias("at"), F.col("ts").alias("inv_ts"), F.col("close").alias("top"), F.col("close").alias("bottom"))
     levels = [c]
     for _ in range(LEVELS):
         up = F.floor(F.col("at") / BLOCK).alias("up")

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.candles import by_time, SERIES, seconds, valid_ohlc
+from .blocks import in_blocks
 
 
 def series_report(candles: DataFrame) -> DataFrame:
     """A row for each series: rows, ends, repeats, invalid candles; over distinct times: missing, gaps, the largest gap, times off the grid."""
     rows = candles.groupBy(*SERIES).agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(~valid_ohlc()).alias("invalid"))
     times = candles.select(*SERIES, "ts").distinct()
-    gap = (seconds(F.col("ts")) - seconds(F.lag("ts").over(by_time()))).alias("gap")
-    steps = times.select(*SERIES, "ts", gap)
+    gap = seconds(F.col("ts")) - seconds(F.lag("ts").over(by_time()))
+    steps = in_blocks(times, lambda c: c.withColumn("gap", gap), before=1)
     per = steps.groupBy(*SERIES).agg(
         F.count("*").alias("n_times"),
         F.coalesce(F.sum(F.when(F.col("gap") > F.col("timeframe"), F.round(F.col("gap") / F.col("timeframe") - 1).cast("long"))), F.lit(0)).alias("missing"),
@@ -26,9 +27,9 @@ def series_report(candles: DataFrame) -> DataFrame:
 
 def gap_list(candles: DataFrame) -> DataFrame:
     """Every gap: the candle after which it begins, the one that resumes, and how many are missing."""
-    prev = F.lag("ts").over(by_time())
-    gap = seconds(F.col("ts")) - seconds(prev)
-    return candles.select(*SERIES, prev.alias("after"), F.col("ts").alias("resumes"), (F.floor(gap / F.col("timeframe")) - 1).alias("missing")).where("missing > 0")
+    steps = in_blocks(candles.select(*SERIES, "ts"), lambda c: c.withColumn("after", F.lag("ts").over(by_time())), before=1)
+    gap = seconds(F.col("ts")) - seconds(F.col("after"))
+    return steps.select(*SERIES, "after", F.col("ts").alias("resumes"), (F.floor(gap / F.col("timeframe")) - 1).alias("missing")).where("missing > 0")
 
 
 def per_month(candles: DataFrame) -> DataFrame:
@@ -82,7 +83,12 @@ def feasibility(candles: DataFrame, lookback: int, forward: int, cutoff: str) ->
     t = seconds(F.col("ts"))
     back = t - F.lag(t, lookback - 1).over(w) == (lookback - 1) * F.col("timeframe")
     ahead = F.lead(t, forward).over(w) - t == forward * F.col("timeframe")
-    flagged = candles.withColumn("side", side).select(*SERIES, "side", "ts", F.coalesce(back, F.lit(False)).alias("back"), F.coalesce(back & ahead, F.lit(False)).alias("both"))
+
+
+    def run(c: DataFrame) -> DataFrame:
+        return c.withColumns({"back": F.coalesce(back, F.lit(False)), "both": F.coalesce(back & ahead, F.lit(False))})
+
+    flagged = in_blocks(candles.select(*SERIES, "ts", side), run, before=lookback - 1, after=forward)
     return flagged.groupBy(*SERIES, "side").agg(F.count("*").alias("candles"), F.count_if("back").alias("with_lookback"), F.count_if("both").alias("with_both"), F.count_distinct(F.to_date("ts")).alias("days"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.candles import by_time, SERIES
+from . import blocks
+
 
 def latest_clean(log: DataFrame, *key: str) -> DataFrame:
     """The last row without an error of each key (seq orders the log)."""
@@ -102,6 +105,8 @@ def gate(counts: DataFrame, hits: str, total: str, least: float, needed: int = 1
 
 def run_lengths(df: DataFrame, flag: str) -> DataFrame:
     """Lengths of runs of rows with a true flag, the last included, by series in order of time."""
-    by = Window.partitionBy("symbol", "timeframe").orderBy("ts")
-    island = F.row_number().over(by) - F.sum(F.col(flag).cast("int")).over(by)
-    return df.withColumn("_i", island).where(flag).groupBy("symbol", "timeframe", "_i").agg(F.min("ts").alias("start"), F.count("*").alias("length")).drop("_i")
+    held = blocks.positions(df.select(*SERIES, "ts", F.col(flag).alias("_f")), "_i")
+    begins = F.col("_f") & ~F.coalesce(F.lag("_f").over(by_time()), F.lit(False))
+    held = blocks.in_blocks(held, lambda c: c.withColumn("_b", F.when(begins, F.col("_i"))), before=1).withColumn("_block", F.floor(F.col("_i") / blocks.ROWS))
+    named = blocks.last_known(held, SERIES, "_block", ["_i"], "_b", "_run")
+    return named.where("_f").groupBy(*SERIES, "_run").agg(F.min("ts").alias("start"), F.count("*").alias("length")).drop("_run")

@@ -34,9 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, for steps that read it several times."""
+    """df as a Parquet table in the shared folder, for steps that read it several times; it goes when the application ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    held = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(held)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
