@@ -740,6 +740,27 @@ def trend_rsi_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.run(prepared_study(spark, sf_dir)).drop(*SERIES)
 
 
+@query(f"""WITH RECURSIVE {TICKS}, {sql_candles(15)}, {sql_candles(240, 'coarse')},
+  s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS t, close - lag(close) OVER (ORDER BY ts) AS m, coalesce({T} - lag({T}) OVER (ORDER BY ts) <> 900, false) AS gap FROM candles),
+  seed AS (SELECT avg(greatest(m, 0)) AS a, avg(greatest(-m, 0)) AS b FROM s WHERE t BETWEEN 1 AND 14), r AS (SELECT 14::BIGINT AS t, a, b FROM seed UNION ALL SELECT s.t, (r.a * 13 + greatest(s.m, 0)) / 14, (r.b * 13 + greatest(-s.m, 0)) / 14 FROM r JOIN s ON s.t = r.t + 1),
+  h AS MATERIALIZED (SELECT ts, close, row_number() OVER (ORDER BY ts) AS i FROM coarse), e AS (SELECT 1::BIGINT AS i, close AS v FROM h WHERE i = 1 UNION ALL SELECT h.i, e.v + (h.close - e.v) * 2 / 11 FROM e JOIN h ON h.i = e.i + 1),
+  pack AS (SELECT epoch(h.ts)::BIGINT + 14400 AS close_t, h.close, e.v, e.v - lag(e.v) OVER (ORDER BY h.i) AS slope FROM h JOIN e USING (i)),
+  w AS (SELECT t, ts, high, low, close, t >= 20 AND NOT coalesce(max(gap::INTEGER) OVER (ORDER BY ts ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) = 1, false) AS valid,
+    CASE WHEN lag(ts, 3) OVER (ORDER BY ts) IS NOT NULL AND lead(ts, 3) OVER (ORDER BY ts) IS NOT NULL AND high >= max(high) OVER b AND high > max(high) OVER a THEN high END AS top,
+    CASE WHEN lag(ts, 3) OVER (ORDER BY ts) IS NOT NULL AND lead(ts, 3) OVER (ORDER BY ts) IS NOT NULL AND low <= min(low) OVER b AND low < min(low) OVER a THEN low END AS bottom
+    FROM s WINDOW b AS (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), a AS (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+  x AS MATERIALIZED (SELECT w.*, CASE WHEN r.b = 0 THEN 100 ELSE 100 - 100 / (1 + r.a / r.b) END AS rsi, coalesce(pack.close < pack.v AND pack.slope < 0, false) AS bear, coalesce(pack.close > pack.v AND pack.slope > 0, false) AS bull,
+    lag(top, 3) OVER (ORDER BY t) AS known_top, lag(bottom, 3) OVER (ORDER BY t) AS known_bottom FROM (SELECT *, epoch(ts)::BIGINT + 900 AS close_t FROM w) w LEFT JOIN r USING (t) ASOF LEFT JOIN pack ON w.close_t >= pack.close_t),
+  d AS MATERIALIZED (SELECT 'long' AS side, 1 AS sign, t, low AS adverse, close, rsi, bull AS bias, valid AND rsi IS NOT NULL AS ok, known_top AS lvl FROM x UNION ALL SELECT 'short', -1, t, -high, -close, 100 - rsi, bear, valid AND rsi IS NOT NULL, -known_bottom FROM x),
+  run AS (SELECT side, -1::BIGINT AS t, NULL::BIGINT AS armed, NULL::DOUBLE AS ext, NULL::DOUBLE AS lvl, false AS hit, NULL::BIGINT AS hit_armed, NULL::DOUBLE AS hit_ext FROM (VALUES ('long'), ('short')) v(side) UNION ALL
+    SELECT side, t, CASE WHEN NOT ok THEN NULL WHEN still IS NULL AND bias AND rsi <= 35 THEN t ELSE still END, CASE WHEN still IS NULL THEN adverse ELSE least(ext, adverse) END, lvl, found, armed, least(ext, adverse) FROM (
+      SELECT *, CASE WHEN goes_on AND NOT found THEN armed END AS still FROM (SELECT *, goes_on AND t > armed AND lvl IS NOT NULL AND close > lvl AS found FROM (
+        SELECT d.side, d.t, d.adverse, d.close, d.rsi, d.bias, d.ok, run.armed, run.ext, coalesce(d.lvl, run.lvl) AS lvl, d.ok AND run.armed IS NOT NULL AND d.bias AND d.rsi < 65 AND d.t - run.armed <= 96 AS goes_on FROM run JOIN d ON d.side = run.side AND d.t = run.t + 1))))
+  SELECT side, run.t, x.ts, hit_armed AS arm_idx, hit_ext * CASE WHEN side = 'long' THEN 1 ELSE -1 END AS risk_level, lvl * CASE WHEN side = 'long' THEN 1 ELSE -1 END AS break_level FROM run JOIN x USING (t) WHERE hit""")
+def trend_signal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study.run(prepared_study(spark, sf_dir)).select("side", "t", "ts", "arm_idx", "risk_level", "break_level")
+
+
 @query()
 def trend_rsi_stop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = study.run(prepared_study(spark, sf_dir, counter=True))
