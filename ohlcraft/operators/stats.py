@@ -411,7 +411,10 @@ def outcome_statistics(observations: DataFrame, members: DataFrame, horizons: tu
     windows on either side and are null without them; mde is the difference that
     ``tests`` tests detect.
     """
-    long = written(long_form(observations, members, [f"{k}_{h}" for k in KINDS for h in horizons]), "long")
+    return _statistics(written(long_form(observations, members, [f"{k}_{h}" for k in KINDS for h in horizons]), "long"), tests)
+
+
+def _statistics(long: DataFrame, tests: int) -> DataFrame:
     told = _by_horizon(describe(long)).groupBy("family", "horizon")
     kind = F.col("kind")
     first = ["N", "nonfamily_N", "mean", "median", "win_pct", "nonfamily_mean", "nonfamily_median"]
@@ -431,14 +434,15 @@ def analyze(observations: DataFrame, members: DataFrame, primary: list[str], hor
     fewer than two windows on either side have no drawn figures.
     """
     rets, columns = [f"ret_{h}" for h in horizons], [f"{k}_{h}" for k in KINDS for h in horizons]
-    table = outcome_statistics(observations, members, horizons, len(primary) * len(horizons))
+    long = written(long_form(observations, members, columns, keep=covariates), "long")
+    table = _statistics(long, len(primary) * len(horizons))
     chunks = chunked(observations, members, columns)
     drawn = _by_horizon(written(permutation_of(chunks, draws, adjusted=[(f, c) for f in primary for c in rets]), "permutation"))
     perm = drawn.where("kind = 'ret'").select("family", "horizon", F.col("t").alias("perm_t"), "p_perm", "p_adjusted", "null_p025", "null_p50", "null_p975")
     for k in ("mfe", "mae"):
         perm = perm.join(drawn.where(F.col("kind") == k).select("family", "horizon", F.col("p_perm").alias(f"{k}_p_perm")), ["family", "horizon"])
     ci = _by_horizon(bootstrap_of(chunks, draws, columns=rets)).select("family", "horizon", "ci_low", "ci_high")
-    reg = _by_horizon(regression(written(long_form(observations, members, rets, keep=covariates), "regressors"), list(covariates))).select("family", "horizon", "beta", "p_reg")
+    reg = _by_horizon(regression(long.where(F.col("col").isin(rets)), list(covariates))).select("family", "horizon", "beta", "p_reg")
     for part in (perm, ci, reg):
         table = table.join(part, ["family", "horizon"], "left")
     both = (F.col("N") >= 2) & (F.col("nonfamily_N") >= 2)
