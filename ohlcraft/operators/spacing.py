@@ -29,7 +29,7 @@ from .joins import spaced_from
 #: Gaps in a block: with a candidate every gap / 60 a block has some 250000.
 GAPS = 4096
 #: Times the quota that are visited first; more follow if they don't fill it.
-AHEAD = 8
+AHEAD = 64
 UNKNOWN, TAKEN = 0, 1
 
 
@@ -86,12 +86,13 @@ def spaced_greedy(candidates: DataFrame, gap: int, keys: list[str] | None = None
         keep = [i for i in now if rows[i][3]]
         return pdf.iloc[keep].assign(state=[now[i] for i in keep])[[*keys, "t", "visit", "state"]]
 
-    while not state.where(F.col("state") == UNKNOWN).isEmpty():
+    while True:
         laid = state.withColumn("block", F.explode(F.filter(halo, lambda b: b.isNotNull()))).withColumn("own", F.col("block") == own)
         after = written(laid.groupBy(*keys, "block").applyInPandas(run, state.schema), "candidates")
         discard(state)
         state = after
-    return state.select(*keys, "t", "visit")
+        if state.where(F.col("state") == UNKNOWN).isEmpty():
+            return state.select(*keys, "t", "visit")
 
 
 def first_picks(candidates: DataFrame, gap: int, quota: Column | int, keys: list[str] | None = None, span: int | None = None) -> DataFrame:
