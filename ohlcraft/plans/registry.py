@@ -561,7 +561,7 @@ _FIRED = "SELECT setup, fire_ts AS ts, direction, count(*) AS n FROM {0} JOIN nx
 @query(with_candles(f"""{DISCOVERY}, k AS (SELECT {_THIRDS} FROM d), {sql_measures('candles', 'm')}, p1 AS ({_PRESENT}), p2 AS ({_PRESENT_V2}),
   nxt AS (SELECT ts AS fire_ts, close AS fire_close, lag(ts) OVER (ORDER BY ts) AS ts, epoch(ts)::BIGINT - epoch(lag(ts) OVER (ORDER BY ts))::BIGINT AS d FROM candles),
   a AS ({_FIRED.format('p1')}), b AS ({_FIRED.format('p2')}), w AS (SELECT coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b FROM a FULL JOIN b USING (setup, ts, direction))
-  SELECT sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(greatest(a - b, 0))::BIGINT AS only_a, sum(greatest(b - a, 0))::BIGINT AS only_b, count(*) FILTER (a <> b) AS n_odd FROM w"""))
+  SELECT coalesce(sum(a), 0)::BIGINT AS n_a, coalesce(sum(b), 0)::BIGINT AS n_b, coalesce(sum(greatest(a - b, 0)), 0)::BIGINT AS only_a, coalesce(sum(greatest(b - a, 0)), 0)::BIGINT AS only_b, count(*) FILTER (a <> b) AS n_odd FROM w"""))
 def brain_v2_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m, th = measured(spark, sf_dir)
     one, two = (ev.fires(c, detectors.states(m, th, v2)) for v2 in (False, True))
@@ -633,7 +633,8 @@ def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strata_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = sampling.first_stratum(masked(spark, sf_dir))
     each = m.select("stratum", F.explode(F.array(*(F.struct(F.lit(s).alias("name"), F.col(s).alias("in")) for s in sampling.STRATA))).alias("e"))
-    return each.groupBy(F.col("e.name").alias("stratum")).agg(F.count_if("e.in").alias("pool"), F.count_if(F.col("stratum") == F.col("e.name")).alias("first"))
+    found = each.groupBy(F.col("e.name").alias("stratum")).agg(F.count_if("e.in").alias("pool"), F.count_if(F.col("stratum") == F.col("e.name")).alias("first"))
+    return spark.createDataFrame([(s,) for s in sampling.STRATA], "stratum string").join(found, "stratum", "left").fillna(0)
 
 
 @query()
