@@ -437,10 +437,10 @@ def analyze(observations: DataFrame, members: DataFrame, primary: list[str], hor
     long = written(long_form(observations, members, columns, keep=covariates), "long")
     table = _statistics(long, len(primary) * len(horizons))
     chunks = chunked(observations, members, columns)
-    drawn = _by_horizon(written(permutation_of(chunks, draws, adjusted=[(f, c) for f in primary for c in rets]), "permutation"))
-    perm = drawn.where("kind = 'ret'").select("family", "horizon", F.col("t").alias("perm_t"), "p_perm", "p_adjusted", "null_p025", "null_p50", "null_p975")
-    for k in ("mfe", "mae"):
-        perm = perm.join(drawn.where(F.col("kind") == k).select("family", "horizon", F.col("p_perm").alias(f"{k}_p_perm")), ["family", "horizon"])
+    drawn = _by_horizon(permutation_of(chunks, draws, adjusted=[(f, c) for f in primary for c in rets]))
+    of_ret = {"perm_t": "t", "p_perm": "p_perm", "p_adjusted": "p_adjusted", "null_p025": "null_p025", "null_p50": "null_p50", "null_p975": "null_p975"}
+    figures = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(n) for n, k, c in [*((n, "ret", c) for n, c in of_ret.items()), ("mfe_p_perm", "mfe", "p_perm"), ("mae_p_perm", "mae", "p_perm")]]
+    perm = drawn.groupBy("family", "horizon").agg(*figures)  # a row for each kind
     ci = _by_horizon(bootstrap_of(chunks, draws, columns=rets)).select("family", "horizon", "ci_low", "ci_high")
     reg = _by_horizon(regression(long.where(F.col("col").isin(rets)), list(covariates))).select("family", "horizon", "beta", "p_reg")
     for part in (perm, ci, reg):
