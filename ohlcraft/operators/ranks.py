@@ -39,9 +39,12 @@ def _share(v: Column, lo: Column, hi: Column) -> Column:
     return F.when((lo > 0) & (hi / 16 > lo), up).when((hi < 0) & (lo / 16 < hi), down).when((lo <= 0) & (hi >= 0), around).otherwise(plain)
 
 
-def quantiles(values: DataFrame, keys: list[str], value: str, probs: list[float], small: int = SMALL, buckets: int = BUCKETS) -> DataFrame:
+def quantiles(values: DataFrame, keys: list[str], value: str, probs: list[float], small: int = SMALL, buckets: int = BUCKETS, nans: bool = False) -> DataFrame:
     """(keys, n, least, greatest, q): each group's count, ends and exact quantiles (an array) of its finite values.
 
+    With ``nans`` NaN is a value as well, greater than all others: it is counted
+    in n and has its ranks, and only the ends are those of the finite values.
+
     Groups of ``small`` values or fewer are aggregated as they are. Others are
     searched by ranges: the values between two bounds are counted in buckets of
     equal width, or ratio; the bucket that holds a rank, between its own least and
@@ -50,8 +53,10 @@ def quantiles(values: DataFrame, keys: list[str], value: str, probs: list[float]
     should be written. A group without a finite value has nulls.
     """
     v = F.col(value).cast("double")
-    held = values.select(*keys, F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v).alias("_v"))
-    stats = written(held.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("greatest")), "ends")
+    known = (F.isnan(v) if nans else F.lit(False)) | ~F.isnan(v) & (F.abs(v) < float("inf"))
+    held = values.select(*keys, F.when(known, v).alias("_v"))
+    finite = F.when(~F.isnan("_v"), F.col("_v"))
+    stats = written(held.groupBy(*keys).agg(F.count("_v").alias("n"), F.min(finite).alias("least"), F.max(finite).alias("greatest")), "ends")
     many = stats.where(F.col("n") > small)
     p = ", ".join(f"{x!r}D" for x in probs)
 
@@ -97,7 +102,8 @@ def quantiles(values: DataFrame, keys: list[str], value: str, probs: list[float]
         ended += [hit]
     discard(*ended, bracket)
     by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_x"))).alias("_r")) if keys else found.agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_x"))).alias("_r"))
-    exact = joined(many, by_rank).withColumn("q", F.array(*_interpolated(probs, lambda r: F.try_element_at("_r", r.cast("long"))))).drop("_r")
+    beyond = F.lit(float("nan") if nans else None).cast("double")  # ranks that no bracket of finite values holds
+    exact = joined(many, by_rank, "left").withColumn("q", F.array(*_interpolated(probs, lambda r: F.coalesce(F.try_element_at("_r", r.cast("long")), beyond)))).drop("_r")
     if not keys:
         return exact
     rest = joined(stats.where(F.col("n") <= small), direct(few), "left")

@@ -52,6 +52,21 @@ def test_hand_checked_forward_path(spark):
     assert [round(out[k], 9) for k in ("ret_1", "ret_3", "ret_6", "fh_3", "fl_3", "mfe_3", "mae_3", "fh_1", "fl_1")] == [1, 2, -3, 104, 96, 4, -4, 103, 98]
 
 
+@pytest.mark.parametrize("crossing", [0.0, -5.0])
+def test_volatility_across_prices_that_are_not_positive(spark, crossing):
+    """Undefined log returns are NaN: such windows are known, and count as the greatest in the thirds."""
+    closes = [10.0 + (i * 7 % 5) + i / 10 for i in range(12)] + [crossing] + [20.0 + (i * 3 % 4) - i / 9 for i in range(7)]
+    v = windows.with_volatility(frame(spark, [(i, c, c, c, c) for i, c in enumerate(closes)]), 3)
+    got = windows.volatility_tercile(v, windows.volatility_cuts(v)).orderBy("ts").collect()
+    logs = [float("nan")] + [np.log(b / a) if a and b / a > 0 else float("nan") for a, b in zip(closes, closes[1:])]
+    want = [None if i < 3 else np.std(logs[i - 2 : i + 1]) for i in range(len(closes))]
+    assert [x["vol"] is None for x in got] == [x is None for x in want]
+    assert np.allclose([x["vol"] for x in got[3:]], want[3:], rtol=1e-9, equal_nan=True)
+    known = sorted(want[3:], key=lambda x: (x != x, x))  # 17 of them, four NaN
+    lo, hi = ((1 - p % 1) * known[int(p)] + (p % 1) * known[int(p) + 1] for p in (16 / 3, 32 / 3))
+    assert [x["tercile"] for x in got] == [None if x is None else "low" if x <= lo else "high" if x != x or x > hi else "mid" for x in want]
+
+
 def test_planted_defects(spark):
     rows = [r for r in walk(60) if r[0] not in (20, 21, 22)]
     df = frame(spark, rows)

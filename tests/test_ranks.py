@@ -43,6 +43,20 @@ def test_quantiles_without_keys(spark, small):
     assert np.isclose(r["q"][0], np.median(vs), rtol=1e-14)
 
 
+@pytest.mark.parametrize("small", [10**6, 20])
+def test_nan_is_the_greatest_value(spark, small):
+    nan, r = float("nan"), random.Random(5)
+    held = {"some": [r.gauss(0, 1) for _ in range(200)] + [nan] * 300, "all": [nan] * 50, "none": [r.random() for _ in range(90)], "last": [float(i) for i in range(30)] + [nan]}
+    rows = [(k, v) for k, vs in held.items() for v in vs] + [("some", None)]
+    r.shuffle(rows)
+    got = ranks.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", [0.0, 1 / 3, 2 / 3, 1.0], small, 8, nans=True).collect()
+    assert {x["k"]: x["n"] for x in got} == {k: len(vs) for k, vs in held.items()}
+    for x in got:
+        vs = sorted(held[x["k"]], key=lambda v: (v != v, v))
+        want = [(1 - p % 1) * vs[int(p)] + (p % 1) * vs[int(p) + 1] if p % 1 else vs[int(p)] for p in (q * (len(vs) - 1) for q in (0.0, 1 / 3, 2 / 3, 1.0))]
+        assert np.allclose(x["q"], want, rtol=1e-12, atol=0, equal_nan=True), x["k"]
+
+
 @pytest.mark.parametrize("spans", [(256, 10**9), (2, 60)])
 def test_ranks_with_ties(spark, spans):
     r, at = random.Random(4), dt.datetime(2024, 1, 1)
