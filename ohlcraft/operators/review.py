@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.candles import by_time, SERIES, seconds
 from .blocks import in_blocks
 from .detectors import EDGE, K, RECENT, WINDOW
@@ -212,19 +213,22 @@ def judged(setup: str, high: list[float], low: list[float], close: list[float],
 
 
 class _Past:
-    """Candles up to one, the last of which is T, and what a setup was at those before."""
+    """Candles up to one, the last of which is T, and what a setup was at those before. ``row`` has their times and prices as arrays of _COLUMNS, or None."""
 
-    def __init__(self, candles: list, step: int, setup: str, direction: str | None, thresholds: Thresholds, v2: bool):
-        self.held, self.step, self.setup, self.direction, self.thresholds, self.v2 = candles, step, setup, direction, thresholds, v2
+    def __init__(self, row: dict, direction: str | None, thresholds: Thresholds, v2: bool):
+        self.t, *self.prices = ([] if row[c] is None else row[c].tolist() for c in _COLUMNS)
+        self.close = self.prices[-1]
+        self.step, self.setup, self.direction, self.thresholds, self.v2 = int(row["timeframe"]), row["setup"], direction, thresholds, v2
 
     def at(self, back: int) -> tuple[list[tuple[str, bool]], float | None]:
         """The setup's conditions and level at the candle T - back."""
-        end = len(self.held) - back
-        window = self.held[max(0, end - WINDOW) : end]
-        whole = len(window) == WINDOW and all(b["t"] - a["t"] == self.step for a, b in zip(window, window[1:], strict=False))
+        end = len(self.t) - back
+        window = slice(max(0, end - WINDOW), end)
+        times = self.t[window]
+        whole = len(times) == WINDOW and all(b - a == self.step for a, b in zip(times, times[1:], strict=False))
         if not whole:
             return [("a window without a gap", False)], None
-        conditions, level = judged(self.setup, *([x[p] for x in window] for p in ("high", "low", "close")), self.thresholds, self.v2)
+        conditions, level = judged(self.setup, *(p[window] for p in self.prices), self.thresholds, self.v2)
         return conditions, level.get(self.direction) if self.direction else None
 
     def present(self, back: int) -> bool:
@@ -232,23 +236,25 @@ class _Past:
 
     def next_to(self, back: int) -> bool:
         """No gap between T - back - 1 and T - back."""
-        i = len(self.held) - 1 - back
-        return i > 0 and self.held[i]["t"] - self.held[i - 1]["t"] == self.step
+        i = len(self.t) - 1 - back
+        return i > 0 and self.t[i] - self.t[i - 1] == self.step
 
     def beyond(self, back: int, level: float | None) -> bool:
-        close = self.held[len(self.held) - 1 - back]["close"]
+        close = self.close[len(self.close) - 1 - back]
         return level is not None and (close > level if self.direction == "up" else close < level)
 
 
+#: Arrays in which a row's candles are handed to Python: a batch of rows is then some buffers, not a dict for each candle.
+_COLUMNS = ["t", "high", "low", "close"]
 CHECKS = ["candle", "present before", "level", "beyond the level", "streak", "run length"]
 
 
 def _with_past(asked: DataFrame, candles: DataFrame, history: int) -> DataFrame:
-    """asked (SERIES, ts) with past: the candle of that time and up to ``history`` before it."""
-    one = F.struct(seconds(F.col("ts")).alias("t"), "open", "high", "low", "close")
-    told = candles.select(*SERIES, "ts", "open", "high", "low", "close")
+    """asked (SERIES, ts) with _COLUMNS of the candle of that time and up to ``history`` before it, null if there is none."""
+    one = F.struct(seconds(F.col("ts")).alias("t"), "high", "low", "close")
+    told = candles.select(*SERIES, "ts", "high", "low", "close")
     past = in_blocks(told, lambda c: c.withColumn("past", F.collect_list(one).over(by_time().rowsBetween(-history, 0))), before=history)
-    return asked.join(past.select(*SERIES, "ts", "past"), [*SERIES, "ts"], "left")
+    return asked.join(past.select(*SERIES, "ts", *(F.col("past")[c].alias(c) for c in _COLUMNS)), [*SERIES, "ts"], "left")
 
 
 def _close(a: float | None, b: float | None) -> bool:
@@ -270,8 +276,8 @@ def fire_checks(fires: DataFrame, candles: DataFrame, thresholds: Thresholds, pe
         for pdf in batches:
             rows = []
             for f in pdf.to_dict("records"):
-                past = _Past(list(f["past"]) if f["past"] is not None else [], int(f["timeframe"]), f["setup"], f["direction"], thresholds, v2)
-                there = bool(past.held) and past.next_to(0)
+                past = _Past(f, f["direction"], thresholds, v2)
+                there = bool(past.t) and past.next_to(0)
                 conditions, level = past.at(1) if there else ([("no candle before", False)], None)
                 was = all(ok for _, ok in conditions)
                 before = there and past.next_to(1) and past.present(2) and past.beyond(1, past.at(2)[1])
@@ -279,7 +285,7 @@ def fire_checks(fires: DataFrame, candles: DataFrame, thresholds: Thresholds, pe
                 while there and run_length < WINDOW and past.present(1 + run_length) and (run_length == 0 or past.next_to(run_length)):
                     run_length += 1
                 same_run = run_length == f["presence_len"] or min(run_length, f["presence_len"]) >= WINDOW
-                found = [bool(past.held) and _close(past.held[-1]["close"], f["fire_close"]), was, was and _close(level, f["level"]), there and past.beyond(0, level), before == (f["streak"] > 0), same_run]
+                found = [bool(past.t) and _close(past.close[-1], f["fire_close"]), was, was and _close(level, f["level"]), there and past.beyond(0, level), before == (f["streak"] > 0), same_run]
                 rows += [(f["symbol"], f["timeframe"], f["setup"], f["fire_id"], f["ts"], name, bool(ok)) for name, ok in zip(CHECKS, found, strict=True)]
             yield pd.DataFrame(rows, columns=["symbol", "timeframe", "setup", "fire_id", "ts", "check", "ok"], dtype=object)
 
@@ -293,28 +299,32 @@ def cited_charts(cited: DataFrame, fires: DataFrame, candles: DataFrame, thresho
 
     fired: the setup fired on the last candle or the one before; recognized: it
     was present at the end, or fired. Ends that aren't candles are left out.
+    A setup is judged once at an end, however many charts cite it.
     """
-    slim = cited.select("setup", "chart_id", *SERIES, "ts")
+    end = ["setup", *SERIES, "ts"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                past = _Past(list(r["past"]), int(r["timeframe"]), r["setup"], None, thresholds, v2)
+                past = _Past(r, None, thresholds, v2)
                 conditions = past.at(0)[0]
                 first = next((name for name, ok in conditions if not ok), None)
-                last = past.held[-2]["t"] if len(past.held) > 1 else None
-                rows.append((r["setup"], r["chart_id"], r["symbol"], r["timeframe"], r["ts"], [{"condition": n, "ok": bool(ok)} for n, ok in conditions], first, first is None, past.present(1), last))
-            yield pd.DataFrame(rows, columns=["setup", "chart_id", "symbol", "timeframe", "ts", "conditions", "first_failure", "present", "present_before", "t_before"], dtype=object)
+                last = past.t[-2] if len(past.t) > 1 else None
+                rows.append((r["setup"], r["symbol"], r["timeframe"], r["ts"], [{"condition": n, "ok": bool(ok)} for n, ok in conditions], first, first is None, past.present(1), last))
+            yield pd.DataFrame(rows, columns=[*end, "conditions", "first_failure", "present", "present_before", "t_before"], dtype=object)
 
     kinds = dict(cited.dtypes)
-    schema = f"setup string, chart_id {kinds['chart_id']}, symbol {kinds['symbol']}, timeframe {kinds['timeframe']}, ts {kinds['ts']}, conditions array<struct<condition:string,ok:boolean>>, first_failure string, present boolean, present_before boolean, t_before bigint"
-    told = _with_past(slim, candles, WINDOW).where("past IS NOT NULL").mapInPandas(run, schema)
+    schema = f"setup string, symbol {kinds['symbol']}, timeframe {kinds['timeframe']}, ts {kinds['ts']}, conditions array<struct<condition:string,ok:boolean>>, first_failure string, present boolean, present_before boolean, t_before bigint"
+    asked = _with_past(cited.select(*end).distinct(), candles, WINDOW).where("t IS NOT NULL")
+    told = written(asked.mapInPandas(run, schema), "judged")  # read for fires and charts
     fired = fires.select(*SERIES, "setup", seconds(F.col("ts")).alias("t")).distinct()
-    ends = told.select("setup", "chart_id", *SERIES, F.explode(F.array(seconds(F.col("ts")), F.col("t_before"))).alias("t"))
-    hit = ends.join(fired, [*SERIES, "setup", "t"]).select("setup", "chart_id", F.lit(True).alias("fired")).distinct()
-    out = told.drop("t_before").join(hit, ["setup", "chart_id"], "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
-    return out.withColumn("recognized", F.col("present") | F.col("fired"))
+    ends = told.select(*end, F.explode(F.array(seconds(F.col("ts")), F.col("t_before"))).alias("t"))
+    hit = ends.join(fired, [*SERIES, "setup", "t"]).select(*end, F.lit(True).alias("fired")).distinct()
+    out = told.drop("t_before").join(hit, end, "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
+    out = cited.select("setup", "chart_id", *SERIES, "ts").join(out, end)
+    told_of = ["conditions", "first_failure", "present", "present_before", "fired"]
+    return out.select("setup", "chart_id", *SERIES, "ts", *told_of, (F.col("present") | F.col("fired")).alias("recognized"))
 
 
 def cited_summary(charts: DataFrame) -> DataFrame:

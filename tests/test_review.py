@@ -83,3 +83,20 @@ def test_cited_charts(spark, scanned):
     rows = review.cited_summary(spark.createDataFrame(charts, review.cited_charts(cited, fired, c, th).schema)).collect()
     assert {r["setup"]: r["charts"] for r in rows if r["condition"] is None} == dict.fromkeys(("S3", "S7", "S9"), len(ends))
     assert sum(r["failures"] for r in rows if r["setup"] == "S7" and r["condition"]) == sum(not x["ok"] for r in charts if r["setup"] == "S7" for x in r["conditions"])
+
+
+def test_rows_are_handed_over_as_arrays_and_an_end_is_judged_once(spark, scanned, monkeypatch):
+    """No dict for each candle reaches Python, and charts of one end and setup share its judgement."""
+    c, m, th = scanned
+    fired = events.fires(c, detectors.states(m, th))
+    asked, whole = [], review._with_past
+    monkeypatch.setattr(review, "_with_past", lambda *a: asked.append(out := whole(*a)) or out)
+    ends = [r["ts"] for r in m.where("symbol = 'A'").select("ts").limit(3).collect()]
+    cited = spark.createDataFrame([("S7", f"{k}-{i}", "A", 3600, ts) for k, ts in enumerate(ends) for i in range(40)], "setup string, chart_id string, symbol string, timeframe int, ts timestamp_ntz")
+    charts = review.cited_charts(cited, fired, c, th).collect()
+    assert len(charts) == len({r["chart_id"] for r in charts}) == 120
+    assert len({(r["ts"], str(r["conditions"]), r["present_before"], r["fired"]) for r in charts}) == 3
+    review.fire_checks(fired, c, th, 2)
+    assert asked[0].count() == 3
+    for df in asked:
+        assert {t for n, t in df.dtypes if t.startswith("array")} == {"array<bigint>", "array<double>"} and "struct" not in str(df.dtypes)
